@@ -29,6 +29,8 @@ BANDS = HASHES // ROWS
 BATCH = 32
 MISS = 1e-5
 BLOCK = 256
+#: Texts of a band in a block, where components meet.
+SPAN = 1024
 #: Ids that may be broadcast to thin the texts before they are shuffled; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -160,16 +162,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def _across(texts: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Likely pairs of texts that share a band but are in different components, as rows (block_a, block_b, a[], b[]).
 
-    A band's texts are cut into blocks of about BLOCK; each pair of blocks is one bounded group. A pair is judged in the
-    first band that it shares only.
+    A band's texts are its largest component and the others; each part is cut into blocks of about SPAN. Blocks of others
+    meet one another and those of the largest component, whose own pairs need no look. So a band of one large component
+    and a few others costs one copy of each row. Each pair of blocks is one bounded group. A pair is judged in the first
+    band that it shares only.
     """
     placed = texts.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = staged(placed, "placed")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     banded = placed.select("doc_id", "component", F.posexplode(keys).alias("at", "band"))
-    mixed = staged(banded.groupBy("band").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high and m > 2").select("band", F.ceil(F.col("m") / BLOCK).alias("blocks")), "mixed")
-    rows = banded.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    parts = banded.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.sum("n").alias("m"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+    mixed = mixed.filter("parts > 1 and m > 2").select("band", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / SPAN).alias("inner"), F.ceil((F.col("m") - F.col("top.n")) / SPAN).alias("outer"))
+    rows = banded.join(staged(mixed, "mixed"), "band")
+    inside = F.col("component") == F.col("largest")
+    rows = rows.withColumn("own", F.when(inside, F.col("outer") + F.pmod(F.xxhash64("doc_id", F.lit(3)), "inner")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(3)), "outer")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)))
     rows = rows.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "at", "own", "doc_id")
     carried = placed.select("doc_id", "component", "n_shingles", "signature")
     n = max(1, rows.select("doc_id").count() // 20_000)

@@ -174,3 +174,15 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the documents whose crc32(doc_id) mod 4 isn't 2."""
     network = fit(docs.filter(crc32_mod("doc_id", 4) != 2))
     return identify(docs, network).select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, network: ByteNetwork, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language the network knows: not `und`, and scored `least` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches, "text", 1 << 20):
+            found = network.predict_all(strings(x.column(at)))
+            yield x.filter(pa.array([name != "und" and score >= least for name, score in found]))
+
+    return docs.mapInArrow(run, docs.schema)

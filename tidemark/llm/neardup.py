@@ -297,3 +297,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, miss: float = MIS
     found = copies.join(labels.select(F.col("node").alias("first"), "component"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
     rest = described_.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the smallest id.
+
+    Rows that repeat a doc_id are one document and stay or go together; rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, similarity).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

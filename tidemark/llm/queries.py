@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bitsliced import top_k
 from .common import table
+from .decontamination import contaminated
 from .language import language_of_documents
 from .neardup import near_duplicates
+from .packing import packed
+from .passages import repeated_passages
+from .pii import personal_data_of_documents
 from .quality import quality_of_documents
 from .sequences import round_trip
 
@@ -23,10 +27,26 @@ def op2_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,7 +58,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op2_token_sequences": op2_token_sequences,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality": op10_quality,
 }

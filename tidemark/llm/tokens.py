@@ -9,10 +9,13 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond that.
-CACHE = 400_000
+CACHE = 300_000
 #: Words longer than this many characters aren't kept.
 LONGEST = 64
-_WORDS = re.compile("[^ \n]+")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+#: Words, and apart from them the punctuation after words of plain letters.
+_WORDS = re.compile(_LETTERS + r"(?=[.,!?;:$%&*#|]*(?:[ \n]|\Z))|[^ \n]+")
+_PLAIN = re.compile(_LETTERS)
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,7 +32,9 @@ def encoder(path: str) -> WordEncoder:
 class WordEncoder:
     """Encodes a text as its words (runs without space or line feed), each on its own.
 
-    This is exact for tokenizers whose tokens never span white space and that drop it, as word-end BPE vocabularies do.
+    This is exact for tokenizers whose tokens never span white space, nor a change from letters to punctuation other
+    than the apostrophe, and that drop white space, as word-end BPE vocabularies do. The ids of known words lie one
+    after another in one array; a text is a gather from it.
     """
 
     def __init__(self, path: str):
@@ -38,26 +43,58 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.size = self._tokenizer.get_vocab_size()
-        self._known: dict[str, np.ndarray] = {}
+        self._ends = np.zeros(max(self._tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self._tokenizer.get_vocab().items():
+            self._ends[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {}
+        self._flat, self._at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Append the ids of new words, many encoded as one text. A plain word is over at an end-of-word token; for
+        other words, offsets tell which ids are whose."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        other = [w for w in words if not _PLAIN.fullmatch(w)]
+        flat, counts = [self._flat], []
+        for i in range(0, len(plain), 2_000):
+            part = plain[i : i + 2_000]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self._ends[ids])
+            if len(ends) != len(part):
+                other = plain[i:] + other
+                plain = plain[:i]
+                break
+            counts.append(np.diff(ends, prepend=-1))
+            flat.append(ids)
+        for i in range(0, len(other), 2_000):
+            part = other[i : i + 2_000]
+            e = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            begins = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            counts.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+            flat.append(np.array(e.ids, np.uint32))
+        self._known.update(zip(plain + other, range(len(self._known), len(self._known) + len(words)), strict=True))
+        self._at = np.concatenate((self._at, self._at[-1] + np.cumsum(np.concatenate(counts))))
+        self._flat = np.concatenate(flat)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
         words = [_WORDS.findall(t) for t in texts]
-        known = self._known
-        fresh = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(fresh) > CACHE:
-            self._known = known = {}
+        fresh = list({w for ws in words for w in ws if w not in self._known})
+        if len(self._known) + len(fresh) > CACHE:
+            self._forget()
             fresh = list({w for ws in words for w in ws})
-        held = known
-        long = [w for w in fresh if len(w) > LONGEST]
-        if long:
-            held = dict(known)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for w, e in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
-                held[w] = ids
-                if long and len(w) <= LONGEST:
-                    known[w] = ids
-        empty = np.zeros(0, np.uint32)
-        return [np.concatenate([held[w] for w in ws]) if ws else empty for ws in words]
+        if fresh:
+            self._learn(fresh)
+        find, empty = self._known.__getitem__, np.zeros(0, np.uint32)
+        out = [self._gathered(np.fromiter(map(find, ws), np.int64, len(ws))) if ws else empty for ws in words]
+        if len(self._known) > CACHE or any(len(w) > LONGEST for w in fresh):
+            self._forget()
+        return out
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        begin, n = self._at[at], self._at[at + 1] - self._at[at]
+        ran = np.cumsum(n)
+        return self._flat[np.arange(ran[-1]) + np.repeat(begin - ran + n, n)]

@@ -16,6 +16,7 @@ from .passages import repeated_passages
 from .pii import personal_data_of_documents
 from .quality import quality_of_documents
 from .sequences import round_trip
+from .toxicity import toxicity_of_documents
 
 
 def op1_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality": op10_quality,
 }

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def reconciled(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, other, status: matched, mismatched or missing, for every row of left; right has one row a key."""
@@ -152,11 +154,12 @@ def folds(df: DataFrame, key: str, order: str, n: int = 3) -> DataFrame:
 
 
 def ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """df with each row's place (from 0) in the total order: sorted by range partitions, counted, and offset."""
-    spark = df.sparkSession
-    rows = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """df with each row's place (from 0) in the total order: sorted by range partitions, counted, and offset.
+
+    The partitions are written first, as their numbers must be the same in the count and in the result.
+    """
+    rows = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordinal")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"), F.min(F.struct(*order)).alias("_least"))
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    del spark
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.join(F.broadcast(offsets.select("_part", "_offset")), "_part").withColumn(name, F.col("_n") + F.col("_offset")).drop("_part", "_n", "_offset")

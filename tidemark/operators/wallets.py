@@ -33,7 +33,7 @@ def lifecycles(trades: DataFrame, keys: tuple[str, ...] = ("wallet", "token")) -
     status = F.when(F.col("oversold") > 0, "oversold").when(F.col("sold") == 0, "still_open").when(F.col("remaining") == 0, "full_exit").otherwise("partial_exit")
     entry, leave = F.try_divide(F.col("_paid"), F.col("bought").cast("double")), F.try_divide(F.col("_got"), F.col("sold").cast("double"))
     closed = F.least("bought", "sold").cast("double")
-    return out.withColumn("status", status).withColumn("entry_price", entry).withColumn("exit_price", leave).withColumn("realized", F.when(closed > 0, (leave - entry) * closed)).drop("_paid", "_got")
+    return out.withColumn("status", status).withColumn("entry_price", entry).withColumn("exit_price", leave).withColumn("realized", F.when(closed > 0, (leave - entry) * closed)).withColumnsRenamed({"_paid": "entry_cost", "_got": "exit_value"})
 
 
 def conservation_violations(positions: DataFrame) -> DataFrame:

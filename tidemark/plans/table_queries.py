@@ -43,7 +43,7 @@ wm AS (SELECT wallet, count(*) AS positions, count(*) FILTER (status = 'still_op
 
 def lifecycle_positions(spark, sf_dir):
     p = W.lifecycles(trades(spark, sf_dir))
-    return p.select("wallet", "token", *[F.col(c).cast("double").alias(c) for c in ("bought", "sold", "remaining")], F.col("oversold").cast("double").alias("oversold_size"), "opened", "last", "trades", "sides", "status", F.round("entry_cost", 4).alias("entry_cost"), F.round("exit_value", 4).alias("exit_value"), F.round("realized", 4).alias("realized"))
+    return p.select("wallet", "token", *[F.col(c).cast("double").alias(c) for c in ("bought", "sold", "remaining")], F.col("oversold").cast("double").alias("oversold_size"), "opened", "last", "trades", "sides", "status", F.round("entry_cost", 4).alias("entry_cost"), F.round("exit_value", 4).alias("exit_value"))
 
 
 def lifecycle_conservation(spark, sf_dir):
@@ -279,7 +279,7 @@ def bootstrap_ci(spark, sf_dir):
 
 
 TABLES = {
-    "lifecycle_positions": (lifecycle_positions, f"WITH {TRADES} SELECT wallet, token, bought, sold, remaining, oversold_size, opened, last, trades, sides, status, round(paid, 4) AS entry_cost, round(got, 4) AS exit_value, round(realized, 4) AS realized FROM lr"),
+    "lifecycle_positions": (lifecycle_positions, f"WITH {TRADES} SELECT wallet, token, bought, sold, remaining, oversold_size, opened, last, trades, sides, status, round(paid, 4) AS entry_cost, round(got, 4) AS exit_value FROM lr"),
     "lifecycle_conservation": (lifecycle_conservation, f"WITH {TRADES} SELECT count(*) AS violations FROM lr WHERE bought + oversold_size <> sold + remaining"),
     "wallet_metrics": (wallet_metrics, f"WITH {TRADES} SELECT wallet, positions, still_open, partial_exit, full_exit, oversold, round(mean_bought, 6) AS mean_bought, round(median_bought, 6) AS median_bought, round(realized, 4) AS realized, wins, closed, trades FROM wm"),
     "wallet_score": (wallet_score, f"""WITH {TRADES}, s AS (SELECT *, coalesce(wins / nullif(closed, 0), 0) AS win, (full_exit + partial_exit) / positions AS ex, still_open / positions AS op, oversold / positions AS ov FROM wm)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import stream_queries, table_queries, time_queries
+from . import stream_queries, table_queries, time_queries, trading_queries
 
-_ALL = time_queries.BATCH | table_queries.TABLES | stream_queries.STREAMS
+_ALL = time_queries.BATCH | table_queries.TABLES | stream_queries.STREAMS | trading_queries.TRADING
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in _ALL.items()}
 ORACLES: dict[str, str] = {k: v[1] for k, v in _ALL.items() if v[1]}

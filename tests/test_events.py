@@ -27,7 +27,7 @@ def price(asset: str, at: float, value: float) -> str:
 
 
 def quote(asset: str, at: float, yes: float) -> str:
-    return line("polymarket_snapshot", at, market_id=f"m-{asset}", asset=asset, timestamp=(START + timedelta(seconds=at)).isoformat(), yes_price=yes, no_price=1 - yes, seconds_to_expiry=300 - at)
+    return line("venue_snapshot", at, market_id=f"m-{asset}", asset=asset, timestamp=(START + timedelta(seconds=at)).isoformat(), yes_price=yes, no_price=1 - yes, seconds_to_expiry=300 - at)
 
 
 @pytest.fixture
@@ -57,7 +57,7 @@ def test_strict_scan_fails(spark, log):
 
 
 def test_training_rows(spark, log):
-    rows = {r.asset: r for r in features.training_rows(E.read_sessions(spark, log)).collect()}
+    rows = {r.asset: r for r in features.training_rows(E.read_sessions(spark, log, names={"venue_snapshot": "market_snapshot"})).collect()}
     btc, eth = rows["BTC"], rows["ETH"]
     assert (btc.outcome, eth.outcome) == (1, 0)
     assert btc.label_source == "reference_window_return" and btc.skip_reason is None
@@ -71,7 +71,7 @@ def test_training_rows(spark, log):
 
 def test_resolution_wins_over_reference(spark, log):
     known = spark.createDataFrame([("m-BTC", 0)], "market_id string, outcome int")
-    rows = {r.asset: r for r in features.training_rows(E.read_sessions(spark, log), known).collect()}
+    rows = {r.asset: r for r in features.training_rows(E.read_sessions(spark, log, names={"venue_snapshot": "market_snapshot"}), known).collect()}
     assert (rows["BTC"].outcome, rows["BTC"].label_source) == (0, "resolution")
 
 

@@ -25,7 +25,7 @@ def training_rows(events: DataFrame, resolutions: DataFrame | None = None, ancho
     """
     markets = E.instruments(events).withColumn("t0", F.unix_micros("window_start")).withColumn("t1", F.unix_micros("window_end")).withColumn("t", F.col("t0") + anchor * SECOND)
     reference = _at(E.of_kind(events, "reference_price"), F.coalesce(iso_timestamp("timestamp"), F.col("event_time"))).select("asset", "t", "price")
-    snapshots = _at(E.of_kind(events, "polymarket_snapshot"), F.coalesce(iso_timestamp("timestamp"), F.col("event_time"))).select("market_id", "t", "yes_price", "no_price", "yes_bid", "yes_ask", "liquidity")
+    snapshots = _at(E.of_kind(events, "market_snapshot"), F.coalesce(iso_timestamp("timestamp"), F.col("event_time"))).select("market_id", "t", "yes_price", "no_price", "yes_bid", "yes_ask", "liquidity")
     lags = _at(E.of_kind(events, "lag_measurement"), F.col("event_time")).select("market_id", "t", "measurement.lag_score", "measurement.confidence")
     micro = _at(E.of_kind(events, "microstructure_snapshot"), F.col("event_time")).drop("event_time", "source_session", "event_index", "asset", "schema_version")
 

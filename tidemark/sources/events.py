@@ -12,7 +12,7 @@ MARKET = "struct<market_id:string,question:string,asset:string,window_start:stri
 KINDS = {
     "market_lifecycle": f"market_id string, previous string, current string, market {MARKET}",
     "reference_price": "asset string, price double, source string, timestamp string",
-    "polymarket_snapshot": "market_id string, asset string, timestamp string, yes_price double, no_price double, yes_bid double, yes_ask double, liquidity double, seconds_to_expiry double, quote_timestamp string, yes_bid_size double, yes_ask_size double, total_bid_depth double, total_ask_depth double, source_latency_seconds double",
+    "market_snapshot": "market_id string, asset string, timestamp string, yes_price double, no_price double, yes_bid double, yes_ask double, liquidity double, seconds_to_expiry double, quote_timestamp string, yes_bid_size double, yes_ask_size double, total_bid_depth double, total_ask_depth double, source_latency_seconds double",
     "microstructure_snapshot": "market_id string, asset string, schema_version int, quote_age_seconds double, repricing_velocity double, repricing_acceleration double, bid_ask_spread double, book_imbalance double, cross_asset_yes_dispersion double",
     "lag_measurement": "market_id string, measurement struct<external_price_change:double,polymarket_yes_price_change:double,lag_seconds:double,lag_score:double,direction:string,confidence:double,qualified:boolean,reason:string>",
     "lifecycle_tracking": "event string, market_id string, seconds_after_open_when_detected double",
@@ -26,11 +26,11 @@ def _indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("event_index", (F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_line")) - 1).cast("long"))
 
 
-def read_sessions(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_sessions(spark: SparkSession, path: str, strict: bool = False, names: dict[str, str] | None = None) -> DataFrame:
     """event, timestamp, payload (JSON text), source_session, event_index, malformed, of every line of the logs at `path`.
 
     A line that is no JSON object with an event and a time with offset is malformed: its columns are NULL; strict: the
-    read fails on it. Blank lines are skipped. Folders named `latest` are left out, as they repeat others.
+    read fails on it. `names` gives kinds that a log calls otherwise the names of KINDS. Blank lines are skipped. Folders named `latest` are left out, as they repeat others.
     """
     rows = _indexed(spark.read.text(path)).filter((F.trim("value") != "") & (F.col("source_session") != "latest"))
     fields = F.from_json("value", "event string, timestamp string")
@@ -39,8 +39,11 @@ def read_sessions(spark: SparkSession, path: str, strict: bool = False) -> DataF
     bad = F.col("_e.event").isNull() | F.col("_t").isNull()
     if strict:
         rows = rows.withColumn("_e", F.when(~bad, F.col("_e")).otherwise(F.raise_error(F.concat(F.lit("malformed event in "), F.col("_file"), F.lit(", line "), F.col("event_index").cast("string"))).cast(rows.schema["_e"].dataType)))
+    event = F.col("_e.event")
+    for old, new in (names or {}).items():
+        event = F.when(F.col("_e.event") == old, new).otherwise(event)
     return rows.select(
-        F.when(~bad, F.col("_e.event")).alias("event"),
+        F.when(~bad, event).alias("event"),
         F.when(~bad, F.col("_t")).alias("timestamp"),
         F.when(~bad, payload).alias("payload"),
         "source_session",

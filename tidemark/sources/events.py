@@ -14,7 +14,7 @@ KINDS = {
     "reference_price": "asset string, price double, source string, timestamp string",
     "market_snapshot": "market_id string, asset string, timestamp string, yes_price double, no_price double, yes_bid double, yes_ask double, liquidity double, seconds_to_expiry double, quote_timestamp string, yes_bid_size double, yes_ask_size double, total_bid_depth double, total_ask_depth double, source_latency_seconds double",
     "microstructure_snapshot": "market_id string, asset string, schema_version int, quote_age_seconds double, repricing_velocity double, repricing_acceleration double, bid_ask_spread double, book_imbalance double, cross_asset_yes_dispersion double",
-    "lag_measurement": "market_id string, measurement struct<external_price_change:double,polymarket_yes_price_change:double,lag_seconds:double,lag_score:double,direction:string,confidence:double,qualified:boolean,reason:string>",
+    "lag_measurement": "market_id string, measurement struct<external_price_change:double,lag_seconds:double,lag_score:double,direction:string,confidence:double,qualified:boolean,reason:string>",
     "lifecycle_tracking": "event string, market_id string, seconds_after_open_when_detected double",
 }
 

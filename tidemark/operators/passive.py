@@ -1,0 +1,34 @@
+"""Passive quotes: each policy of posting a bid and an ask at an entry, filled by the path that follows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .paths import future
+from .stats import with_scenarios
+
+
+def quoted(entries: DataFrame, path: DataFrame, key: str, entry: str, ts: str, value: str, policies: Sequence[dict], horizon: int) -> DataFrame:
+    """entry, policy, bid_fill, ask_fill, pnl for each entry and policy (policy, offset, size), over the path within the horizon.
+
+    The bid is posted `offset` under the entry's value and the ask as much over it; each fills when the value goes
+    beyond it. With both, the spread is earned; with one, the position is marked at the path's last value; with none,
+    pnl is 0. Entries without path are left out.
+    """
+    met = future(with_scenarios(entries.select(key, entry, ts, value), policies), path.select(key, ts, value), key, ts, horizon)
+    bid, ask = F.col(value) - F.col("offset"), F.col(value) + F.col("offset")
+    at, price = F.col(f"path_{ts}"), F.col(f"path_{value}")
+    out = met.groupBy(entry, "policy", "offset", "size", value).agg(F.min(F.when(price < bid, at)).alias("bid_fill"), F.min(F.when(price > ask, at)).alias("ask_fill"), F.max_by(price, at).alias("_last"))
+    b, a = F.col("bid_fill").isNotNull(), F.col("ask_fill").isNotNull()
+    pnl = F.when(b & a, 2 * F.col("offset")).when(b, F.col("_last") - bid).when(a, ask - F.col("_last")).otherwise(0.0)
+    return out.select(entry, "policy", "bid_fill", "ask_fill", (pnl * F.col("size")).alias("pnl"))
+
+
+def policy_summary(rows: DataFrame) -> DataFrame:
+    """policy, n, fill shares, mean and total pnl, wins."""
+    b, a = F.col("bid_fill").isNotNull(), F.col("ask_fill").isNotNull()
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy("policy").agg(F.count("*").alias("n"), share(b).alias("bid_share"), share(a).alias("ask_share"), share(a & b).alias("both_share"), F.avg("pnl").alias("mean_pnl"), F.sum("pnl").alias("total_pnl"), F.count(F.when(F.col("pnl") > 0, 1)).alias("wins"))

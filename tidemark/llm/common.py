@@ -35,6 +35,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Hand whole texts to Python a thousand rows at a time at most; the default of 10,000 takes memory in both processes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= 1_000:
+        spark.conf.set(name, "1000")
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; the fold rule of the classifiers."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

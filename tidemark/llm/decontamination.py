@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import pieces, strings
+from .common import lean, pieces, strings
 
 BITS, BLOCKS, RADIUS = 64, 4, 15
 SIMILARITY = 0.75
@@ -187,6 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     one, the one of the smallest id. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
+    lean(spark)
     out = None
     for items in _items(benchmark, block):
         index = spark.sparkContext.broadcast(items)

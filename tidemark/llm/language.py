@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, pieces, strings
+from .common import crc32_mod, lean, pieces, strings
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 #: Labelled rows of each language that are used in training, about.
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, network: ByteNetwork, key: str = "doc_id") -> Data
             found = network.predict_all(strings(x.column(1)))
             yield pa.record_batch([x.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[key, "lang_pred", "score"])
 
+    lean(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
@@ -185,4 +186,5 @@ def accepted(docs: DataFrame, network: ByteNetwork, least: float = 0.5) -> DataF
             found = network.predict_all(strings(x.column(at)))
             yield x.filter(pa.array([name != "und" and score >= least for name, score in found]))
 
+    lean(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

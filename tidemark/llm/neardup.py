@@ -5,9 +5,10 @@ of four; texts that share a band are candidates. A candidate's signatures are co
 dropped as soon as the posterior probability that its similarity reaches the threshold falls under the chosen miss
 probability. What is left is verified on the full shingle sets.
 
-A band shared by many texts never gives all of its pairs: each text is first compared with one pivot of the band, links
-are closed to components, and only texts of a band that are still in different components are compared further, in
-blocks of bounded size. No band, partner or candidate is capped.
+A band shared by many texts never gives all of its pairs: each text is first compared with one pivot of the band and
+links are closed to components, a few times with other pivots for the texts of other components. Only texts of a band
+that are still in different components are compared further, in blocks of bounded size. No band, partner or candidate
+is capped.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import pieces, staged, strings
+from .common import lean, pieces, staged, strings
 from .components import components
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 BATCH = 32
 MISS = 1e-5
-BLOCK = 256
+#: Texts in a block of the verification, about, and rounds of pivots.
+BLOCK = 4_096
+ROUNDS = 2
 #: Texts of a band in a block, where components meet.
 SPAN = 1024
 #: Ids that may be broadcast to thin the texts before they are shuffled; more are joined by shuffling.
@@ -75,7 +78,7 @@ def likely(one: np.ndarray, two: np.ndarray, threshold: float, miss: float) -> n
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, number of distinct shingles, two hashes of the word sequence, and the signature (null without words)."""
+    """doc_id, number of distinct shingles, two hashes of the word sequence, the signature and its bands (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
@@ -93,7 +96,8 @@ def described(docs: DataFrame) -> DataFrame:
                     first[key] = len(sets)
                     sets.append(np.unique(found[at[k] : at[k + 1]]))
                 which.append(first[key])
-            rows = [x.tobytes() for x in signatures(sets)] if sets else []
+            table = signatures(sets) if sets else np.zeros((0, HASHES), np.uint32)
+            rows, bands = [x.tobytes() for x in table], list(band_keys(table))
             yield pa.record_batch(
                 [
                     batch.column(0).cast(pa.int64()),
@@ -101,21 +105,25 @@ def described(docs: DataFrame) -> DataFrame:
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.array([rows[i] if i >= 0 else None for i in which], pa.binary()),
+                    pa.array([bands[i] if i >= 0 else None for i in which], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "signature"],
+                names=["doc_id", "n_shingles", "h1", "h2", "signature", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>")
 
 
 def _signature_array(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _banded(texts: DataFrame) -> DataFrame:
-    """(band, doc_id, n_shingles), a row for each band of each text."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    return texts.select("doc_id", "n_shingles", F.explode(keys).alias("band"))
+def band_keys(table: np.ndarray) -> np.ndarray:
+    """A hash of each band of each row of a signature table, with the band's place in it."""
+    parts = table.reshape(len(table), BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
+    for i in range(ROWS):
+        h = S.mixed(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i] + np.uint64(1))
+    return h.view(np.int64)
 
 
 def _sized(a: str, b: str, threshold: float):
@@ -159,7 +167,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def _across(texts: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
+def _placed(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """df with the component of its doc_id: its own id where it has no link."""
+    return df.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _starred(shared: DataFrame, labels: DataFrame, threshold: float, salt: int) -> DataFrame:
+    """Pairs (a, b) of the texts of each band with a pivot of it that is of another component."""
+    rows = staged(_placed(shared, labels), "placed")
+    by = F.xxhash64("doc_id", "band", F.lit(salt))
+    pivots = rows.groupBy("band").agg(F.min_by("doc_id", by).alias("pivot"), F.min_by("n_shingles", by).alias("size"), F.min_by("component", by).alias("theirs"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.join(pivots.filter("low <> high").drop("low", "high"), "band").filter((F.col("component") != F.col("theirs")) & _sized("size", "n_shingles", threshold))
+    return rows.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+
+
+def _across(texts: DataFrame, shared: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Likely pairs of texts that share a band but are in different components, as rows (block_a, block_b, a[], b[]).
 
     A band's texts are its largest component and the others; each part is cut into blocks of about SPAN. Blocks of others
@@ -167,10 +189,7 @@ def _across(texts: DataFrame, labels: DataFrame, threshold: float, miss: float)
     and a few others costs one copy of each row. Each pair of blocks is one bounded group. A pair is judged in the first
     band that it shares only.
     """
-    placed = texts.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = staged(placed, "placed")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    banded = placed.select("doc_id", "component", F.posexplode(keys).alias("at", "band"))
+    banded = staged(_placed(shared, labels), "placed")
     parts = banded.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band").agg(F.sum("n").alias("m"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
     mixed = mixed.filter("parts > 1 and m > 2").select("band", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / SPAN).alias("inner"), F.ceil((F.col("m") - F.col("top.n")) / SPAN).alias("outer"))
@@ -179,9 +198,11 @@ def _across(texts: DataFrame, labels: DataFrame, threshold: float, miss: float)
     rows = rows.withColumn("own", F.when(inside, F.col("outer") + F.pmod(F.xxhash64("doc_id", F.lit(3)), "inner")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(3)), "outer")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)))
     rows = rows.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "at", "own", "doc_id")
-    carried = placed.select("doc_id", "component", "n_shingles", "signature")
+    rows = staged(_placed(rows, labels), "across")
+    carried = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature")
     n = max(1, rows.select("doc_id").count() // 20_000)
-    rows = rows.join(carried, "doc_id").repartition(max(n, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "band", "low", "high").sortWithinPartitions("band", "low", "high")
+    rows = rows.join(carried, "doc_id").select("band", "low", "high", "at", "own", "doc_id", "component", "n_shingles", "signature")
+    rows = rows.repartition(max(n, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "band", "low", "high").sortWithinPartitions("band", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), group in _groups(batches, 3):
@@ -197,7 +218,8 @@ def _across(texts: DataFrame, labels: DataFrame, threshold: float, miss: float)
                     k = k[~(bands[k, : at[i]] == bands[i, : at[i]]).all(2).any(1)]
                 if len(k):
                     k = k[likely(np.broadcast_to(signature[i], (len(k), HASHES)), signature[k], threshold, miss)]
-                    found.append((np.full(len(k), i), k))
+                    if len(k):
+                        found.append((np.full(len(k), i), k))
             if found:
                 a, b = (ids[np.concatenate(x)] for x in zip(*found, strict=True))
                 yield pa.record_batch([pa.array([np.minimum(a, b)], pa.list_(pa.int64())), pa.array([np.maximum(a, b)], pa.list_(pa.int64()))], names=["a", "b"])
@@ -229,7 +251,8 @@ def verified(pairs: DataFrame, docs: DataFrame, numerator: int, denominator: int
                     names=["key", "a", "b"],
                 )
 
-    packed = staged(pairs.mapInArrow(cut, "key long, a array<long>, b array<long>"), "pairs")
+    # Written first, so that no task runs two Python workers.
+    packed = staged(staged(pairs, "likely").mapInArrow(cut, "key long, a array<long>, b array<long>"), "pairs")
     needed = staged(packed.select("key", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).distinct(), "needed")
     ids = staged(needed.select("doc_id").distinct(), "ids")
     texts = docs.select("doc_id", "text")
@@ -273,25 +296,32 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, miss: float = MIS
     words make one shingle. Repeated rows with one doc_id are one document and each gives a row; a row whose doc_id is
     null is linked with nothing, has a null component_id and is kept. An empty table gives an empty result.
     """
+    lean(docs.sparkSession)
     numerator = round(100 * similarity)
     described_ = staged(described(docs), "described")
     full = described_.filter("n_shingles > 0 and doc_id is not null")
     firsts = staged(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "firsts")
     copies = full.select("doc_id", "n_shingles", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "n_shingles", "first")
     heads = firsts.select(F.col("first").alias("doc_id")).distinct()
-    texts = staged(full.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "texts")
-
-    pivots = _banded(texts).groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("by"), F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("size"))).alias("p"))
-    pivots = staged(pivots.filter("m > 1").select("band", "p.pivot", "p.size"), "pivots")
-    starred = _banded(texts).join(pivots, "band").filter((F.col("pivot") != F.col("doc_id")) & _sized("size", "n_shingles", similarity))
-    pairs = starred.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    pairs = _pruned(pairs, texts, similarity, miss)
+    texts = full.join(heads, "doc_id", "left_semi").select("doc_id", "n_shingles", "signature", "bands")
+    if not full.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id"])
+    texts = staged(texts, "texts")
+
+    banded = texts.select("doc_id", "n_shingles", F.posexplode("bands").alias("at", "band"))
+    several = staged(banded.groupBy("band").count().filter("count > 1").select("band"), "bands")
+    shared = staged(banded.join(several, "band"), "shared")
     blocks = max(1, texts.count() // BLOCK)
-    packed = pairs.select(F.array("a").alias("a"), F.array("b").alias("b"))
-    links = staged(verified(packed, docs, numerator, 100, blocks), "links")
-    labels = components(links)
-
-    more = staged(verified(_across(texts, labels, similarity, miss), docs, numerator, 100, blocks), "links")
+    links = labels = None
+    for salt in range(ROUNDS):
+        pairs = _pruned(_starred(shared, labels if labels is not None else _none(texts), similarity, salt), texts, similarity, miss)
+        fresh = staged(verified(pairs.select(F.array("a").alias("a"), F.array("b").alias("b")), docs, numerator, 100, blocks), "links")
+        links = fresh if links is None else links.union(fresh)
+        if labels is not None and fresh.isEmpty():
+            break
+        labels = components(links)
+
+    more = staged(verified(_across(texts, shared, labels, similarity, miss), docs, numerator, 100, blocks), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     found = copies.join(labels.select(F.col("node").alias("first"), "component"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
@@ -299,6 +329,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, miss: float = MIS
     return found.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _none(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
+
+
 def deduplicated(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest id.
 

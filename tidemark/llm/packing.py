@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, strings
+from .common import lean, pieces, strings
 from .tokens import default_path, encoder
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -84,6 +84,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacities: Sequence[i
     least. `start` is the piece's place in its document, `bin_offset` its place in the bin; bin_id is unique. Repeated
     rows are packed each on its own; other columns are ignored; an empty table gives no rows.
     """
+    lean(docs.sparkSession)
     tokenizer = tokenizer or default_path()
     greatest = max(capacities)
 
@@ -110,7 +111,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacities: Sequence[i
                 yield pa.record_batch([pa.array(c[i : i + 10_000], from_pandas=True) for c in columns[:1]] + [pa.array(c[i : i + 10_000]) for c in columns[1:]], schema=schema)
 
         count = 0
-        for x in pieces(batches, "text"):
+        for x in pieces(batches, "text", 1 << 20):
             n = np.array([len(e) + 1 for e in encoder(tokenizer)(strings(x.column(1)))], np.int64)
             parts = -(-n // greatest)
             ids = np.array([i for i in x.column(0).to_pylist()], object)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import pieces, strings
+from .common import lean, pieces, strings
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's place in KINDS, start, end
@@ -296,6 +296,7 @@ def find(docs: DataFrame, model: Detector | None = None, key: str = "doc_id") ->
             every = [sorted(b + model.added(t, b)) for t, b in zip(texts, base, strict=True)]
             yield pa.record_batch([x.column(0), pa.array([_listed(b) for b in base], _SPANS), pa.array([_listed(s) for s in every], _SPANS)], names=[key, "base", "spans"])
 
+    lean(docs.sparkSession)
     kind = "array<struct<kind:string,start:long,end:long>>"
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, base {kind}, spans {kind}")
 
@@ -323,6 +324,7 @@ def redact(docs: DataFrame, model: Detector | None = None) -> DataFrame:
             new = pa.array([None if t is None else clean(t) for t in x.column(at).to_pylist()], pa.string())
             yield pa.record_batch([new if i == at else c for i, c in enumerate(x.columns)], names=x.schema.names)
 
+    lean(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -24,7 +24,7 @@ LEAST_RATIO, LEAST_COUNT = 1.3, 8
 #: What a toxic text counts in training, against 1 of another.
 WEIGHT = 4.0
 #: Bytes of a part; a long text is as toxic as its worst part.
-STRETCH = 4_096
+STRETCH = 1_024
 
 
 def _hashed(raw: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ def test_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(default_path())
-    texts = ["The cat, the CAT!! don't x.y a.b", "", "ÉTÉ naïve 漢字 \U0001f600 éá. <|endoftext|>x", "a\tb\r\nc \x0b d", "'s 'll it's", "x" * 300, "##$$%% a###b"]
+    texts = ["The cat, the CAT!! don't x.y a.b", "", "ÉTÉ naïve 漢字 \U0001f600 éá. <|endoftext|>x", "a\tb\r\nc \x0b d", "'s 'll it's", "x" * 300, "##$$%% a###b", "A <|ENDOFTEXT|> B", "ÀÖØÞß µª"]
     encode = WordEncoder(default_path())
     for _ in range(2):
         assert [e.tolist() for e in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import new_path, pieces, strings
+from .common import lean, new_path, pieces, strings
 from .tokens import default_path, encoder
 
 LENGTH = 2048
 END = 1
 #: Rows of a batch, and ids that a read batch holds at most (but for one document that is longer).
-ROWS, READ = 256, 1 << 20
+ROWS, READ = 256, 1 << 19
 LISTING = "_files.json"
 
 
@@ -49,8 +49,9 @@ class _Part(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, length: int, dtype: str, overwrite: bool):
-        self.path, self.length, self.dtype, self.overwrite = path, length, np.dtype(dtype), overwrite
+    def __init__(self, path: str, length: int, tokenizer: str, end: int):
+        self.path, self.length, self.tokenizer, self.end = path, length, tokenizer, end
+        self.dtype = np.dtype("<u2" if max(encoder(tokenizer).size, end + 1) <= 1 << 16 else "<u4")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -70,17 +71,18 @@ class _Writer(DataSourceArrowWriter):
             return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=schema)
 
         for given in iterator:
-            for x in pieces(iter([given]), "ids", READ * self.dtype.itemsize):
+            for x in pieces(iter([given]), "text", 1 << 20):
                 if sink is None:
                     first = x.column(0)[0].as_py() or 0
                     out, docs = system.open_output_stream(f"{root}/part-{name}"), system.open_output_stream(f"{root}/docs-{name}")
                     sink, listing = pa.ipc.new_file(out, schema), pa.ipc.new_stream(docs, index)
-                raw = x.column(1).to_pylist()
-                n = np.array([len(r) // self.dtype.itemsize for r in raw], np.int64)
+                parts = encoder(self.tokenizer)(strings(x.column(1)))
+                n = np.array([len(p) + 1 for p in parts], np.int64)
                 ends = np.cumsum(n)
-                ids = np.frombuffer(b"".join(raw), self.dtype)
+                tail = np.array([self.end], self.dtype)
+                ids = np.concatenate([y for p in parts for y in (p.astype(self.dtype), tail)])
                 mask = np.ones(len(ids), np.uint8)
-                mask[ends[n > 0] - 1] = 2
+                mask[ends - 1] = 2
                 listing.write_batch(pa.record_batch([x.column(0), pa.array(total + ends - n), pa.array(n)], schema=index))
                 documents, total = documents + len(n), total + len(ids)
                 rest = np.concatenate((rest[0], ids)), np.concatenate((rest[1], mask))
@@ -147,8 +149,9 @@ class _Reader(DataSourceReader):
                     own = n[a:b]
                     begin = x.column(1)[a].as_py()
                     ids = sequences.ids(begin, begin + int(own.sum()))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(own))).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.record_batch([x.column(0).slice(a, b - a), pa.array(partition.start + x.column(1).to_numpy()[a:b]), pa.array(own), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                    offsets = pa.array((4 * np.concatenate(([0], np.cumsum(own)))).astype(np.int32))
+                    raw = pa.Array.from_buffers(pa.binary(), len(own), [None, offsets.buffers()[1], pa.py_buffer(ids.astype("<u4"))])
+                    yield pa.record_batch([x.column(0).slice(a, b - a), pa.array(partition.start + x.column(1).to_numpy()[a:b]), pa.array(own), raw], names=["doc_id", "start", "n_tokens", "ids"])
 
 
 class Sequences:
@@ -185,20 +188,24 @@ class Sequences:
 
 
 class TokenSequences(DataSource):
-    """`spark.read.format("token_sequences")` and `df.write.format("token_sequences")`; options length and dtype."""
+    """`spark.read.format("token_sequences")` and `df.write.format("token_sequences")`; options length, tokenizer, end.
+
+    What is written has doc_id and text in ascending order of doc_id over its partitions; what is read has each
+    document's ids as little-endian unsigned 32-bit integers.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "token_sequences"
 
     def schema(self) -> str:
-        return "doc_id long, start long, n_tokens long, ids array<int>"
+        return "doc_id long, start long, n_tokens long, ids binary"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("length", LENGTH)), self.options.get("dtype", "<u2"), overwrite)
+        return _Writer(self.options["path"], int(self.options.get("length", LENGTH)), self.options.get("tokenizer") or default_path(), int(self.options.get("end", END)))
 
 
 def listing(path: str) -> dict:
@@ -216,19 +223,12 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str | None = None, le
     columns are ignored. No rows give a folder without part files. ids take 2 bytes each if the vocabulary allows it.
     """
     spark = docs.sparkSession
+    lean(spark)
     tokenizer = tokenizer or default_path()
     spark.dataSource.register(TokenSequences)
-    dtype = np.dtype("<u2" if max(encoder(tokenizer).size, end + 1) <= 1 << 16 else "<u4")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], dtype)
-        for x in pieces(batches, "text"):
-            ids = [np.concatenate((e.astype(dtype), tail)).tobytes() for e in encoder(tokenizer)(strings(x.column(1)))]
-            yield pa.record_batch([x.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
     # The random number parts rows of one id; it is the same when a task runs again.
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.rand(5))
-    dealt.sortWithinPartitions("doc_id").mapInArrow(encode, "doc_id long, ids binary").write.format("token_sequences").option("length", length).option("dtype", dtype.str).mode("append").save(path)
+    dealt.sortWithinPartitions("doc_id").write.format("token_sequences").options(length=length, tokenizer=tokenizer, end=end).mode("append").save(path)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -242,12 +242,4 @@ def round_trip(docs: DataFrame, path: str | None = None, tokenizer: str | None =
     path = path or new_path(docs.sparkSession, "sequences")
     write_sequences(docs, path, tokenizer, length)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for x in batches:
-            offsets, ids = x.column(3).offsets.to_numpy(), x.column(3).values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.record_batch([x.column(0), x.column(1), x.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_sequences(docs.sparkSession, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_sequences(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -236,24 +236,21 @@ def verified(pairs: DataFrame, docs: DataFrame, numerator: int, denominator: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i in range(x.num_rows):
-                a, b = (np.asarray(x.column(k)[i].values) for k in (0, 1))
-                ha, hb = (S.mixed(v.view(np.uint64)) % np.uint64(blocks) for v in (a, b))
-                key = (ha * np.uint64(blocks) + hb).astype(np.int64)
-                order = np.argsort(key, kind="stable")
-                cuts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0, [True])))
-                yield pa.record_batch(
-                    [
-                        pa.array(key[order][cuts[:-1]]),
-                        pa.array([a[order[p:q]] for p, q in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64())),
-                        pa.array([b[order[p:q]] for p, q in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64())),
-                    ],
-                    names=["key", "a", "b"],
-                )
+            a, b = (x.column(k).flatten().to_numpy() for k in (0, 1))
+            if not len(a):
+                continue
+            ha, hb = (S.mixed(v.view(np.uint64)) % np.uint64(blocks) for v in (a, b))
+            key = (ha * np.uint64(blocks) + hb).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0, [True])))
+            parts = [order[p:q] for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+            lists = pa.list_(pa.int64())
+            columns = [[a[p] for p in parts], [b[p] for p in parts], [np.unique(np.concatenate((a[p], b[p]))) for p in parts]]
+            yield pa.record_batch([pa.array(key[order][cuts[:-1]]), *[pa.array(c, lists) for c in columns]], names=["key", "a", "b", "docs"])
 
     # Written first, so that no task runs two Python workers.
-    packed = staged(staged(pairs, "likely").mapInArrow(cut, "key long, a array<long>, b array<long>"), "pairs")
-    needed = staged(packed.select("key", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).distinct(), "needed")
+    packed = staged(staged(pairs, "likely").mapInArrow(cut, "key long, a array<long>, b array<long>, docs array<long>"), "pairs")
+    needed = staged(packed.select("key", F.explode("docs").alias("doc_id")).distinct(), "needed")
     ids = staged(needed.select("doc_id").distinct(), "ids")
     texts = docs.select("doc_id", "text")
     texts = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else texts.join(ids, "doc_id", "left_semi")

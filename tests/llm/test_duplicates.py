@@ -211,6 +211,17 @@ def test_multi_index_finds_all_within_the_radius():
     assert set(zip(rows.tolist(), found.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
 
 
+def test_leaks_in_documents_shorter_than_the_window(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    bench = [(i, fresh(44 if i < 60 else 54)) for i in range(120)]
+    docs = [(i, " ".join(w[:35])) for i, w in bench[:60]]
+    bench = [(i, " ".join(w)) for i, w in bench]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    # 31 of 40 shingles; whether a fingerprint is within the radius is a matter of chance.
+    assert len(got) > 50 and all(r.doc_id == r.item_id and r.similarity == 31 / 40 for r in got)
+
+
 def test_leaks_of_odd_rows(spark, odd, odd_rows, empty):
     bench = spark.createDataFrame([(5, odd_rows[11][1], "x", 0.1), (4, odd_rows[11][1], "x", 0.1), (6, None, "x", 0.1), (7, "too short", "x", 0.1), (None, "a b c d e f", "x", 0.1)], B)
     got = decontamination.contaminated(odd, bench).collect()

@@ -133,7 +133,7 @@ class Index:
                 k = k[k + width <= first[text[k] + 1]]
                 count = np.minimum(begins[k] + width * step, ends[k]) - begins[k]
                 # A text with fewer runs than a window is one window, if it is long enough.
-                short = np.flatnonzero((runs > 0) & (runs < width) & (n >= 0.7 * c.size))
+                short = np.flatnonzero((runs > 0) & (runs < width) & (n >= similarity * min(len(self.shingles[i]) for i in c.items)))
                 totals = _summed(sums, width)[k] if len(k) else np.zeros((0, BITS), kind)
                 if len(short):
                     totals = np.concatenate((totals, np.stack([bits[offsets[t] : offsets[t + 1]].sum(0, dtype=kind) for t in short])))

@@ -162,6 +162,23 @@ def test_passages_of_odd_rows(spark, odd, empty):
     assert passages.repeated_passages(empty).collect() == []
 
 
+@pytest.mark.parametrize("n", [50, 51, 52, 56])
+def test_short_passages_are_all_found(spark, n):
+    rng = random.Random(n)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(0, 1200, 2):
+        shared = fresh(n)
+        other = shared[:]
+        if i % 4:
+            other[n // 2] = "other"
+        rows += [(i, " ".join(fresh(30) + shared + fresh(30))), (i + 1, " ".join(fresh(20) + other + fresh(40)))]
+        want |= {i: 30, i + 1: 20}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.start_word for r in got} == want
+    assert all(r.end_word - r.start_word == n for r in got)
+
+
 def items(rng, n):
     return [(i, " ".join(f"b{rng.randrange(10**6)}" for _ in range(rng.randint(15, 60))), "x", 0.1) for i in range(n)]
 

@@ -162,6 +162,24 @@ def test_passages_of_odd_rows(spark, odd, empty):
     assert passages.repeated_passages(empty).collect() == []
 
 
+def test_passages_behind_a_frequent_line(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(0, 4000, 40):
+        # The first document has 45 words of the passage, too few for a passage of its own; the others share 60.
+        shared = fresh(60)
+        rows += [(i, " ".join(fresh(40) + shared[:45] + fresh(40))), (i + 1, " ".join(fresh(30) + shared + fresh(50))), (i + 2, " ".join(fresh(50) + shared + fresh(20)))]
+        want |= {i + 1, i + 2}
+    line = fresh(45)
+    rows += [(5000 + i, " ".join(fresh(30) + line + fresh(30))) for i in range(30)]
+    tail = line + fresh(12)
+    rows += [(6000 + i, " ".join(fresh(30) + tail + fresh(30))) for i in range(2)]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == want | {6000, 6001}
+    assert all(got[i].end_word - got[i].start_word == 60 for i in want)
+
+
 @pytest.mark.parametrize("n", [50, 51, 52, 56])
 def test_short_passages_are_all_found(spark, n):
     rng = random.Random(n)

@@ -49,6 +49,39 @@ def test_language_of_odd_rows(spark, odd, odd_rows, empty):
     assert {r.lang_pred for r in language.identify(odd, none).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    rng = random.Random(4)
+    rows = [(i, made(rng, "abc" if i % 2 else "xyz"), "one" if i % 2 else "two") for i in range(40)]
+    network = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = network.predict_all(["\u00b2 \u00bd \u2460", "\u2167 12 _ \u0663", "\U0001f600 !", "12 a", "\u6f22", None])
+    assert [x == ("und", 0.0) for x in found] == [True, True, True, False, False, True]
+
+
+def test_network_equals_its_definition():
+    rng = np.random.default_rng(9)
+    filters = [rng.normal(0, 1, (w, 256, language.FILTERS)).astype(np.float32) for w in language.WIDTHS]
+    biases = [rng.normal(0, 1, language.FILTERS).astype(np.float32) for _ in language.WIDTHS]
+    dense, offset = rng.normal(0, 0.3, (len(language.WIDTHS) * language.FILTERS, 3)), rng.normal(0, 1, 3)
+    batch = rng.integers(0, 256, (5, 40), dtype=np.uint8)
+    want = []
+    for row in batch:
+        hidden = [max(0.0, max(sum(f[i, row[p + i], k] for i in range(len(f))) for p in range(40 - len(f) + 1)) + b[k]) for f, b in zip(filters, biases, strict=True) for k in range(language.FILTERS)]
+        z = np.exp(np.array(hidden) @ dense + offset - 20)
+        want.append(z / z.sum())
+    got = language.ByteNetwork(["a", "b", "c"], filters, biases, dense, offset).probabilities(batch)
+    assert got == pytest.approx(np.array(want), rel=1e-3, abs=1e-6)
+
+
+def test_many_languages_are_sampled_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, made(rng, "abcdef"), f"l{i % 7}") for i in range(300)] + [(None, "a b", "l0"), (1, None, "l0"), (2, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = language.fit(df, bound=20)
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    two = language.fit(df, bound=20)
+    assert one.languages == two.languages and all((a == b).all() for a, b in zip(one.filters, two.filters, strict=True))
+
+
 def test_all_windows_count():
     rng = random.Random(2)
     rows = [(made(rng, "abc"), "x") for _ in range(60)] + [(made(rng, "xyz"), "y") for _ in range(60)]
@@ -142,6 +175,17 @@ def test_base_spans_equal_the_rules():
     assert pii.base_spans("7" * 300_000 + "a" * 300_000 + "@" * 1000) == []
 
 
+def test_very_long_numbers_of_each_kind(spark):
+    zeros = "0" * 1_000_000
+    texts = ["0" * 5000 + ".1.1.1", zeros + ".1.1.1", "1.1.1." + zeros + "255", "1.1.1." + zeros + "256", "1.1.1.256", "0.00.000.0255", zeros, "+" + zeros, f"{zeros}@{zeros}.{zeros}", "9" * 5000 + ".1.1.1", "4" * 20_000, ":".join(["0" * 5000] * 8), f"({zeros}) 555"]
+    spans = [[(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] for t in texts]
+    assert spans[:6] == [[("ip", 0, 5006)], [("ip", 0, 1_000_006)], [("ip", 0, 1_000_009)], [], [], [("ip", 0, 13)]]
+    assert spans[6:8] == [[], []] and spans[8] == [("email", 0, 3_000_002)] and spans[9:] == [[], [], [], []]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_ip for r in pii.personal_data_of_documents(rows).collect()} == {i: int(i in (0, 1, 2, 5)) for i in range(len(texts))}
+    assert {r.doc_id: r.text for r in pii.redact(rows).collect()}[1] == "[IP]"
+
+
 def test_added_spans_are_personal_data():
     d = pii.detector()
     found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in d.added(t, pii.base_spans(t))]

@@ -16,13 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, lean, pieces, strings
+from .common import crc32_mod, lean, pieces, staged, strings
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 #: Labelled rows of each language that are used in training, about.
 SAMPLE = 1_500
 EPOCHS, SHARE = 8, 64
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages whose counts may be broadcast; more are joined by shuffling.
+LANGUAGES = 4_096
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter: numerals such as a half, superscripts or Roman ones are none."""
+    return text is not None and any(m.group().isalpha() for m in _WORD.finditer(text))
 
 
 def windows(text: str, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +81,7 @@ class ByteNetwork:
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language and its probability for each text; ('und', 0.0) without any letter."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        held = [(i, *windows(t)) for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        held = [(i, *windows(t)) for i, t in enumerate(texts) if has_letter(t)]
         if not held or not self.languages:
             return out
         every, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
@@ -140,12 +147,22 @@ def train(batch: np.ndarray, labels: list[str], epochs: int = EPOCHS, seed: int
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE, seed: int = 23) -> ByteNetwork:
-    """Train on about `bound` rows of each language of docs (doc_id, text, lang), chosen by a hash; one window of each text."""
+    """Train on about `bound` rows of each language of docs (doc_id, text, lang), chosen by a hash.
+
+    Of each chosen text one window is learned, at a place that a hash of the id chooses among all of the text. Texts that
+    are null, blank or without language are left out. The counts of the languages are joined as a broadcast, so no text
+    is shuffled and no language's rows meet in one task; only if there are more than LANGUAGES are windows shuffled.
+    """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(bound)) / F.col("count")).alias("share"))
-    chosen = known.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    counts = staged(known.groupBy("lang").count(), "languages").select("lang", F.least(F.lit(1.0), F.lit(float(bound)) / F.col("count")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003))
     begin = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
-    rows = chosen.select("lang", F.substring("text", begin + 1, F.lit(WINDOW)).alias("text")).filter(F.length(F.trim("text")) > 0)
+    window = F.substring("text", begin + 1, F.lit(WINDOW)).alias("text")
+    if counts.count() <= LANGUAGES:
+        rows = known.join(F.broadcast(counts), "lang").filter(drawn < F.col("share") * 1_000_003).select("lang", window)
+    else:
+        rows = known.select("lang", drawn.alias("drawn"), window).join(counts, "lang").filter(F.col("drawn") < F.col("share") * 1_000_003).select("lang", "text")
+    rows = rows.filter(F.length(F.trim("text")) > 0)
     rows = sorted(rows.toPandas()[["lang", "text"]].itertuples(index=False, name=None))
     batch = np.zeros((len(rows), WINDOW), np.uint8)
     for i, (_, t) in enumerate(rows):
@@ -172,13 +189,21 @@ def identify(docs: DataFrame, network: ByteNetwork, key: str = "doc_id") -> Data
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the documents whose crc32(doc_id) mod 4 isn't 2."""
+    """doc_id, held_out, lang_pred, score; learned from the documents whose crc32(doc_id) mod 4 isn't 2.
+
+    A text that is null, empty or without a letter is `und` with score 0. A null doc_id is never held out; repeated rows
+    give a row each; other columns are ignored; an empty table gives an empty result.
+    """
     network = fit(docs.filter(crc32_mod("doc_id", 4) != 2))
     return identify(docs, network).select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, network: ByteNetwork, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose language the network knows: not `und`, and scored `least` or more."""
+    """The rows of docs, with all their columns, whose language the network knows: not `und`, and scored `least` or more.
+
+    Rows with a null, empty or letterless text go; a null id or language changes nothing; repeated rows are each judged
+    alike. An empty table, or a network without languages, gives an empty result.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,9 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            # Without leading zeros first: a part may be longer than any number Python would read.
+            parts = [p.lstrip("0") for p in m.group().split(".")]
+            if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts):
                 found.append((1, *m.span()))
         for m in _CARD.finditer(text):
             if 13 <= m.end() - m.start() <= 37:
@@ -332,7 +334,9 @@ def redact(docs: DataFrame, model: Detector | None = None) -> DataFrame:
 def personal_data_of_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: the digests of the spans of every document.
 
-    The counts and the hash are of the base spans.
+    The counts and the hash are of the base spans. A null or empty text has zeros, the hash of an empty string and empty
+    spans. A null doc_id stays null; repeated rows give a row each; other columns of docs are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -15,23 +15,24 @@ V = "vec_id long, embedding array<float>, score int, dims int, own int"
 
 def brute(rows, queries, k):
     def q(v):
-        return None if v is None or not v or any(x is None or not np.isfinite(x) for x in v) else [int(np.floor(1024 * float(np.float32(x)))) for x in v]
+        return None if v is None or any(x is None or not np.isfinite(x) for x in v) else [int(np.floor(1024 * float(np.float32(x)))) for x in v]
 
-    vectors = {(i, tuple(q(v))) for i, v, *_ in rows if i is not None and q(v)}
-    out = []
-    for i, v in sorted(vectors):
+    vectors = [(i, w) for i, v, *_ in rows if i is not None and (w := q(v)) is not None]
+    scores: dict = {}
+    for i, v in vectors:
         if i in queries:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in vectors if j != i and len(w) == len(v))[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
-    return sorted(out)
+            scores.setdefault(i, []).extend((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in vectors if j != i and len(w) == len(v))
+    long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    return sorted((i, n + 1, j, long(-s)) for i, found in scores.items() for n, (s, j) in enumerate(sorted(found)[:k]))
 
 
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 16).round(2 if i % 3 else 1).tolist(), 1, 2, 3) for i in range(400)]
     rows += [(400 + i, [0.5] * 16, 1, 2, 3) for i in range(30)] + [rows[0], (None, [0.1] * 16, 1, 2, 3), (500, None, 1, 2, 3), (501, [float("nan")] + [0.1] * 15, 1, 2, 3), (502, [None] + [0.1] * 15, 1, 2, 3), (503, [], 1, 2, 3), (504, [0.5, 0.25], 1, 2, 3), (505, [-90.0] * 16, 1, 2, 3)]
+    rows += [(506, [], 1, 2, 3), (507, [], 1, 2, 3), rows[7], rows[405]]
     df = spark.createDataFrame(rows, V)
-    wanted = {0, 7, 100, 405, 500, 501, 504, 505}
+    wanted = {0, 7, 100, 405, 500, 501, 503, 504, 505}
     got = bitsliced.top_k(df, df.filter(df.vec_id.isin(*wanted)), 10).collect()
     assert sorted(map(tuple, got)) == brute(rows, wanted, 10)
 
@@ -46,6 +47,32 @@ def test_top_k_in_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, bitsliced.top_k(df, df.filter("vec_id % 30 = 0"), 5).collect())) == brute(rows, wanted, 5)
 
 
+def test_top_k_of_huge_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 1, 4).tolist(), 1, 2, 3) for i in range(60)]
+    rows += [(60 + i, (rng.normal(0, 1, 4) * 10.0 ** rng.integers(5, 38)).tolist(), 1, 2, 3) for i in range(40)]
+    rows += [(100, [3e5, 1.0, 0.0, 0.0], 1, 2, 3), (101, [1e6] * 4, 1, 2, 3), (102, [1e9, -1e9, 0.0, 0.0], 1, 2, 3), (103, [3e38] * 4, 1, 2, 3), (104, [2e38] * 4, 1, 2, 3), (105, [float("inf")] * 4, 1, 2, 3)]
+    df = spark.createDataFrame(rows, V)
+    wanted = {0, 7, 60, 61, 75, 100, 101, 102, 103, 105}
+    got = bitsliced.top_k(df, df.filter(df.vec_id.isin(*wanted)), 10).collect()
+    assert sorted(map(tuple, got)) == brute(rows, wanted, 10)
+
+
+def test_sql_of_top_k_takes_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1, 4).tolist(), 1, 2, 3) for i in range(250)]
+    rows += [rows[100], rows[3], (300, [], 1, 2, 3), (301, [], 1, 2, 3), (400, None, 1, 2, 3), (None, [1.0] * 4, 1, 2, 3), (500, [3e5, 1.0, 0.0, 0.0], 1, 2, 3), (501, [None] * 4, 1, 2, 3)]
+    spark.createDataFrame(rows, V).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["op1_bit_sliced_top_k"]).fetchall())
+    assert sorted(map(tuple, queries.op1_bit_sliced_top_k(spark, str(tmp_path)).collect())) == want == brute(rows, {0, 100, 200, 300, 400, 500}, 10)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], V)
     assert bitsliced.top_k(df, df).collect() == []

@@ -10,29 +10,31 @@ bounds every row's score from both sides; rows within the bound of the k-th one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import groups, lean, staged
 
 SCALE = 1024
 #: Slices of an attribute that are added up; lower ones only count in the exact scores of boundary rows.
 SLICES = 6
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
-#: Components are exact below this magnitude; a vector with a greater one takes no part.
-LIMIT = 1 << 28
+#: Rows of a block and their bytes at most, and queries that are read at once.
+ROW_BLOCK, BLOCK_BYTES, QUERY_BLOCK = 16_384, 32 << 20, 1_024
+_LONG = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, key: str, column: str, scale: int = SCALE) -> DataFrame:
-    """key and v, floor(scale * x) of each component as long; without the vectors that take no part. Repeated rows are one."""
+    """key and v, floor(scale * x) of each component as a double, which holds it exactly; without the vectors that take no part."""
     x = F.col(column)
-    usable = F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0)
-    usable &= ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) * scale > float(LIMIT)))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale))).cast("long"))
-    return vectors.filter(usable).select(F.col(key).cast("long").alias(key), v.alias("v")).distinct()
+    scaled = lambda e: e.cast("double") * F.lit(float(scale))
+    usable = F.col(key).isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(scaled(e)) | (F.abs(scaled(e)) == F.lit(float("inf"))))
+    # Doubles from 2^52 on are whole numbers.
+    v = F.transform(x, lambda e: F.when(F.abs(scaled(e)) < float(1 << 52), F.floor(scaled(e)).cast("double")).otherwise(scaled(e)))
+    return vectors.filter(usable).select(F.col(key).cast("long").alias(key), v.alias("v"))
 
 
 class BitSlices:
@@ -111,60 +113,91 @@ class BitSlices:
         return np.flatnonzero(np.unpackbits((above | same).view(np.uint8), bitorder="little"))
 
 
-def _best(ids: np.ndarray, index: BitSlices, queries: Iterator[tuple[int, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for query, v in queries:
-        mine = ids == query
-        own = None
-        if mine.any():
-            padded = np.zeros(index.words * 64, bool)
-            padded[: len(ids)] = mine
-            own = np.packbits(padded, bitorder="little").view(np.uint64)
-        rows = index.top(v, k, own)
-        score = index.values[rows] @ v
-        order = np.lexsort((ids[rows], -score))[:k]
-        yield query, ids[rows][order], score[order]
+class Block:
+    """Rows (ids, whole numbers as doubles): an index of those whose inner products fit 63 bits, and the others by themselves."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids = ids
+        #: Components up to this magnitude are small.
+        self.bound = isqrt((1 << 62) // max(1, values.shape[1]))
+        small = (np.abs(values) <= self.bound).all(1)
+        self.small, self.large = np.flatnonzero(small), np.flatnonzero(~small)
+        self.index = BitSlices(values[small].astype(np.int64))
+        self.wide = _wide(values[self.large])
+
+    def best(self, query: int, v: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows but the query's own, by falling score, then id; scores are exact, of any size."""
+        small, large = self.small, self.large
+        mine = self.ids[small] == query
+        if (np.abs(v) <= self.bound).all():
+            q = v.astype(np.int64)
+            own = None
+            if mine.any():
+                padded = np.zeros(self.index.words * 64, bool)
+                padded[: len(small)] = mine
+                own = np.packbits(padded, bitorder="little").view(np.uint64)
+            rows = self.index.top(q, k, own)
+            scores, ids = self.index.values[rows] @ q, self.ids[small[rows]]
+            order = np.lexsort((ids, -scores))[:k]
+            found = list(zip(scores[order].tolist(), ids[order].tolist(), strict=True))
+        else:
+            scores = _wide(self.index.values[~mine]) @ _wide(v[None])[0] if len(v) else np.zeros(int((~mine).sum()), object)
+            found = list(zip(scores.tolist(), self.ids[small[~mine]].tolist(), strict=True))
+        if len(large):
+            others = self.ids[large] != query
+            found += zip((self.wide[others] @ _wide(v[None])[0]).tolist(), self.ids[large[others]].tolist(), strict=True)
+        return sorted(found, key=lambda f: (-f[0], f[1]))[:k] if len(found) > k or len(large) else found
+
+
+def _wide(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python's, which have any size."""
+    out = np.empty(values.shape, object)
+    out[:] = [[int(x) for x in row] for row in values.tolist()] if values.size else 0
+    return out
+
+
+def _beyond(score: int) -> bytes | None:
+    """For a score that a long can't hold (or the last that it can), bytes that sort as the score."""
+    return (score + (1 << 2160)).to_bytes(272, "big") if abs(score) >= _LONG else None
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k highest integer inner products, ties to smaller ids.
 
-    Both inputs have `key` and `column` (an array of numbers); other columns are ignored. A null key, a null or empty
-    vector, or one with a null, non-finite or huge component (over 2^28 after scaling) takes no part. Rows with the
-    query's own key are no candidates; repeated rows count once; vectors of other lengths than the query's are no
-    candidates. Rows and queries are dealt to blocks by hash, and each pair of blocks is one bounded group that gives
-    k rows a query; the best k of those are kept. Empty tables give an empty result.
+    Both inputs have `key` and `column` (an array of numbers); other columns are ignored. A row with a null key, a null
+    vector, or one that holds a null or a component that isn't finite (once scaled, in a double) takes no part. Rows with
+    the query's own key are no candidates, nor are vectors of another length; empty vectors score 0 among themselves.
+    Repeated rows are candidates, and queries, each on their own. Ranks follow exact scores of any size; a score that a
+    long can't hold is given as the nearest long. Empty tables give an empty result.
+
+    Rows are dealt to bounded blocks, each indexed once in one task; queries are sent to every block and read in parts of
+    bounded size. A block gives k rows a query; the best k of those are kept.
     """
+    spark = vectors.sparkSession
+    lean(spark)
     rows = staged(quantised(vectors, key, column, scale), "vectors")
     asked = staged(quantised(queries, key, column, scale), "queries")
-    row_blocks = max(1, -(-rows.count() // ROW_BLOCK))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def dealt(df: DataFrame, mine: int, others: int) -> tuple:
-        return df.withColumn("own", F.pmod(F.xxhash64(key, "v"), F.lit(mine))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn("dims", F.size("v"))
-
-    left = dealt(rows, row_blocks, query_blocks).select(F.col("own").alias("rb"), F.col("other").cast("long").alias("qb"), "dims", F.col(key).alias("id"), "v")
-    right = dealt(asked, query_blocks, row_blocks).select(F.col("other").cast("long").alias("rb"), F.col("own").alias("qb"), "dims", F.col(key).alias("id"), "v")
-
-    def run(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if candidates.num_rows and wanted.num_rows:
-            matrix = lambda t: np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1)
-            ids = candidates["id"].to_numpy()
-            found = list(_best(ids, BitSlices(matrix(candidates)), zip(wanted["id"].to_pylist(), matrix(wanted), strict=True), k))
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64) if found else [], pa.int64()),
-                "vec_id": pa.array(np.concatenate([f[1] for f in found]) if found else [], pa.int64()),
-                "score": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.int64()),
-            }
-        )
-
-    best = left.groupBy("rb", "qb", "dims").cogroup(right.groupBy("rb", "qb", "dims")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(_by_query())
+    n, longest = rows.select(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n // max(64, min(ROW_BLOCK, BLOCK_BYTES // (8 * max(1, longest or 0))))))
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    left = rows.select(own.alias("block"), F.lit(-1).cast("long").alias("part"), F.col(key).alias("id"), "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64(key, "v"), F.lit(parts)).alias("part"), F.col(key).alias("id"), "v")
+    dealt = left.union(right).select("block", F.size("v").cast("long").alias("dims"), "part", "id", "v").repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+        for (b, dims, part), group in groups(batches, 3):
+            ids = group["id"].to_numpy()
+            values = np.asarray(group["v"].combine_chunks().flatten()).reshape(len(ids), int(dims))
+            if part < 0:
+                held, block = (b, dims), Block(ids, values)
+            elif held == (b, dims):
+                found = [(q, i, s) for q, v in zip(ids.tolist(), values, strict=True) for s, i in block.best(q, v, k)]
+                scores = [max(-_LONG - 1, min(_LONG, f[2])) for f in found]
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array(scores, pa.int64()), pa.array([_beyond(f[2]) for f in found], pa.binary())], names=["query_id", "vec_id", "score", "beyond"])
+
+    best = dealt.sortWithinPartitions("block", "dims", "part").mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import lean, pieces, staged, strings
+from .common import groups, lean, pieces, staged, strings
 from .components import components
 
 HASHES, ROWS = 128, 4
@@ -144,29 +144,6 @@ def _pruned(pairs: DataFrame, texts: DataFrame, threshold: float, miss: float) -
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of rows with equal first columns, across batches."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in columns)
-            if key != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def _placed(df: DataFrame, labels: DataFrame) -> DataFrame:
     """df with the component of its doc_id: its own id where it has no link."""
     return df.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -205,7 +182,7 @@ def _across(texts: DataFrame, shared: DataFrame, labels: DataFrame, threshold: f
     rows = rows.repartition(max(n, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "band", "low", "high").sortWithinPartitions("band", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), group in _groups(batches, 3):
+        for (_, low, high), group in groups(batches, 3):
             at, own, ids, component, size = (group.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
             signature = _signature_array(group.column(8))
             bands = signature.reshape(len(ids), BANDS, ROWS)

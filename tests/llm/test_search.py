@@ -113,6 +113,11 @@ def test_sequences_of_nothing(spark, empty):
     assert sequences.round_trip(empty).collect() == []
 
 
+def total(held, capacities, cost):
+    sizes = np.array(sorted(capacities))
+    return sum(cost(int(c)) for c in sizes[np.searchsorted(sizes, held)])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_packing_fills_bins(seed):
     rng = np.random.default_rng(seed)
@@ -122,9 +127,39 @@ def test_packing_fills_bins(seed):
     sizes = np.array(packing.CAPACITIES)
     assert (held <= capacity).all() and (capacity == sizes[np.searchsorted(sizes, held)]).all()
     assert held.sum() / capacity.sum() > 0.95
-    single = [packing.best_fit(lengths, packing.CAPACITIES, k)[1] for k in range(4)]
-    cost = lambda h: sum(packing.default_cost(int(c)) for c in sizes[np.searchsorted(sizes, h)])
-    assert sum(map(packing.default_cost, capacity.tolist())) == pytest.approx(min(map(cost, single)))
+    each = [total(packing.best_fit(lengths, packing.CAPACITIES, k)[1], packing.CAPACITIES, packing.default_cost) for k in (None, 0, 1, 2, 3)]
+    assert sum(map(packing.default_cost, capacity.tolist())) == pytest.approx(min(each)) and each[0] < 1.01 * min(each)
+
+
+def optimum(lengths, capacities, cost):
+    """The least cost over all partitions of the pieces into bins."""
+    best = [float("inf")]
+
+    def place(i, held):
+        if i == len(lengths):
+            best[0] = min(best[0], total(np.array(held), capacities, cost))
+            return
+        for b in range(len(held)):
+            if held[b] + lengths[i] <= max(capacities):
+                place(i + 1, [h + lengths[i] * (k == b) for k, h in enumerate(held)])
+        place(i + 1, [*held, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_optimum_of_small_cases():
+    rng = np.random.default_rng(8)
+    ratios = []
+    for _ in range(150):
+        capacities = [int(c) for c in sorted(rng.choice([8, 12, 16, 24, 32], int(rng.integers(1, 4)), replace=False))]
+        lengths = rng.integers(1, capacities[-1] + 1, int(rng.integers(1, 8)))
+        cost = lambda c: c * (1 + c / 64) + 2
+        bins, capacity = packing.pack(lengths, capacities, cost)
+        held = np.bincount(bins, lengths)
+        assert (held <= capacity).all() and len(bins) == len(lengths)
+        ratios.append(sum(map(cost, capacity.tolist())) / optimum(lengths.tolist(), capacities, cost))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.35 and np.mean(np.array(ratios) < 1 + 1e-9) > 0.85
 
 
 def test_best_fit_takes_the_tightest_bin():
@@ -132,6 +167,18 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins.tolist() == [0, 1, 0, 1] and held.tolist() == [100, 85]
 
 
+def test_least_cost_size_is_opened():
+    # At these prices two pieces of 5 cost less in one bin of 10 than in two of 6; a piece that stays alone gets the 6.
+    cost = {6: 6.0, 10: 9.0}.get
+    assert packing.best_fit(np.array([5, 5]), [6, 10], None, cost)[1].tolist() == [10]
+    assert packing.best_fit(np.array([5]), [6, 10], None, cost)[1].tolist() == [5]
+    # At these, two of 6.
+    assert packing.best_fit(np.array([5, 5]), [6, 10], None, {6: 4.0, 10: 9.0}.get)[1].tolist() == [5, 5]
+    # Ties: equal pieces, and sizes of equal cost a token, of which the smaller opens.
+    assert packing.best_fit(np.array([5, 5, 5, 5]), [5, 10], None, float)[1].tolist() == [5, 5, 5, 5]
+    assert packing.pack(np.zeros(0, np.int64))[0].tolist() == []
+
+
 def test_packing_of_documents(spark, odd, odd_rows, empty):
     got = packing.packed(odd, group=7).collect()
     encode = WordEncoder(default_path())

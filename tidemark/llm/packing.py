@@ -1,16 +1,17 @@
 """Variable-capacity best-fit packing of token sequences into several permitted lengths.
 
 A document longer than the greatest capacity is cut into pieces of that capacity and a rest. Pieces are packed longest
-first: each goes to the open bin with the least room that holds it; if none does, a bin is opened. Which size to open
-is settled jointly for all pieces of a group: every permitted size is tried as the least one to open, bins are
-downsized to the smallest capacity that holds their contents, and the cheapest outcome is kept.
+first: each goes to the open bin with the least room that holds it; if none does, a bin is opened. For each permitted
+size that holds the piece, the bin is filled in thought with the longest waiting pieces that fit; the size whose contents
+would cost least a token is opened. Packings that open one least size throughout are tried as well. Bins are downsized to
+the smallest capacity that holds their contents, and the cheapest packing is kept.
 
 Groups are stretches of a Spark partition, so packing needs no shuffle, no key can be hot, and memory is bounded.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,16 +31,57 @@ def default_cost(capacity: int) -> float:
     return capacity * (1 + capacity / 16_384) + 32
 
 
-def best_fit(lengths: np.ndarray, capacities: Sequence[int], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each piece and each bin's contents; bins open at capacities[least], or the smallest that holds the piece."""
+class _Waiting:
+    """The multiset of lengths that aren't packed yet."""
+
+    def __init__(self, lengths: np.ndarray):
+        distinct, count = np.unique(lengths, return_counts=True)
+        self._lengths: list[int] = distinct.tolist()
+        self._count = dict(zip(self._lengths, count.tolist(), strict=True))
+
+    def remove(self, n: int) -> None:
+        self._count[n] -= 1
+        if not self._count[n]:
+            del self._count[n], self._lengths[bisect_left(self._lengths, n)]
+
+    def filled(self, room: int) -> int:
+        """The tokens that the longest waiting pieces, each taken if it fits, would put into the room."""
+        lengths, count, left = self._lengths, self._count, room
+        k = bisect_right(lengths, left)
+        while k:
+            n = lengths[k - 1]
+            left -= n * min(count[n], left // n)
+            k = bisect_right(lengths, left, 0, k - 1)
+        return room - left
+
+
+def best_fit(lengths: np.ndarray, capacities: Sequence[int], least: int | None = None, cost=default_cost) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each piece and each bin's contents.
+
+    Bins open at capacities[least] or the smallest that holds the piece; without `least`, at the size whose contents, filled
+    up with waiting pieces and downsized, would cost least a token (of equal ones the smaller).
+    """
     sizes = sorted(capacities)
+    price = [cost(c) for c in sizes]
     bins = np.zeros(len(lengths), np.int64)
     rooms: list[int] = []  # distinct rooms of open bins, ascending
     open_: dict[int, list[int]] = {}
-    room_of: list[int] = []
     held: list[int] = []
+    waiting = _Waiting(lengths) if least is None else None
+
+    def opened(n: int) -> int:
+        best = None
+        for c in sizes[bisect_left(sizes, n) :]:
+            content = n + waiting.filled(c - n)
+            each = price[bisect_left(sizes, content)] / content
+            if best is None or each < best[0]:
+                best = each, c
+        return best[1]
+
     for i in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[i])
+        if waiting:
+            waiting.remove(n)
         k = bisect_left(rooms, n)
         if k < len(rooms):
             room = rooms[k]
@@ -47,10 +89,9 @@ def best_fit(lengths: np.ndarray, capacities: Sequence[int], least: int) -> tupl
             if not open_[room]:
                 del open_[room], rooms[k]
         else:
-            room = sizes[max(least, bisect_left(sizes, n))]
+            room = opened(n) if waiting else sizes[max(least, bisect_left(sizes, n))]
             b = len(held)
             held.append(0)
-            room_of.append(room)
         bins[i] = b
         held[b] += n
         room -= n
@@ -68,8 +109,8 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, cost=defau
     sizes = np.array(sorted(capacities))
     price = np.array([cost(int(c)) for c in sizes])
     best = None
-    for least in range(len(sizes)):
-        bins, held = best_fit(lengths, capacities, least)
+    for least in (None, *range(len(sizes))):
+        bins, held = best_fit(lengths, capacities, least, cost)
         fitted = np.searchsorted(sizes, held)
         total = float(price[fitted].sum())
         if best is None or total < best[0]:

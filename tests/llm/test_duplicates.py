@@ -233,6 +233,35 @@ def test_leaks_equal_brute_force(spark, block):
     assert len(got) >= 0.97 * len(want) and len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+def test_lower_similarities_are_honoured(spark):
+    rng = random.Random(9)
+    bench = items(rng, 20)
+    rows, want = [], set()
+    for i in range(60):
+        own = bench[i % 20][1].split()
+        for _ in range(i // 20):
+            own[rng.randrange(len(own))] = "edit"
+        text = [f"h{rng.randrange(10**6)}" for _ in range(30)] + own + [f"h{rng.randrange(10**6)}" for _ in range(30)]
+        rows.append((i, " ".join(text)))
+        want |= {(i, j) for j, t, *_ in bench if any(jaccard(text[p : p + len(t.split())], t.split()) >= 0.4 for p in range(len(text) - len(t.split()) + 1))}
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, B), similarity=0.4, radius=23).collect()
+    assert {(r.doc_id, r.item_id) for r in got} <= want and len(got) >= 0.9 * len(want) and min(r.similarity for r in got) < 0.6
+
+
+def test_index_is_kept_for_the_worker():
+    items = [(i, np.arange(10 * i, 10 * i + 20, dtype=np.uint64)) for i in range(3)]
+
+    class Sent:
+        value = items
+
+    one = decontamination._index(Sent, 15)
+    assert decontamination._index(Sent, 15) is one and decontamination._index(Sent, 7) is not one
+    for k in range(6):
+        Sent.value = [(k + 9, items[0][1])]
+        decontamination._index(Sent, 15)
+    assert len(decontamination._built) <= decontamination.PASS
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(8)
     index = decontamination.Index([(i, rng.integers(0, 2**63, 30, dtype=np.uint64)) for i in range(20)])

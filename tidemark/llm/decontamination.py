@@ -6,7 +6,8 @@ SimHash are compared through four blocks of 16 bits: fingerprints within RADIUS
 one block at least, so looking up each block with that many bits changed finds all of them. What is found is verified
 by the exact weighted Jaccard similarity of the two bags, over all alignments of the item near the window.
 
-The benchmark is indexed in blocks of bounded size, each of which is sent to the tasks; documents are never shuffled.
+The benchmark is indexed in blocks of bounded size, a few of which are sent to the tasks for each pass over the
+documents; a worker keeps the index of a block for its next tasks. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import lean, pieces, strings
 
 BITS, BLOCKS, RADIUS = 64, 4, 15
 SIMILARITY = 0.75
-#: Items in one index; a larger benchmark takes several passes over the documents.
-ITEMS = 4_096
+#: Items of one index, and their shingles, at most (one item at least); indexes that are searched in one pass.
+ITEMS, SHINGLES, PASS = 4_096, 1 << 20, 4
 #: Ratio of the sizes within a class, and windows of a class that begin within one window's length.
 SPREAD, STEPS = 1.25, 8
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -144,17 +145,18 @@ class Index:
                 rows, items = self.near(c, prints)
                 for r, i in zip(k[rows].tolist(), c.items[items].tolist(), strict=True):
                     t = int(text[r])
-                    score, at = self._aligned(shingles[offsets[t] : offsets[t + 1]], int(begins[r] - offsets[t]), i, 2 * step)
+                    score, at = self._aligned(shingles[offsets[t] : offsets[t + 1]], int(begins[r] - offsets[t]), i, 2 * step, similarity)
                     if score >= similarity and (score, -at) > best.get((t, i), (0.0, 0)):
                         best[t, i] = score, -at
         return [(t, i, -at, score) for (t, i), (score, at) in sorted(best.items())]
 
-    def _aligned(self, own: np.ndarray, at: int, item: int, margin: int) -> tuple[float, int]:
+    def _aligned(self, own: np.ndarray, at: int, item: int, margin: int, similarity: float) -> tuple[float, int]:
         """The greatest weighted Jaccard similarity of the item and a window of its size that begins near `at`."""
         bag, size = self.bags[item], len(self.shingles[item])
         low, high = max(0, at - margin), min(max(0, len(own) - size), at + margin)
         near = own[low : max(high, low) + size].tolist()
-        if sum(1 for h in near if h in bag) < SIMILARITY / 2 * size:
+        # Bags of n and m shingles are that similar only if they share s / (1 + s) of n + m.
+        if sum(1 for h in near if h in bag) < (size + min(size, len(near))) * similarity / (1 + similarity) - 1e-9:
             return 0.0, 0
         best = 0.0, 0
         for k in range(max(high, low) - low + 1):
@@ -165,20 +167,40 @@ class Index:
 
 
 def _items(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Blocks of at most `block` items with 5 words or more; equal texts are one item, the one of the smallest id."""
+    """Blocks of at most `block` items and SHINGLES shingles, of 5 words or more; equal texts are one item, of the smallest id."""
     rows = benchmark.filter("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).toLocalIterator()
     held: list[tuple[int, np.ndarray]] = []
+    size = 0
     for r in rows:
         words, offsets = S.word_hashes([r.text])
         if len(words) >= S.WIDTH:
-            held.append((r.item_id, S.shingle_hashes(words, offsets)[0]))
-        if len(held) == block:
-            yield sorted(held, key=lambda x: x[0])
-            held = []
+            found = S.shingle_hashes(words, offsets)[0]
+            if held and (len(held) == block or size + len(found) > SHINGLES):
+                yield sorted(held, key=lambda x: x[0])
+                held, size = [], 0
+            held.append((r.item_id, found))
+            size += len(found)
     if held:
         yield sorted(held, key=lambda x: x[0])
 
 
+#: The indexes that this worker built last, by radius and items.
+_built: dict[tuple, Index] = {}
+
+
+def _index(sent, radius: int) -> Index:
+    items = sent.value
+    key = radius, hash(tuple((i, s.tobytes()) for i, s in items))
+    if key not in _built:
+        while len(_built) >= PASS:
+            del _built[next(iter(_built))]
+        _built[key] = Index(items, radius)
+    return _built[key]
+
+
+FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity double"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = ITEMS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: each benchmark item found in a document, at its best place.
 
@@ -188,31 +210,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     spark = docs.sparkSession
     lean(spark)
-    out = None
-    for items in _items(benchmark, block):
-        index = spark.sparkContext.broadcast(items)
+    out = spark.createDataFrame([], FOUND)
+    blocks = [spark.sparkContext.broadcast(items) for items in _items(benchmark, block)]
+    for first in range(0, len(blocks), PASS):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(index.value, radius)
+        def run(batches: Iterator[pa.RecordBatch], sent: list = blocks[first : first + PASS]) -> Iterator[pa.RecordBatch]:
+            indexes = [_index(s, radius) for s in sent]
             for x in pieces(batches, "text", 1 << 20):
                 found, at = S.shingle_hashes(*_enough(*S.word_hashes(strings(x.column(1)))))
-                hits = own.matches(found, at, similarity)
                 ids = x.column(0).to_pylist()
-                yield pa.record_batch(
-                    [
-                        pa.array([ids[t] for t, *_ in hits], pa.int64()),
-                        pa.array([own.ids[i] for _, i, *_ in hits], pa.int64()),
-                        pa.array([s for _, _, s, _ in hits], pa.int64()),
-                        pa.array([len(own.shingles[i]) + S.WIDTH - 1 for _, i, *_ in hits], pa.int64()),
-                        pa.array([v for *_, v in hits], pa.float64()),
-                    ],
-                    names=["doc_id", "item_id", "start_word", "n_words", "similarity"],
-                )
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, similarity double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, similarity double")
+                for own in indexes:
+                    hits = own.matches(found, at, similarity)
+                    yield pa.record_batch(
+                        [
+                            pa.array([ids[t] for t, *_ in hits], pa.int64()),
+                            pa.array([own.ids[i] for _, i, *_ in hits], pa.int64()),
+                            pa.array([s for _, _, s, _ in hits], pa.int64()),
+                            pa.array([len(own.shingles[i]) + S.WIDTH - 1 for _, i, *_ in hits], pa.int64()),
+                            pa.array([v for *_, v in hits], pa.float64()),
+                        ],
+                        names=["doc_id", "item_id", "start_word", "n_words", "similarity"],
+                    )
+
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+        out = out.union(part) if first else part
     return out
 
 

@@ -197,6 +197,39 @@ def test_short_passages_are_all_found(spark, n):
     assert all(r.end_word - r.start_word == n for r in got)
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_near_passages_against_brute_force(spark, clustered):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, want, exact = [], set(), set()
+    for i in range(0, 3000, 2):
+        shared = fresh(rng.randint(52, 120))
+        other, k = shared[:], i % 8 // 2
+        spots = range(at := rng.randint(5, len(shared) - 10), at + 2 * k, 2) if clustered else rng.sample(range(len(shared)), k)
+        for s in sorted(spots, reverse=True):
+            kind = rng.random()
+            other[s : s + 1] = ["edit"] if kind < 0.6 else ["new", other[s]] if kind < 0.8 else []
+        rows += [(i, " ".join(fresh(30) + shared + fresh(30))), (i + 1, " ".join(fresh(20) + other + fresh(40)))]
+        one, two = shingles_of(" ".join(shared)), shingles_of(" ".join(other))
+        if len(other) >= 50 and len(one & two) >= 0.75 * len(one | two):
+            want |= {i, i + 1}
+            exact |= {i, i + 1} if not k else set()
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 2000 and exact <= found
+    assert len(want & found) >= 0.98 * len(want)
+    print(clustered, len(want & found), len(want))
+
+
+def test_ties_of_passages(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    one, two = fresh(60), fresh(60)
+    rows = [(1, " ".join(one + fresh(30) + two)), (2, " ".join(one)), (3, " ".join(two)), (4, " ".join(one)), (5, " ".join(two + fresh(20)))]
+    got = {(r.doc_id, r.start_word, r.end_word): r.match_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 60): 2, (1, 90, 150): 3, (2, 0, 60): 1, (3, 0, 60): 1, (4, 0, 60): 2, (5, 0, 60): 1} or got[(1, 0, 60)] == 2
+    assert set(got) == {(1, 0, 60), (1, 90, 150), (2, 0, 60), (3, 0, 60), (4, 0, 60), (5, 0, 60)}
+
+
 def items(rng, n):
     return [(i, " ".join(f"b{rng.randrange(10**6)}" for _ in range(rng.randint(15, 60))), "x", 0.1) for i in range(n)]
 

@@ -115,6 +115,32 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(r.predicted == int(r.score >= 0.7) for r in got)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_by_language_of_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity_of_documents(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    found = {}
+    for r in rows:
+        if r.toxic and r.lang:
+            found.setdefault(r.lang, []).append(r.predicted)
+    print({k: (sum(v), len(v)) for k, v in found.items()})
+    assert all(np.mean(v) >= 0.8 for v in found.values()) and len(found) == 4
+    assert sum(r.predicted for r in rows if not r.toxic) <= 3
+
+
+def test_features_of_a_text_by_hand():
+    import collections
+
+    text = "abcd abcd abcd xyzw"
+    seen = collections.Counter(int(h) for n in (4, 5, 6, 7, 8) for i in range(len(text) - n + 1) for h in toxicity._hashed(np.frombuffer(text[i : i + n].encode(), np.uint8))[-1:])
+    want = sorted(h + (k << toxicity.BITS) for h, c in seen.items() for k in range(min(c, toxicity.LEVELS)))
+    assert sorted(toxicity.Present()(text)[0].tolist()) == want
+    known = np.zeros(toxicity.LEVELS << toxicity.BITS, bool)
+    known[want[::2]] = True
+    assert sorted(toxicity.Present(known)(text)[0].tolist()) == want[::2]
+    assert [len(p) for p in toxicity.Present()("")] == [0]
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows, empty):
     rows, labels = labelled(200)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -48,14 +48,6 @@ def crc32_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 17) -> DataFrame:
-    """About `bound` rows, chosen by a hash of the key, the same rows on every run; all if there are fewer."""
-    n = df.count()
-    if n <= bound:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) < F.lit(int(1_000_003 * bound / n)))
-
-
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings; null becomes the empty string."""
     return ["" if x is None else x for x in column.to_pylist()]

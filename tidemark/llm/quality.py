@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, pieces, staged, strings
+from .common import crc32_mod, lean, pieces, staged, strings
 from .shingles import _SPACE, hashes_of, word_spans
 
 STATISTICS = ("words", "word_bytes", "upper", "symbols", "digits", "punctuation", "distinct", "top_word", "same_next", "distinct_pairs", "line_words", "distinct_lines", "ended")
@@ -74,6 +74,7 @@ def described(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         for x in pieces(batches, "text"):
             yield pa.record_batch([x.column(0), pa.array([statistics(t) for t in strings(x.column(1))], pa.list_(pa.float64()))], names=[key, "x"])
 
+    lean(docs.sparkSession)
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, x array<double>")
 
 
@@ -135,7 +136,11 @@ def score(rows: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFram
 
 
 def quality_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; labels are learned only where crc32(doc_id) mod 5 isn't 0."""
+    """doc_id, held_out, score, predicted; labels are learned only where crc32(doc_id) mod 5 isn't 0.
+
+    A null text scores as an empty one; a null doc_id is never held out; repeated rows give a row each; other columns of
+    either table are ignored; an empty docs gives an empty result. A class without labels gets the other's figures.
+    """
     rows = staged(described(docs), "statistics")
     model = fit(rows, labels.filter(crc32_mod("doc_id", 5) != 0))
     return score(rows, model).select("doc_id", F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -180,6 +180,37 @@ def test_passages_behind_a_frequent_line(spark):
     assert all(got[i].end_word - got[i].start_word == 60 for i in want)
 
 
+def test_run_keys_are_equal_for_equal_runs():
+    rng = np.random.default_rng(3)
+    one, two = rng.integers(0, 2**63, 90, dtype=np.uint64), rng.integers(0, 2**63, 70, dtype=np.uint64)
+    two[20:50] = one[55:85]
+    a, b = passages.run_keys(one, 24), passages.run_keys(two, 24)
+    assert len(a) == 67 and len(b) == 47 and len(passages.run_keys(one[:5], 24)) == 0
+    assert [(i, j) for i in range(67) for j in range(47) if a[i] == b[j]] == [(55 + k, 20 + k) for k in range(7)]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_near_passages_behind_a_very_frequent_line(spark, edits):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    line, rows, want = fresh(45), [], set()
+    rows += [(i, " ".join(fresh(30) + line + fresh(30))) for i in range(400)]
+    for i in range(1000, 2000, 2):
+        shared = line + fresh(rng.randint(5, 30))
+        other = shared[:]
+        for k in rng.sample(range(len(shared)), edits):
+            other[k] = f"edit{i}{k}"
+        # Both ends must be equal words, or the shared part is shorter than 50.
+        if len(shingles_of(" ".join(shared)) & shingles_of(" ".join(other))) < 0.86 * (len(shared) - 4) or other[:5] != shared[:5] or other[-5:] != shared[-5:]:
+            continue
+        rows += [(i, " ".join(fresh(30) + shared + fresh(30))), (i + 1, " ".join(fresh(40) + other + fresh(10)))]
+        want |= {i, i + 1}
+    got = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(edits, len(got & want), len(want), len(got - want))
+    assert len(want) > 40 and len(got & want) >= (1.0 if not edits else 0.9) * len(want)
+    assert not got & set(range(400))
+
+
 @pytest.mark.parametrize("n", [50, 51, 52, 56])
 def test_short_passages_are_all_found(spark, n):
     rng = random.Random(n)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_probability
+from .order import running_total
 
 
 def probability_metrics(df: DataFrame, outcome: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -43,12 +44,11 @@ def expected_calibration_error(table: DataFrame) -> DataFrame:
 def auc(df: DataFrame, outcome: str, p: str) -> DataFrame:
     """One row: the area under the ROC curve by average ranks; NULL without both classes.
 
-    Rows are counted by score first; ranks are running sums over the distinct scores.
+    Rows are counted by score first; ranks are running sums over range partitions of the distinct scores.
     """
     y = F.col(outcome).cast("long")
     scores = df.filter(F.col(outcome).isNotNull() & F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    w = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_total(scores, [p], "n", "_before").withColumn("_rank", F.col("_before") + (F.col("n") + 1) / 2)
     one = ranked.agg(F.sum(F.col("_rank") * F.col("pos")).alias("s"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
     return one.select(F.try_divide(F.col("s") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * F.col("b")).alias("auc"))
 
@@ -69,26 +69,29 @@ def by_grouping_sets(df: DataFrame, dimensions: Sequence[str], *aggregates: Colu
 
 
 def dominant(df: DataFrame, key: str, value: str, weight: Column | None = None) -> DataFrame:
-    """key, value, share: the key's heaviest value and its share, ties to the lesser value."""
+    """key, value, share: the key's heaviest value and its share, ties to the lesser value. Nothing is collected."""
     parts = df.groupBy(key, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("w"))
-    out = parts.groupBy(key).agg(F.max(F.struct("w")).alias("top"), F.sum("w").alias("total"), F.collect_list(F.struct("w", value)).alias("all"))
-    best = F.array_min(F.transform(F.filter("all", lambda x: x["w"] == F.col("top.w")), lambda x: x[value]))
-    return out.select(key, best.alias(value), F.try_divide(F.col("top.w"), "total").alias("share"))
+    top = F.min(F.struct((-F.col("w")).alias("w"), F.col(value))).alias("top")
+    return parts.groupBy(key).agg(top, F.sum("w").alias("total")).select(key, F.col(f"top.{value}").alias(value), F.try_divide(-F.col("top.w"), "total").alias("share"))
 
 
 def consensus(df: DataFrame, key: str, side: str, weight: Column) -> DataFrame:
     """key, sides, winner, agreement: the side of the greatest weight, TIE if two share it."""
     parts = df.groupBy(key, side).agg(F.sum(weight).alias("w"))
-    out = parts.groupBy(key).agg(F.count("*").alias("sides"), F.max("w").alias("top"), F.sum("w").alias("total"), F.collect_list(F.struct("w", side)).alias("all"))
-    best = F.filter("all", lambda x: x["w"] == F.col("top"))
-    return out.select(key, "sides", F.when(F.size(best) > 1, "TIE").otherwise(F.element_at(best, 1)[side]).alias("winner"), F.try_divide("top", "total").alias("agreement"))
+    top = lambda f: f(F.struct((-F.col("w")).alias("w"), F.col(side)))
+    # The least and the greatest side of the greatest weight; they differ if it is shared.
+    out = parts.groupBy(key).agg(F.count("*").alias("sides"), top(F.min).alias("least"), F.max(F.struct("w", side)).alias("greatest"), F.sum("w").alias("total"))
+    winner = F.when(F.col(f"least.{side}").eqNullSafe(F.col(f"greatest.{side}")), F.col(f"least.{side}")).otherwise("TIE")
+    return out.select(key, "sides", winner.alias("winner"), F.try_divide("greatest.w", "total").alias("agreement"))
 
 
 def top_share(df: DataFrame, value: str, k: int = 10) -> DataFrame:
-    """One row: the sum of the k greatest positive values over the sum of all values."""
+    """One row: the sum of the k greatest positive values over the sum of all values; NULL unless that is positive."""
     top = df.filter(F.col(value) > 0).orderBy(F.desc(value)).limit(k).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("top"))
-    return top.crossJoin(F.broadcast(df.agg(F.sum(value).alias("total")))).select("top", "total", F.try_divide("top", "total").alias("share"))  # two single rows
+    return top.crossJoin(F.broadcast(df.agg(F.sum(value).alias("total")))).select("top", "total", F.when(F.col("total") > 0, F.try_divide("top", "total")).alias("share"))  # two single rows
 
 
 def largest_group_share(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.groupBy(group).agg(F.sum(value).alias("v")).agg(F.max("v").alias("largest"), F.sum("v").alias("total")).withColumn("share", F.try_divide("largest", "total"))
+    """One row: the greatest sum of a group, the total, and their ratio; NULL unless the total is positive."""
+    out = df.groupBy(group).agg(F.sum(value).alias("v")).agg(F.max("v").alias("largest"), F.sum("v").alias("total"))
+    return out.withColumn("share", F.when(F.col("total") > 0, F.try_divide("largest", "total")))

@@ -7,10 +7,13 @@ key's rows; times are numbers (microseconds).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import ordinal
+
 
 def _by(key: str | Sequence[str], order: str | Sequence[str]):
     keys, orders = ([x] if isinstance(x, str) else list(x) for x in (key, order))
@@ -86,18 +89,32 @@ def rolling_mean(df: DataFrame, key: str, order: str, value: str, rows: int, nam
 def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float, name: str = "ewma") -> DataFrame:
     """Recursive mean m = alpha * value + (1 - alpha) * m, from the first value on; null values leave it as it is.
 
-    The recursion folds one key's values as an array, so a key's values must fit into a task's memory (8 bytes each).
+    With k values so far and b = 1 - alpha, m = b^k * (first + sum over the later ones of alpha * value_i / b^i). The sums
+    are taken over stretches of rows short enough for b^-i to stay exact, and each stretch starts from the mean at the
+    end of the one before it; a key's rows are sorted, never collected.
     """
-    pairs = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_rows"))
-    step = lambda m, v: F.when(v.isNull(), m).when(m.isNull(), v).otherwise(alpha * v + (1 - alpha) * m)
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.array().cast("array<double>").alias("all"))
-
-    def grown(s: Column, x: Column) -> Column:
-        m = step(s["m"], x[value].cast("double"))
-        return F.struct(m.alias("m"), F.concat(s["all"], F.array(m)).alias("all"))
-
-    folded = pairs.withColumn("_means", F.aggregate("_rows", start, grown, lambda s: s["all"]))
-    return folded.select(key, F.inline(F.zip_with("_rows", "_means", lambda r, m: F.struct(r[order].alias(order), r[value].alias(value), m.alias(name)))))
+    b = 1.0 - alpha
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    # b^-i grows by at most e^20 within a stretch; what lies e^-45 back is below the last digit.
+    length = max(1, min(4096, floor(20 / -log(b))))
+    back = ceil(45 / (length * -log(b)))
+    w = _by(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_k", F.count(value).over(w)).withColumn("_stretch", F.floor((F.col("_k") - 1) / length))
+    place = (F.col("_k") - 1 - F.col("_stretch") * length).cast("double")
+    x = F.col(value).cast("double")
+    # The first value of all enters whole; others with alpha.
+    term = F.when(x.isNotNull(), F.when(F.col("_k") == 1, x).otherwise(alpha * x) * F.pow(F.lit(b), -place))
+    out = out.withColumn("_own", F.coalesce(F.sum(term).over(_by([key, "_stretch"], order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) * F.pow(F.lit(b), place)).withColumn("_place", place)
+    # The mean at the end of each stretch, one row each, carried over the stretches: b^length per whole stretch.
+    ends = out.filter("_k > 0").groupBy(key, "_stretch").agg(F.max_by("_own", F.struct("_k", order)).alias("_end"))
+    full = b**length
+    before = F.collect_list(F.struct("_stretch", "_end")).over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(-back, -1))
+    carried = F.aggregate(before, F.lit(0.0), lambda m, e: m * full + e["_end"])
+    starts = ends.select(key, "_stretch", carried.alias("_start"))
+    out = out.join(starts, [key, "_stretch"], "left")
+    mean = F.col("_own") + F.coalesce("_start", F.lit(0.0)) * F.pow(F.lit(b), F.col("_place") + 1)
+    return out.withColumn(name, F.when(F.col("_k") > 0, mean)).drop("_k", "_stretch", "_own", "_place", "_start")
 
 
 def resampled(df: DataFrame, key: str, ts: str, step: int) -> DataFrame:
@@ -176,11 +193,10 @@ def dispersion(df: DataFrame, group: str, ts: str, asset: str, value: str, asset
 def equal_count_windows(df: DataFrame, at: str, n: int, name: str = "window") -> DataFrame:
     """The distinct values of `at` in n parts of equal number, 0 to n - 1, by rank * n // distinct values.
 
-    The ranks are of distinct values (days, windows), which are one small row each.
+    The ranks are of distinct values, counted by range partitions.
     """
-    days = df.select(at).filter(F.col(at).isNotNull()).distinct()
-    total = days.count()
-    ranked = days.withColumn("_rank", F.row_number().over(Window.orderBy(at)) - 1)
+    ranked = ordinal(df.select(at).filter(F.col(at).isNotNull()).distinct(), [at], "_rank")
+    total = ranked.count()
     ranked = ranked.withColumn(name, F.floor(F.col("_rank") * n / F.lit(max(1, total))).cast("int")).drop("_rank")
     return df.join(ranked, at)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform
+from .order import ordinal
 
 
 def with_scenarios(df: DataFrame, scenarios: Sequence[dict], most: int = 1_000) -> DataFrame:
@@ -31,17 +32,16 @@ def stress_summary(rows: DataFrame, by: Sequence[str], pnl: str) -> DataFrame:
 def matched_null(rows: DataFrame, stratum: str, key: str, value: str, trials: int, seed: int = 1) -> DataFrame:
     """trial, mean: the mean value when each row draws, by a hash, another row of its stratum, for each trial.
 
-    Draws are positions in the stratum, so the draw is an equi-join on (stratum, position); a stratum's rows are numbered
-    in blocks, not in one task.
+    Draws are positions in the stratum, so the draw is an equi-join on positions; a stratum's rows are numbered in blocks,
+    not in one task. Draws are counted for each (trial, position) before the join.
     """
-    from .tables import ordinal
-
     placed = ordinal(rows.select(stratum, key, value), [stratum, key], "_place")
     bounds = placed.groupBy(stratum).agg(F.min("_place").alias("_low"), F.count("*").alias("_n"))
-    asked = rows.select(stratum, key).join(F.broadcast(bounds), stratum).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    asked = rows.select(stratum, key).join(bounds, stratum).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     draw = F.floor(hash_uniform(F.lit(seed), "trial", key) * F.col("_n"))
-    asked = asked.select("trial", (F.col("_low") + draw).alias("_place"))
-    return asked.join(placed.select("_place", value), "_place").groupBy("trial").agg(F.avg(value).alias("mean"))
+    asked = asked.groupBy("trial", (F.col("_low") + draw).alias("_place")).agg(F.count("*").alias("_times"))
+    drawn = asked.join(placed.select("_place", value), "_place").filter(F.col(value).isNotNull())
+    return drawn.groupBy("trial").agg(F.try_divide(F.sum(F.col(value) * F.col("_times")), F.sum("_times")).alias("mean"))
 
 
 def empirical_p(null: DataFrame, statistic: str, observed: float) -> DataFrame:

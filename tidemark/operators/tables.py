@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..functions.exprs import reasons
+from .order import ordinal
 
 
 def reconciled(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -90,27 +91,77 @@ def correlations(df: DataFrame, columns: Sequence[str], digits: int = 8) -> Data
     return df.agg(*sums).select(F.explode(F.array(*[row(k, a, b) for k, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
 
 
-QUALITY_WEIGHTS = {"completeness": 0.30, "uniqueness": 0.25, "balance": 0.15, "validity": 0.10, "coverage": 0.20}
+#: Fixed weights of the parts of the quality score, each from 0 to 100.
+QUALITY_WEIGHTS = {"public_sample_ratio": 0.30, "class_balance": 0.25, "missing_value_control": 0.15, "duplicate_control": 0.10, "feature_completeness": 0.20}
+#: The bounds of its gates: shares in per cent.
+LEAST_PUBLIC, LEAST_MINORITY, LEAST_COMPLETE, MOST_DUPLICATES, LEAST_QUALITY = 80.0, 30.0, 95.0, 1.0, 75.0
 
 
-def quality_score(df: DataFrame, keys: Sequence[str], columns: Sequence[str], label: Column, valid: Column, group: str, expected_groups: int) -> DataFrame:
-    """One row of five shares from 0 to 1 and their weighted score from 0 to 100, with QUALITY_WEIGHTS.
+def quality_score(df: DataFrame, features: Sequence[str], optional: Sequence[str] = (), source: str = "market_source", outcome: str = "outcome", market: str = "market_id", digits: int = 4) -> DataFrame:
+    """One row: counts, the five parts of QUALITY_WEIGHTS, their weighted score, the gates that fail, and `recommended`.
 
-    completeness of the columns, uniqueness of the keys, balance of the label (1 at one half), validity of rows, and the
-    groups seen against those expected.
+    A value is missing if it is NULL or blank. Missing values are counted over all columns but the `optional` ones,
+    completeness over `features`, duplicates over whole rows. Balance is 100 at a minority of one half. An empty table
+    has no public rows, wholly missing values and wholly duplicate rows.
     """
-    n = F.count("*")
-    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in columns])
+    n, count = F.count("*"), lambda c: F.count(F.when(c, 1))
+    blank = lambda c: (F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("int")
+    judged = [c for c in df.columns if c not in optional]
+    up, down = count(F.col(outcome).try_cast("double") == 1), count(F.col(outcome).try_cast("double") == 0)
+    pct = lambda a, b, empty: F.coalesce(100 * F.try_divide(a, b), F.lit(empty))
     one = df.agg(
         n.alias("rows"),
-        (1 - F.try_divide(F.sum(nulls), n * len(columns))).alias("completeness"),
-        (1 - F.abs(2 * F.avg(label.cast("double")) - 1)).alias("balance"),
-        F.avg(F.coalesce(valid, F.lit(False)).cast("double")).alias("validity"),
-        F.least(F.lit(1.0), F.try_divide(F.countDistinct(group), F.lit(expected_groups))).alias("coverage"),
+        count(F.col(source) == "public").alias("public_rows"),
+        count(F.col(source) == "mock").alias("mock_rows"),
+        up.alias("up"),
+        down.alias("down"),
+        F.coalesce(F.sum(sum((blank(c) for c in judged[1:]), blank(judged[0]))), F.lit(0)).alias("missing_values"),
+        F.coalesce(F.sum(sum((blank(c) for c in features[1:]), blank(features[0]))), F.lit(0)).alias("missing_features"),
+        (n - F.countDistinct(market) - F.max(F.col(market).isNull().cast("int"))).alias("duplicate_markets"),
     )
-    unique = duplicate_rate(df, keys).select((1 - F.col("rate")).alias("uniqueness"))
-    out = one.crossJoin(F.broadcast(unique))  # two single rows
-    return out.withColumn("score", 100 * reduce(lambda a, b: a + b, [F.lit(w) * F.col(k) for k, w in QUALITY_WEIGHTS.items()]))
+    twice = df.groupBy(*df.columns).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    out = one.crossJoin(F.broadcast(twice))  # two single rows
+    cells, feature_cells = F.col("rows") * len(judged), F.col("rows") * len(features)
+    minority = pct(F.least("up", "down"), F.col("up") + F.col("down"), 0.0)
+    duplicates = pct(F.col("duplicate_rows"), F.col("rows"), 100.0)
+    out = out.withColumns(
+        {
+            "imbalance": pct(F.abs(F.col("up") - F.col("down")), F.col("up") + F.col("down"), 100.0),
+            "minority": minority,
+            "duplicate_rate": duplicates,
+            "public_sample_ratio": F.round(pct(F.col("public_rows"), F.col("rows"), 0.0), digits),
+            "class_balance": F.round(F.least(F.lit(100.0), minority * 2), digits),
+            "missing_value_control": F.round(F.greatest(F.lit(0.0), 100 - pct(F.col("missing_values"), cells, 100.0)), digits),
+            "duplicate_control": F.round(F.greatest(F.lit(0.0), 100 - duplicates), digits),
+            "feature_completeness": F.round(pct(feature_cells - F.col("missing_features"), feature_cells, 0.0), digits),
+        }
+    )
+    out = out.withColumn("score", F.round(reduce(lambda a, b: a + b, [F.lit(w) * F.col(k) for k, w in QUALITY_WEIGHTS.items()]), 2))
+    failures = reasons(
+        (F.col("rows") == 0, "dataset is empty"),
+        (pct(F.col("public_rows"), F.col("rows"), 0.0) < LEAST_PUBLIC, "public sample ratio is below 80%"),
+        (F.col("minority") < LEAST_MINORITY, "minority class share is below 30%"),
+        (pct(feature_cells - F.col("missing_features"), feature_cells, 0.0) < LEAST_COMPLETE, "feature completeness is below 95%"),
+        (F.col("duplicate_rate") > MOST_DUPLICATES, "duplicate rate exceeds 1%"),
+        (F.col("score") < LEAST_QUALITY, "quality score is below 75"),
+    )
+    return out.withColumn("failures", failures).withColumn("recommended", F.size("failures") == 0)
+
+
+def missingness(df: DataFrame, columns: Sequence[str], session: str) -> DataFrame:
+    """column, session (NULL: all), rows, nulls, completeness: in one pass over rows, expanded for the total and the session."""
+    both = df.select(F.explode(F.array(F.lit(None).cast("string"), F.col(session).cast("string"))).alias("session"), *columns)
+    own = both.groupBy("session").agg(F.count("*").alias("rows"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_{c}") for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("nulls")) for c in columns])
+    return own.select("session", "rows", F.explode(rows).alias("r")).select("r.column", "session", "rows", "r.nulls", (1 - F.try_divide("r.nulls", "rows")).alias("completeness"))
+
+
+def dataset_summary(df: DataFrame, group: str, outcome: str, columns: Sequence[str]) -> DataFrame:
+    """item, name, value: rows, rows of each group, rows of each outcome, and nulls of each column, from one aggregation."""
+    entry = lambda item, name: F.struct(F.lit(item).alias("item"), F.coalesce(name.cast("string"), F.lit("none")).alias("name"))
+    parts = [entry("rows", F.lit("all")), entry("group", F.col(group)), entry("outcome", F.col(outcome))]
+    nulls = [F.when(F.col(c).isNull(), entry("nulls", F.lit(c))) for c in columns]
+    return df.select(F.explode(F.array_compact(F.array(*parts, *nulls))).alias("r")).groupBy("r.item", "r.name").agg(F.count("*").alias("value"))
 
 
 def require(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -131,15 +182,14 @@ def purged_split(df: DataFrame, window: str, purge: int, embargo: int, train: fl
     The cuts are int(n * train) and int(n * (train + validation)) windows, in floating point. The `purge` windows before
     a cut and the `embargo` windows after it belong to no part. Windows are one small row each.
     """
-    windows = df.select(window).filter(F.col(window).isNotNull()).distinct()
+    windows = ordinal(df.select(window).filter(F.col(window).isNotNull()).distinct(), [window], "_i")
     n = windows.count()
     cuts = int(n * train), int(n * (train + validation))
-    ranked = windows.withColumn("_i", F.row_number().over(Window.orderBy(window)) - 1)
     i = F.col("_i")
     part = F.when(i < cuts[0], "train").when(i < cuts[1], "validation").otherwise("test")
     for c in cuts:
         part = F.when((i >= c - purge) & (i < c), "purged").when((i >= c) & (i < c + embargo), "embargoed").otherwise(part)
-    return df.join(ranked.select(window, part.alias("part")), window)
+    return df.join(windows.select(window, part.alias("part")), window)
 
 
 def folds(df: DataFrame, key: str, order: str, n: int = 3) -> DataFrame:
@@ -151,15 +201,3 @@ def folds(df: DataFrame, key: str, order: str, n: int = 3) -> DataFrame:
     total = first.count()
     placed = ordinal(first, ["_first", key], "_place")
     return df.join(placed.select(key, (F.floor(F.col("_place") * n / F.lit(max(1, total))) + 1).cast("int").alias("fold")), key)
-
-
-def ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """df with each row's place (from 0) in the total order: sorted by range partitions, counted, and offset.
-
-    The partitions are written first, as their numbers must be the same in the count and in the result.
-    """
-    rows = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordinal")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(offsets.select("_part", "_offset")), "_part").withColumn(name, F.col("_n") + F.col("_offset")).drop("_part", "_n", "_offset")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_uniform
+from ..functions.exprs import first_reason, hash_uniform
 from . import series
 
 
@@ -35,17 +34,39 @@ def rule_candidates(df: DataFrame, rules: dict[str, Column], market: str, margin
     return df.withColumn("rule", F.explode(names)).groupBy("rule").agg(F.count("*").alias("states"), F.countDistinct(market).alias("markets"), F.max(margin).alias("best_margin"), F.avg(margin).alias("mean_margin"))
 
 
-def decision_windows(df: DataFrame, seen: Column, expiry: Column, exclusions: Sequence[tuple[Column, str]]) -> DataFrame:
-    """df with exclusion (the first reason that holds), seconds from first seen to expiry, and their class."""
-    seconds = expiry - seen
-    reason = reduce(lambda out, p: F.when(p[0], p[1]).otherwise(out), reversed(list(exclusions)), F.lit(None).cast("string"))
-    kind = F.when(seconds >= 60, "wide").when(seconds >= 30, "narrow").when(seconds >= 0, "short").otherwise("expired")
-    return df.withColumn("exclusion", reason).withColumn("window_seconds", F.when(reason.isNull(), seconds)).withColumn("window_class", F.when(reason.isNull(), kind))
+# Fixed bounds in seconds of a decision window.
+SUFFICIENT, MARGINAL = 60, 30
 
 
-def window_distribution(df: DataFrame, seconds: str, edges: Sequence[int] = (30, 60, 120, 180)) -> DataFrame:
-    """One row: n, the median, and the share of windows at or over each edge."""
-    return df.agg(F.count(seconds).alias("n"), F.percentile(seconds, F.lit(0.5)).alias("median"), *[F.avg((F.col(seconds) >= e).cast("double")).alias(f"share_{e}") for e in edges])
+def decision_class(seconds: Column) -> Column:
+    return F.when(seconds >= SUFFICIENT, "sufficient_decision_window").when(seconds >= MARGINAL, "marginal_decision_window").when(seconds.isNotNull(), "insufficient_decision_window")
+
+
+def decision_windows(df: DataFrame, prospective: Column, five_minute: Column, seen: Column, expiry: Column) -> DataFrame:
+    """df with exclusion, the seconds from first seen to expiry, and their class.
+
+    `seen` and `expiry` are microseconds. The first exclusion that holds counts: not seen prospectively, not a
+    five-minute market, no time first seen, no expiry, seen after it. Excluded rows have neither seconds nor class.
+    """
+    reason = first_reason(
+        (~F.coalesce(prospective, F.lit(False)), "non_prospective_or_page_churn"),
+        (~F.coalesce(five_minute, F.lit(False)), "non_five_minute_market"),
+        (seen.isNull(), "missing_first_seen_timestamp"),
+        (expiry.isNull(), "missing_expiry"),
+        (expiry < seen, "first_seen_after_expiry"),
+    )
+    seconds = F.when(reason.isNull(), (expiry - seen) / F.lit(1e6))
+    out = df.withColumns({"exclusion": reason, "window_seconds": seconds})
+    return out.withColumn("window_class", decision_class(F.col("window_seconds")))
+
+
+def window_distribution(df: DataFrame, seconds: str, gates: Sequence[int] = (60, 120, 180)) -> DataFrame:
+    """One row: n, min, median, mean and max, the five bins of windows, and the share at or over each gate."""
+    x = F.col(seconds)
+    n = lambda c: F.count(F.when(c, 1))
+    edges = (30, 60, 120, 180)
+    bins = [n(x < edges[0]).alias("under_30"), *[n((x >= a) & (x < b)).alias(f"from_{a}_to_{b}") for a, b in zip(edges[:-1], edges[1:], strict=True)], n(x >= edges[-1]).alias("from_180")]
+    return df.agg(F.count(seconds).alias("n"), F.min(x).alias("least"), F.percentile(seconds, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("most"), *bins, *[F.avg((x >= g).cast("double")).alias(f"share_{g}") for g in gates])
 
 
 def group_priors(train: DataFrame, group: str, outcome: str) -> DataFrame:

@@ -9,14 +9,10 @@ from ..functions import exprs as X
 from ..operators import metrics as M
 from ..operators import stats as S
 from ..operators import tables as T
-from ..operators import wallets as W
+from .tables import table
 from .time_queries import _r
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
@@ -29,39 +25,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TRADES = """tr AS (SELECT o_custkey AS wallet, l_partkey % 50 AS token, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
-  l_quantity::DECIMAL(20,8) AS size, (l_extendedprice / l_quantity)::DECIMAL(20,8) AS price, l_orderkey * 10 + l_linenumber AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-lc0 AS (SELECT wallet, token, coalesce(sum(size) FILTER (side = 'BUY'), 0)::DOUBLE AS bought, coalesce(sum(size) FILTER (side = 'SELL'), 0)::DOUBLE AS sold,
-  sum((size::DOUBLE * price::DOUBLE)) FILTER (side = 'BUY') AS paid, sum(size::DOUBLE * price::DOUBLE) FILTER (side = 'SELL') AS got, min(t) AS opened, max(t) AS last, count(*) AS trades,
-  array_to_string(list_sort(list_distinct(list(side))), ';') AS sides FROM tr GROUP BY 1, 2),
-lc AS (SELECT *, greatest(bought - sold, 0) AS remaining, greatest(sold - bought, 0) AS oversold_size, CASE WHEN sold > bought THEN 'oversold' WHEN sold = 0 THEN 'still_open' WHEN bought = sold THEN 'full_exit' ELSE 'partial_exit' END AS status,
-  CASE WHEN bought > 0 THEN paid / bought END AS entry_price, CASE WHEN sold > 0 THEN got / sold END AS exit_price FROM lc0),
-lr AS (SELECT *, CASE WHEN least(bought, sold) > 0 THEN (exit_price - entry_price) * least(bought, sold) END AS realized FROM lc),
-wm AS (SELECT wallet, count(*) AS positions, count(*) FILTER (status = 'still_open') AS still_open, count(*) FILTER (status = 'partial_exit') AS partial_exit, count(*) FILTER (status = 'full_exit') AS full_exit, count(*) FILTER (status = 'oversold') AS oversold,
-  avg(bought) AS mean_bought, quantile_cont(bought, 0.5) AS median_bought, sum(realized) AS realized, count(*) FILTER (realized > 0) AS wins, count(realized) AS closed, sum(trades)::BIGINT AS trades FROM lr GROUP BY 1)"""
-
-
-def lifecycle_positions(spark, sf_dir):
-    p = W.lifecycles(trades(spark, sf_dir))
-    return p.select("wallet", "token", *[F.col(c).cast("double").alias(c) for c in ("bought", "sold", "remaining")], F.col("oversold").cast("double").alias("oversold_size"), "opened", "last", "trades", "sides", "status", F.round("entry_cost", 4).alias("entry_cost"), F.round("exit_value", 4).alias("exit_value"))
-
-
-def lifecycle_conservation(spark, sf_dir):
-    return W.conservation_violations(W.lifecycles(trades(spark, sf_dir))).agg(F.count("*").alias("violations"))
-
-
-def wallet_metrics(spark, sf_dir):
-    m = W.wallet_metrics(W.lifecycles(trades(spark, sf_dir)))
-    return m.select("wallet", "positions", "still_open", "partial_exit", "full_exit", "oversold", *_r("mean_bought", "median_bought"), F.round("realized", 4).alias("realized"), "wins", "closed", "trades")
-
+TRADES = """tr AS (SELECT o_custkey AS wallet, l_partkey % 50 AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
-def wallet_score(spark, sf_dir):
-    return W.wallet_scores(W.wallet_metrics(W.lifecycles(trades(spark, sf_dir))))
 
-
-def wallet_skill(spark, sf_dir):
-    p = W.lifecycles(trades(spark, sf_dir)).filter("realized is not null").withColumn("won", F.col("realized") > 0)
-    return W.skill(p, "wallet", "won").select("wallet", "n", "wins", *_r("rate", "baseline", "z", "low", "high"))
+SAMPLES = "sa AS (SELECT l_orderkey || '-' || l_linenumber AS market_id, CASE WHEN l_suppkey % 7 = 0 THEN 'mock' ELSE 'public' END AS market_source, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS outcome, CASE WHEN l_quantity > 3 THEN l_quantity END AS size, CASE WHEN l_linenumber < 7 THEN l_tax END AS tax, CASE WHEN l_linestatus = 'F' THEN '' ELSE l_returnflag END AS micro, l_suppkey AS session FROM lineitem)"
 
 
 def dominant_share(spark, sf_dir):
@@ -108,10 +75,30 @@ CORR = " UNION ALL ".join(
 )
 
 
+def _samples(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("market_id"),
+        F.when(F.col("l_suppkey") % 7 == 0, "mock").otherwise("public").alias("market_source"),
+        F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).alias("outcome"),
+        F.when(F.col("l_quantity") > 3, F.col("l_quantity")).alias("size"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_tax")).alias("tax"),
+        F.when(F.col("l_linestatus") == "F", "").otherwise(F.col("l_returnflag")).alias("micro"),
+        F.col("l_suppkey").alias("session"),
+    )
+
+
 def quality_score(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("large", F.when(F.col("l_quantity") > 5, F.col("l_quantity")))
-    q = T.quality_score(lines, ["l_orderkey", "l_linenumber"], ["large", "l_tax"], (F.col("l_returnflag") == "R").cast("int"), F.col("l_discount") <= 0.08, "l_linestatus", 3)
-    return q.select("rows", *_r("completeness", "balance", "validity", "coverage", "uniqueness"), F.round("score", 4).alias("score"))
+    q = T.quality_score(_samples(spark, sf_dir).drop("session"), ["size", "tax"], ["micro"])
+    return q.select("rows", "public_rows", "mock_rows", "up", "down", "missing_values", "duplicate_rows", "duplicate_markets", F.round("imbalance", 4).alias("imbalance"), F.round("minority", 4).alias("minority"), *T.QUALITY_WEIGHTS, "score", F.array_join("failures", "; ").alias("failures"), "recommended")
+
+
+def missingness(spark, sf_dir):
+    return T.missingness(_samples(spark, sf_dir), ["outcome", "size", "tax"], "session").select("column", F.coalesce("session", F.lit("all")).alias("session"), "rows", "nulls", *_r("completeness"))
+
+
+def dataset_summary(spark, sf_dir):
+    return T.dataset_summary(_samples(spark, sf_dir), "market_source", "outcome", ["size", "tax", "outcome"])
 
 
 def _scored(spark, sf_dir):
@@ -279,14 +266,6 @@ def bootstrap_ci(spark, sf_dir):
 
 
 TABLES = {
-    "lifecycle_positions": (lifecycle_positions, f"WITH {TRADES} SELECT wallet, token, bought, sold, remaining, oversold_size, opened, last, trades, sides, status, round(paid, 4) AS entry_cost, round(got, 4) AS exit_value FROM lr"),
-    "lifecycle_conservation": (lifecycle_conservation, f"WITH {TRADES} SELECT count(*) AS violations FROM lr WHERE bought + oversold_size <> sold + remaining"),
-    "wallet_metrics": (wallet_metrics, f"WITH {TRADES} SELECT wallet, positions, still_open, partial_exit, full_exit, oversold, round(mean_bought, 6) AS mean_bought, round(median_bought, 6) AS median_bought, round(realized, 4) AS realized, wins, closed, trades FROM wm"),
-    "wallet_score": (wallet_score, f"""WITH {TRADES}, s AS (SELECT *, coalesce(wins / nullif(closed, 0), 0) AS win, (full_exit + partial_exit) / positions AS ex, still_open / positions AS op, oversold / positions AS ov FROM wm)
-SELECT wallet, positions, closed, wins, greatest(0.0, least(100.0, CASE WHEN positions >= 50 THEN 30 WHEN positions >= 20 THEN 20 WHEN positions >= 5 THEN 10 ELSE 0 END + CASE WHEN ex >= 0.6 THEN 30 WHEN ex >= 0.3 THEN 20 WHEN ex >= 0.1 THEN 10 ELSE 0 END
- + CASE WHEN win >= 0.6 THEN 40 WHEN win >= 0.5 THEN 25 WHEN win >= 0.4 THEN 10 ELSE 0 END - CASE WHEN op >= 0.8 THEN 20 WHEN op >= 0.5 THEN 10 ELSE 0 END - CASE WHEN ov >= 0.5 THEN 20 WHEN ov >= 0.2 THEN 10 ELSE 0 END))::DOUBLE AS score FROM s"""),
-    "wallet_skill": (wallet_skill, f"""WITH {TRADES}, o AS (SELECT wallet, count(*)::DOUBLE AS n, count(*) FILTER (realized > 0)::DOUBLE AS k FROM lr WHERE realized IS NOT NULL GROUP BY 1), b AS (SELECT *, (sum(k) OVER () - k) / nullif(sum(n) OVER () - n, 0) AS b FROM o)
-SELECT wallet, n::BIGINT AS n, k::BIGINT AS wins, round(k / n, 6) AS rate, round(b, 6) AS baseline, round(CASE WHEN b > 0 AND b < 1 THEN (k / n - b) / sqrt(b * (1 - b) / n) ELSE 0 END, 6) AS z, round(greatest(0.0, {_wilson_sql('1.96').format(s='-')}), 6) AS low, round(least(1.0, {_wilson_sql('1.96').format(s='+')}), 6) AS high FROM b"""),
     "dominant_share": (dominant_share, f"WITH {TRADES}, c AS (SELECT wallet, token, count(*) AS c FROM tr GROUP BY 1, 2) SELECT wallet, token, round(c / sum(c) OVER (PARTITION BY wallet), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY c DESC, token) = 1"),
     "consensus_vote": (consensus_vote, """WITH w AS (SELECT l_orderkey, l_returnflag AS s, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), m AS (SELECT *, max(w) OVER (PARTITION BY l_orderkey) AS top FROM w)
 SELECT l_orderkey, count(*) AS sides, CASE WHEN count(*) FILTER (w = top) > 1 THEN 'TIE' ELSE max(s) FILTER (w = top) END AS winner, round(max(top) / sum(w), 6) AS agreement FROM m GROUP BY 1"""),
@@ -297,9 +276,14 @@ SELECT l_orderkey, count(*) AS sides, CASE WHEN count(*) FILTER (w = top) > 1 TH
 SELECT c AS "column", r AS "rows", n AS nulls, round(1 - n / r, 6) AS completeness FROM (SELECT 'l_orderkey' AS c, r, 0 AS n FROM t UNION ALL SELECT 'large', r, a FROM t UNION ALL SELECT 'returned', r, b FROM t)"""),
     "duplicate_rate": (duplicate_rate, 'WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT sum(n)::BIGINT AS "rows", count(*) AS "distinct", (sum(n) - count(*))::BIGINT AS duplicates, round((sum(n) - count(*)) / sum(n), 6) AS rate FROM g'),
     "corr_matrix": (corr_matrix, CORR),
-    "quality_score": (quality_score, """WITH q AS (SELECT count(*) AS r, 1 - count(*) FILTER (NOT l_quantity > 5) / (2.0 * count(*)) AS c, 1 - abs(2 * avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) - 1) AS b, avg(CASE WHEN l_discount <= 0.08 THEN 1.0 ELSE 0.0 END) AS v,
- least(1.0, count(DISTINCT l_linestatus) / 3) AS g, count(DISTINCT l_orderkey * 100 + l_linenumber) / count(*) AS u FROM lineitem)
-SELECT r AS "rows", round(c, 6) AS completeness, round(b, 6) AS balance, round(v, 6) AS validity, round(g, 6) AS coverage, round(u, 6) AS uniqueness, round(100 * (0.30 * c + 0.25 * u + 0.15 * b + 0.10 * v + 0.20 * g), 4) AS score FROM q"""),
+    "quality_score": (quality_score, f"""WITH {SAMPLES}, c AS (SELECT count(*) AS n, count(*) FILTER (market_source = 'public') AS p, count(*) FILTER (market_source = 'mock') AS k, count(*) FILTER (outcome = 1) AS u, count(*) FILTER (outcome = 0) AS d, count(*) FILTER (size IS NULL) + count(*) FILTER (tax IS NULL) AS f, count(*) FILTER (outcome IS NULL) AS o,
+ count(*) - (SELECT count(*) FROM (SELECT DISTINCT market_id, market_source, outcome, size, tax, micro FROM sa)) AS dup, count(*) - count(DISTINCT market_id) AS dm FROM sa),
+x AS (SELECT *, 100.0 * least(u, d) / (u + d) AS mi, 100.0 * dup / n AS dr FROM c), y AS (SELECT *, round(100.0 * p / n, 4) AS a, round(least(100.0, 2 * mi), 4) AS b, round(100 - 100.0 * (f + o) / (n * 5), 4) AS m, round(100 - dr, 4) AS q, round(100.0 * (2 * n - f) / (2 * n), 4) AS e FROM x),
+z AS (SELECT *, round(a * 0.30 + b * 0.25 + m * 0.15 + q * 0.10 + e * 0.20, 2) AS score FROM y),
+g AS (SELECT *, list_filter([CASE WHEN 100.0 * p / n < 80 THEN 'public sample ratio is below 80%' END, CASE WHEN mi < 30 THEN 'minority class share is below 30%' END, CASE WHEN 100.0 * (2 * n - f) / (2 * n) < 95 THEN 'feature completeness is below 95%' END, CASE WHEN dr > 1 THEN 'duplicate rate exceeds 1%' END, CASE WHEN score < 75 THEN 'quality score is below 75' END], lambda x: x IS NOT NULL) AS fa FROM z)
+SELECT n AS "rows", p AS public_rows, k AS mock_rows, u AS up, d AS down, f + o AS missing_values, dup AS duplicate_rows, dm AS duplicate_markets, round(100.0 * abs(u - d) / (u + d), 4) AS imbalance, round(mi, 4) AS minority, a AS public_sample_ratio, b AS class_balance, m AS missing_value_control, q AS duplicate_control, e AS feature_completeness, score, array_to_string(fa, '; ') AS failures, len(fa) = 0 AS recommended FROM g"""),
+    "missingness": (missingness, f"WITH {SAMPLES}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", session, {c} IS NULL AS x FROM sa" for c in ("outcome", "size", "tax")) + ") SELECT \"column\", coalesce(session::VARCHAR, 'all') AS session, count(*) AS \"rows\", count(*) FILTER (x) AS nulls, round(1 - count(*) FILTER (x) / count(*), 6) AS completeness FROM u GROUP BY GROUPING SETS ((1), (1, session))"),
+    "dataset_summary": (dataset_summary, f"WITH {SAMPLES}, u AS (SELECT 'rows' AS item, 'all' AS name FROM sa UNION ALL SELECT 'group', market_source FROM sa UNION ALL SELECT 'outcome', coalesce(outcome::VARCHAR, 'none') FROM sa UNION ALL SELECT 'nulls', 'size' FROM sa WHERE size IS NULL UNION ALL SELECT 'nulls', 'tax' FROM sa WHERE tax IS NULL UNION ALL SELECT 'nulls', 'outcome' FROM sa WHERE outcome IS NULL) SELECT item, name, count(*) AS value FROM u GROUP BY 1, 2"),
     "prob_metrics": (prob_metrics, f"WITH {SCORED} SELECT {_METRICS} FROM s"),
     "calibration_table": (calibration_table, f"WITH {SCORED}, b AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, avg(p) AS m, avg(y) AS r FROM s GROUP BY 1) SELECT i::INTEGER AS bin, coalesce(n, 0) AS n, round(m, 6) AS mean_p, round(r, 6) AS rate FROM range(10) t(i) LEFT JOIN b ON b.bin = i"),
     "calibration_error": (calibration_error, f"WITH {SCORED}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS m, avg(y) AS r FROM s GROUP BY 1) SELECT round(sum(n * abs(r - m)) / sum(n), 6) AS ece FROM b"),
@@ -322,7 +306,7 @@ SELECT o_custkey, round(greatest(0.0, {_wilson_sql('1.96').format(s='-')}), 6) A
     "matched_null": (matched_null, """WITH p AS (SELECT o_orderpriority AS f, o_orderkey AS k, o_totalprice AS pnl, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
 a AS (SELECT trial, f, floor(('0x' || substr(sha256('1|' || trial || '|' || k), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 * n)::BIGINT AS i FROM p, range(20) t(trial))
 SELECT trial::INTEGER AS trial, round(avg(pnl), 4) AS mean FROM a JOIN p USING (f, i) GROUP BY 1"""),
-    "top_k_share": (top_k_share, "WITH t AS (SELECT o_totalprice AS v FROM orders WHERE o_totalprice > 0 ORDER BY 1 DESC LIMIT 10), s AS (SELECT (SELECT sum(v) FROM t) AS a, (SELECT sum(o_totalprice) FROM orders) AS b) SELECT round(a, 2) AS top, round(b, 2) AS total, round(a / b, 6) AS share FROM s"),
+    "top_k_share": (top_k_share, "WITH t AS (SELECT o_totalprice AS v FROM orders WHERE o_totalprice > 0 ORDER BY 1 DESC LIMIT 10), s AS (SELECT (SELECT sum(v) FROM t) AS a, (SELECT sum(o_totalprice) FROM orders) AS b) SELECT round(a, 2) AS top, round(b, 2) AS total, round(CASE WHEN b > 0 THEN a / b END, 6) AS share FROM s"),
     "largest_group_share": (largest_group_share, "WITH g AS (SELECT sum(o_totalprice) AS v FROM orders GROUP BY o_orderpriority) SELECT round(max(v), 2) AS largest, round(sum(v), 2) AS total, round(max(v) / sum(v), 6) AS share FROM g"),
     "classify_text": (classify_text, """WITH h AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), '[a-z0-9]@[a-z0-9]') THEN 'mail' END, CASE WHEN regexp_matches(lower(text), '\\+[0-9]') THEN 'phone' END, CASE WHEN regexp_matches(lower(text), '[#$%&]{3}') THEN 'marked' END], lambda x: x IS NOT NULL) AS h, (doc_id % 101) / 100 AS p FROM documents)
 SELECT doc_id, CASE WHEN len(h) = 1 THEN h[1] END AS kind, CASE WHEN p < 0.1 THEN '0.00-0.10' WHEN p < 0.25 THEN '0.10-0.25' WHEN p < 0.5 THEN '0.25-0.50' WHEN p < 0.75 THEN '0.50-0.75' WHEN p < 0.9 THEN '0.75-0.90' ELSE '0.90-1.00' END AS bucket FROM h"""),

@@ -70,18 +70,19 @@ def value_at(series: DataFrame, key: str, ts: str, value: str, ago: int, toleran
     return out.select(*series.columns, F.col("_p_value").alias(name))
 
 
-def k_return(series: DataFrame, key: str, ts: str, value: str, ago: int, tolerance: int | None = None, name: str = "k_return") -> DataFrame:
-    """value over the value `ago` before, less one; NULL without one, or if it isn't positive."""
-    out = value_at(series, key, ts, value, ago, tolerance, "_past")
+def k_return(series: DataFrame, key: str, ts: str, value: str, ago: int, tolerance: int | None = None, name: str = "k_return", bucket: int | None = None) -> DataFrame:
+    """value over the value `ago` before, less one; NULL without one, or if it isn't positive. bucket: as in `asof_join`."""
+    out = value_at(series, key, ts, value, ago, tolerance, "_past", bucket)
     return out.withColumn(name, F.when(F.col("_past") > 0, F.try_divide(value, "_past") - 1)).drop("_past")
 
 
-def level_change(series: DataFrame, key: str, ts: str, value: str, ago: int, tolerance: int | None = None, name: str = "level_change") -> DataFrame:
-    out = value_at(series, key, ts, value, ago, tolerance, "_past")
+def level_change(series: DataFrame, key: str, ts: str, value: str, ago: int, tolerance: int | None = None, name: str = "level_change", bucket: int | None = None) -> DataFrame:
+    out = value_at(series, key, ts, value, ago, tolerance, "_past", bucket)
     return out.withColumn(name, F.col(value) - F.col("_past")).drop("_past")
 
 
-def momentum(series: DataFrame, key: str, ts: str, value: str, short: int, long: int, name: str = "momentum") -> DataFrame:
+def momentum(series: DataFrame, key: str, ts: str, value: str, short: int, long: int, name: str = "momentum", bucket: int | None = None) -> DataFrame:
     """The return over the short stretch less that over the long one."""
-    out = k_return(k_return(series, key, ts, value, short, name="_short"), key, ts, value, long, name="_long")
+    out = k_return(series, key, ts, value, short, name="_short", bucket=bucket)
+    out = k_return(out, key, ts, value, long, name="_long", bucket=bucket)
     return out.withColumn(name, F.col("_short") - F.col("_long")).drop("_short", "_long")

@@ -49,15 +49,15 @@ SELECT p.event_id, j.right_t, round(j.right_value, 6) AS right_value FROM p LEFT
 
 
 def k_return(spark, sf_dir):
-    return asof.k_return(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR, 48 * HOUR).select("event_id", *_r("k_return"))
+    return asof.k_return(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR, 48 * HOUR, bucket=BUCKET).select("event_id", *_r("k_return"))
 
 
 def level_change(spark, sf_dir):
-    return asof.level_change(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR).select("event_id", *_r("level_change"))
+    return asof.level_change(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR, bucket=BUCKET).select("event_id", *_r("level_change"))
 
 
 def momentum(spark, sf_dir):
-    return asof.momentum(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR, 24 * HOUR).select("event_id", *_r("momentum"))
+    return asof.momentum(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR, 24 * HOUR, bucket=BUCKET).select("event_id", *_r("momentum"))
 
 
 def _past(ago: int, name: str) -> str:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import metrics as M
 from ..operators import outcomes as O
-from ..operators import passive as P
 from ..operators import tables as T
 from ..operators import trading as R
 from .table_queries import SCORED, _days, _scored
@@ -103,24 +102,11 @@ def five_bins(spark, sf_dir):
     return M.calibration(_scored(spark, sf_dir), "y", "p", 5).filter("n > 0").select("bin", "n", *_r("mean_p", "rate"))
 
 
-POLICIES = [{"policy": f"p{i}", "offset": o, "size": 1.0} for i, o in enumerate((1.0, 5.0, 20.0))]
-
-
-def passive_policies(spark, sf_dir):
-    e = events(spark, sf_dir, "event_type")
-    rows = P.quoted(e.filter("event_type = 'purchase'"), e, "user_id", "event_id", "t", "value", POLICIES, 48 * HOUR)
-    return P.policy_summary(rows).select("policy", "n", *_r("bid_share", "ask_share", "both_share"), F.round("mean_pnl", 4).alias("mean_pnl"), F.round("total_pnl", 2).alias("total_pnl"), "wins")
-
-
 SEEN = """o0 AS (SELECT *, CASE WHEN l_linenumber < 7 THEN l_quantity END AS se, CASE WHEN l_tax > 0 THEN l_partkey % 300 END AS ex FROM lineitem),
 o1 AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'non_prospective_or_page_churn' WHEN NOT l_discount <= 0.09 THEN 'non_five_minute_market' WHEN se IS NULL THEN 'missing_first_seen_timestamp' WHEN ex IS NULL THEN 'missing_expiry' WHEN ex < se THEN 'first_seen_after_expiry' END AS x FROM o0), dw AS (SELECT *, CASE WHEN x IS NULL THEN ex - se END AS w FROM o1)"""
 KIND = "CASE WHEN w >= 60 THEN 'sufficient_decision_window' WHEN w >= 30 THEN 'marginal_decision_window' ELSE 'insufficient_decision_window' END"
 
 TRADING = {
-    "passive_policies": (passive_policies, f"""WITH {E}, q(policy, o) AS (VALUES ('p0', 1.0::DOUBLE), ('p1', 5.0::DOUBLE), ('p2', 20.0::DOUBLE)),
-f AS (SELECT policy, o, p.event_id, p.value AS v, min(x.t) FILTER (x.value < p.value - o) AS b, min(x.t) FILTER (x.value > p.value + o) AS a, max_by(x.value, x.t) AS z FROM q, e p JOIN e x ON p.event_type = 'purchase' AND p.user_id = x.user_id AND x.t > p.t AND x.t <= p.t + {48 * HOUR} GROUP BY 1, 2, 3, 4),
-r AS (SELECT policy, a, b, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 2 * o WHEN b IS NOT NULL THEN z - (v - o) WHEN a IS NOT NULL THEN v + o - z ELSE 0 END AS pnl FROM f)
-SELECT policy, count(*) AS n, round(count(b) / count(*), 6) AS bid_share, round(count(a) / count(*), 6) AS ask_share, round(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(*), 6) AS both_share, round(avg(pnl), 4) AS mean_pnl, round(sum(pnl), 2) AS total_pnl, count(*) FILTER (pnl > 0) AS wins FROM r GROUP BY 1"""),
     "microstructure": (microstructure, f"""WITH {E}, y AS (SELECT *, floor(value / 10) AS yes, value / 100 AS spread FROM e),
 l AS (SELECT *, lag(t) OVER w AS pt, lag(yes) OVER w AS py, lag(spread) OVER w AS ps, row_number() OVER w AS n FROM y WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 c AS (SELECT *, n = 1 OR yes <> py AS c FROM l), g AS (SELECT *, sum(c::INTEGER) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM c)

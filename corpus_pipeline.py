@@ -13,27 +13,39 @@ from tidemark.llm.common import crc32_mod, staged, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or of a language that the network isn't sure of, go."""
+    """Texts without letters, or of a language that the network isn't sure of, go; so do null and empty ones.
+
+    Null ids and languages, repeated rows and further columns stay as they are; an empty table stays empty.
+    """
     return language.accepted(docs, language.fit(docs.filter(crc32_mod("doc_id", 4) != 2)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one of the smallest id, with all rows that repeat that id.
+
+    Documents without words, or with a null id, are in no group and stay; an empty table stays empty.
+    """
     return neardup.deduplicated(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and short texts hold none, and rows with a null id stay.
+
+    Without benchmark items, or without documents, nothing changes.
+    """
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind in brackets."""
+    """Personal data in the texts gives way to its kind in brackets; null texts stay null, and every row stays."""
     return pii.redact(docs)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Which piece of which document goes where in which training sequence."""
+    """Which piece of which document goes where in which training sequence; a null text is its end token alone.
+
+    Repeated rows are packed each on its own, a null id stays null, and an empty table gives no rows.
+    """
     return packing.packed(docs)
 
 

@@ -8,8 +8,12 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import queries
+from test_duplicates import brute
+from tidemark.llm import pii, queries
+from tidemark.llm.language import has_letter
 from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.pii import base_spans
+from tidemark.llm.tokens import WordEncoder, default_path
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -39,8 +43,28 @@ def test_stages(spark, tmp_path):
 def test_odd_rows_pass_all_stages(spark, odd, empty):
     for start in (odd, empty):
         docs = start
-        for _, stage in corpus_pipeline.STAGES:
-            docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), stage(spark, docs, DATA).schema)
+        for name, stage in corpus_pipeline.STAGES:
+            before = [tuple(r) for r in docs.collect()]
+            out = stage(spark, docs, DATA)
+            rows = [tuple(r) for r in out.collect()]
+            ids = lambda x: sorted(-1 if r[0] is None else r[0] for r in x)
+            if name == "language ID":
+                assert all(has_letter(r[1]) for r in rows) and set(rows) <= set(before)
+            elif name == "MinHash near-dedup":
+                kept = {i for i, (_, c) in brute(before).items() if i == c} | {None}
+                assert sorted(rows, key=str) == sorted([r for r in before if r[0] in kept], key=str)
+            elif name == "benchmark decontamination":
+                assert set(rows) <= set(before) and len(rows) >= len(before) - 1
+            elif name == "PII":
+                model = pii.detector()
+                assert ids(rows) == ids(before) and not any(base_spans(r[1] or "") for r in rows)
+                assert all(r[4] == (None if r[1] is None else len(r[1])) for r in rows) and model.thresholds
+            else:
+                assert set(ids(rows)) == set(ids(before))
+                encode = WordEncoder(default_path())
+                assert sum(r[3] for r in rows) == sum(len(encode([r[1] or ""])[0]) + 1 for r in before)
+            docs = spark.createDataFrame(rows, out.schema)
+        assert (start is odd) == bool(docs.count())
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))

@@ -217,3 +217,54 @@ def only_match(text: ColumnOrName, patterns: dict[str, str]) -> Column:
 def step_score(x: ColumnOrName, steps: list[tuple[float, float]], otherwise: float = 0.0) -> Column:
     """The value of the first step (least, value) that x reaches, steps from high to low."""
     return reduce(lambda out, s: F.when(_c(x) >= s[0], s[1]).otherwise(out), reversed(steps), F.lit(otherwise))
+
+
+def canonical_json(*names: str) -> Column:
+    """The columns as JSON with their names in order and null fields kept; no blanks."""
+    return F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+
+
+def fixed(x: ColumnOrName, digits: int = 6) -> Column:
+    return F.format_string(f"%.{digits}f", _c(x).cast("double"))
+
+
+def epoch_iso(x: ColumnOrName) -> Column:
+    """Whole epoch seconds as ISO-8601 text; NULL if they are no number. In a session whose zone is UTC."""
+    return F.date_format(F.timestamp_seconds(_c(x).cast("string").try_cast("long")), "yyyy-MM-dd'T'HH:mm:ss+00:00")
+
+
+def five_minute_market(flag: ColumnOrName, slug: ColumnOrName) -> Column:
+    """What the flag (text) says if there is one, else whether the slug ends as a five-minute market's."""
+    given = F.nullif(F.trim(_c(flag)), F.lit(""))
+    return F.when(given.isNotNull(), F.lower(given) == "true").otherwise(F.coalesce(_c(slug).rlike(r"-5m-\d+$"), F.lit(False)))
+
+
+def event_age_ms(received: ColumnOrName, server_ms: ColumnOrName) -> Column:
+    """Milliseconds from a server's time to that of receipt (microseconds)."""
+    return _c(received) / F.lit(1000.0) - _c(server_ms)
+
+
+def decision(open_side: ColumnOrName, score: ColumnOrName, reference: ColumnOrName, price: ColumnOrName, held: ColumnOrName, enter: float = 0.7, leave: float = 0.4, near: float = 0.02, timeout: int = 10) -> Column:
+    """action (OPEN, HOLD or CLOSE), side and reason of a score-driven rule, as a struct.
+
+    Without an open side a score over `enter` opens the side that the reference favours. An open one closes on a score
+    under `leave`, a price within `near` of the reference, or after `timeout` steps held, whichever comes first.
+    """
+    s, idle = _c(score), _c(open_side).isNull()
+    reason = first_reason(
+        (idle & (s > enter), "edge_score_above_threshold"),
+        (idle, "no_entry"),
+        (s < leave, "score_below_exit"),
+        (F.abs(_c(reference) - _c(price)) <= near, "convergence"),
+        (_c(held) >= timeout, "timeout"),
+        otherwise="position_open",
+    )
+    action = F.when(reason == "edge_score_above_threshold", "OPEN").when(reason.isin("no_entry", "position_open"), "HOLD").otherwise("CLOSE")
+    side = F.when(action == "OPEN", F.when(_c(reference) > _c(price), "YES").otherwise("NO")).otherwise(_c(open_side))
+    return F.struct(action.alias("action"), side.alias("side"), reason.alias("reason"))
+
+
+def filled(stake: ColumnOrName, price: ColumnOrName, slippage: float, entry: bool = True) -> Column:
+    """price and quantity of a paper fill, as a struct: slippage multiplies the price, up on entry and down on exit."""
+    paid = _c(price) * (1 + slippage if entry else 1 - slippage)
+    return F.struct(paid.alias("price"), F.try_divide(_c(stake), paid).alias("quantity"))

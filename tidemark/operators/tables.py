@@ -58,10 +58,17 @@ def best_version(df: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_row")).select(key, "_row.*")
 
 
-def intervals_meet(a: DataFrame, b: DataFrame, key: str, begin: str, end: str) -> DataFrame:
-    """Rows of a that share a key with a row of b and overlap it in time."""
-    other = b.select(F.col(key).alias("_k"), F.col(begin).alias("_b"), F.col(end).alias("_e"))
-    return a.join(other, (F.col(key) == F.col("_k")) & (F.col(begin) < F.col("_e")) & (F.col(end) > F.col("_b")), "left_semi")
+def intervals_meet(a: DataFrame, b: DataFrame, key: str, begin: str, end: str, stretch: float) -> DataFrame:
+    """Rows of a that share a key with a row of b and overlap it in time.
+
+    Intervals are dealt to the stretches of time that they touch, so a busy key is spread over its stretches and a row
+    meets only those of its own; `stretch` should be about an interval's length.
+    """
+    touched = lambda x, y: F.explode(F.sequence(F.floor(x / F.lit(stretch)), F.greatest(F.floor(x / F.lit(stretch)), F.ceil(y / F.lit(stretch)) - 1)))
+    left = a.withColumn("_id", F.monotonically_increasing_id()).withColumn("_s", touched(F.col(begin), F.col(end)))
+    other = b.select(F.col(key).alias("_k"), F.col(begin).alias("_b"), F.col(end).alias("_e"), touched(F.col(begin), F.col(end)).alias("_t"))
+    met = left.join(other, (left[key] == other["_k"]) & (left["_s"] == other["_t"]) & (left[begin] < other["_e"]) & (left[end] > other["_b"]), "left_semi")
+    return met.dropDuplicates(["_id"]).drop("_id", "_s")
 
 
 # Data quality

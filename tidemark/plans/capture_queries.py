@@ -76,7 +76,7 @@ def trial_metrics(spark, sf_dir):
 
 def signal_labels(spark, sf_dir):
     q = _priced(spark, sf_dir)
-    signals = q.filter("quote % 9 = 0").select(F.col("quote").alias("signal"), "market", F.when(F.col("quote") % 2 == 0, "UP").otherwise("DOWN").alias("direction"), "t", "seconds_to_expiry", "price")
+    signals = q.filter("price < 0.205").select(F.col("quote").alias("signal"), "market", F.when(F.col("quote") % 2 == 0, "UP").otherwise("DOWN").alias("direction"), "t", "seconds_to_expiry", "price")
     rows = C.label_rows(signals, q)
     return rows.select("signal", "market", "side", "observations", "reason", "won", *_r("entry", "mfe", "mae", "pnl", "pnl_after"))
 
@@ -135,7 +135,7 @@ CAPTURE = {
     "timing_summary": (timing_summary, f"WITH {VISIBLE} SELECT grp, count(delay) AS n, round(min(delay), 6) AS least, round(quantile_cont(delay, 0.5), 6) AS median, round(avg(delay), 6) AS mean, round(max(delay), 6) AS most FROM vv GROUP BY 1"),
     "candidate_pool": (candidate_pool, f"WITH {POOL} SELECT session, asset, side, (floor(x / 60) * 60)::INTEGER AS bucket, count(*) AS n, count(*) FILTER (won) AS wins, round(sum(pnl - 0.01), 6) AS pnl_after FROM po GROUP BY 1, 2, 3, 4"),
     "trial_metrics": (trial_metrics, f"WITH {POOL} SELECT t // 1000 % 5 AS trial, count(*) AS n, count(*) FILTER (won) AS wins, round(sum(pnl), 6) AS pnl, round(sum(pnl - 0.01), 6) AS pnl_after, round(avg(pnl - 0.01), 6) AS expectancy, round(count(*) FILTER (won) / count(*), 6) AS win_rate, round(count(*) / 10.0, 6) AS per_hour FROM po GROUP BY 1"),
-    "signal_labels": (signal_labels, f"""WITH RECURSIVE {POOL}, sl AS (SELECT po.*, CASE WHEN won THEN h WHEN l IS NOT NULL THEN l ELSE z END AS ea, pr.p FROM po JOIN pr USING (quote) WHERE quote % 9 = 0 AND (side = 'YES') = (quote % 2 = 0)), so AS (SELECT *, row_number() OVER (PARTITION BY market, side ORDER BY t, quote) AS i FROM sl),
+    "signal_labels": (signal_labels, f"""WITH RECURSIVE {POOL}, sl AS (SELECT po.*, CASE WHEN won THEN h WHEN l IS NOT NULL THEN l ELSE z END AS ea, pr.p FROM po JOIN pr USING (quote) WHERE pr.p < 0.205 AND (side = 'YES') = (quote % 2 = 0)), so AS (SELECT *, row_number() OVER (PARTITION BY market, side ORDER BY t, quote) AS i FROM sl),
 sa AS (SELECT market, side, i, ea AS over, true AS taken FROM so WHERE i = 1 UNION ALL SELECT so.market, so.side, so.i, CASE WHEN so.t >= sa.over THEN so.ea ELSE sa.over END, so.t >= sa.over FROM sa JOIN so ON so.market = sa.market AND so.side = sa.side AND so.i = sa.i + 1)
 SELECT quote AS signal, market, side, n AS observations, CASE WHEN won THEN 'repricing_target' WHEN l IS NOT NULL THEN 'stop_loss' ELSE 'timeout' END AS reason, won, round(CASE WHEN side = 'YES' THEN p ELSE 1 - p END, 6) AS entry, round(greatest(0, up), 6) AS mfe, round(least(0, dn), 6) AS mae, round(pnl, 6) AS pnl, round(pnl - 0.01, 6) AS pnl_after FROM so JOIN sa USING (market, side, i) WHERE taken"""),
     "wallet_manifest": (wallet_manifest, "WITH c AS (SELECT 'w' || c_custkey AS wallet, c_custkey % 17 AS p FROM customer), r AS (SELECT wallet, CASE WHEN p = 5 THEN 0 ELSE 1 END AS o, p FROM c) SELECT row_number() OVER (ORDER BY o, p, wallet) - 1 AS place, wallet, CASE o WHEN 0 THEN 'seed' ELSE 'discovered' END AS origin FROM r QUALIFY place < 60"),

@@ -83,7 +83,7 @@ _FD_SQL = f"WITH {_FD} " + " UNION ALL ".join(
 
 def _account(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.filter("o_custkey % 15 = 0").select(F.col("o_orderkey").alias("k"), F.round(F.pmod("o_orderkey", F.lit(37)) * 3.0 - 50, 2).alias("pnl"), (F.pmod("o_orderkey", F.lit(9)) + 1).cast("double").alias("quantity"))
+    return o.select(F.col("o_orderkey").alias("k"), F.round(F.pmod("o_orderkey", F.lit(37)) * 3.0 - 50, 2).alias("pnl"), (F.pmod("o_orderkey", F.lit(9)) + 1).cast("double").alias("quantity"))
 
 
 def evidence_metrics(spark, sf_dir):
@@ -242,7 +242,7 @@ a AS (SELECT count(*) AS assets_won FROM mx a JOIN mx b ON a.scope = 'asset' AND
     "incremental_summary": (incremental_summary, f"""WITH {MODELS}, p AS (SELECT * FROM mx WHERE scope = 'overall' AND model = 'price'), g AS (SELECT CASE WHEN m.log_loss < p.log_loss AND m.brier < p.brier THEN 'group_beats' WHEN m.log_loss >= p.log_loss AND m.brier >= p.brier THEN 'group_dominated' END AS kind, m.model AS name FROM mx m, p WHERE m.scope = 'overall' AND m.model <> 'price')
 SELECT kind, name FROM g WHERE kind IS NOT NULL UNION ALL SELECT 'regime_beats', a.scope || '_' || a.value FROM mx a JOIN mx b ON a.scope <> 'overall' AND a.scope = b.scope AND a.value = b.value AND a.model = 'candidate' AND b.model = 'price' AND a.n >= 20 AND a.log_loss < b.log_loss AND a.brier < b.brier"""),
     "feature_diagnostics": (feature_diagnostics, _FD_SQL),
-    "evidence_metrics": (evidence_metrics, """WITH a AS (SELECT o_orderkey AS k, round(o_orderkey % 37 * 3.0 - 50, 2) AS pnl, o_orderkey % 9 + 1 AS q FROM orders WHERE o_custkey % 15 = 0), b AS (SELECT *, row_number() OVER (ORDER BY k) AS i, count(*) OVER () AS n, 10000 + sum(pnl) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS eq FROM a), c AS (SELECT *, greatest(10000, max(eq) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS pk FROM b),
+    "evidence_metrics": (evidence_metrics, """WITH a AS (SELECT o_orderkey AS k, round(o_orderkey % 37 * 3.0 - 50, 2) AS pnl, o_orderkey % 9 + 1 AS q FROM orders), b AS (SELECT *, row_number() OVER (ORDER BY k) AS i, count(*) OVER () AS n, 10000 + sum(pnl) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS eq FROM a), c AS (SELECT *, greatest(10000, max(eq) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS pk FROM b),
 d AS (SELECT 120 AS markets, 110 AS windows, round(60 / 110, 6) AS opportunity_rate, count(*) AS trades, round(sum(pnl), 6) AS pnl, round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate, round(avg(pnl) FILTER (pnl > 0), 6) AS mean_win, round(avg(pnl) FILTER (pnl < 0), 6) AS mean_loss, round(max((pk - eq) / pk), 8) AS max_drawdown, round(greatest(0, least(1, (2 * sum(pnl) FILTER (i <= greatest(1, n // 2)) - sum(pnl)) / greatest(abs(sum(pnl) FILTER (i <= greatest(1, n // 2))), 1))), 6) AS edge_decay, round(greatest(0, least(1, sum(q * 0.002) / greatest(abs(sum(pnl)), 1))), 6) AS latency_sensitivity, 98.0 AS reference_coverage, 3.0 AS data_gap FROM c)
 SELECT *, CASE WHEN trades < 20 THEN 'INSUFFICIENT_DATA' WHEN pnl <= 0 OR win_rate < 0.45 OR max_drawdown > 0.10 OR edge_decay > 0.80 THEN 'NO_EDGE' WHEN win_rate >= 0.5 AND max_drawdown <= 0.05 AND edge_decay <= 0.5 AND latency_sensitivity <= 0.5 THEN 'POTENTIAL_EDGE' ELSE 'WEAK_EDGE' END AS verdict FROM d"""),
     "session_continuity": (session_continuity, """WITH e AS (SELECT user_id % 12 AS session, event_id % 97 = 5 AS f, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT session, min(t) - 1000000 AS a, CASE WHEN session % 3 > 0 THEN max(t) + 2000000 END AS z, count(*) FILTER (f) AS fatal FROM e GROUP BY 1), c AS (SELECT DISTINCT session, t FROM e WHERE NOT f),

@@ -83,7 +83,7 @@ def passive_policies(spark, sf_dir):
 
 def _signals(spark, sf_dir):
     q = quotes(spark, sf_dir)
-    return q.filter("quote % 5 = 0").select(F.col("quote").alias("signal"), "market", "session", "asset", F.when(F.col("quote") % 2 == 0, "YES").otherwise("NO").alias("side"), (F.col("t") - 500_000).alias("t"), F.col("seconds_to_expiry"))
+    return q.filter("ask - bid >= 0.035").select(F.col("quote").alias("signal"), "market", "session", "asset", F.when(F.col("quote") % 2 == 0, "YES").otherwise("NO").alias("side"), (F.col("t") - 500_000).alias("t"), F.col("seconds_to_expiry"))
 
 
 def _path(spark, sf_dir):
@@ -347,7 +347,7 @@ pe AS (SELECT pa.*, e.t AS et, e.bid AS eb, e.ask AS ea FROM pa ASOF JOIN hs e O
 pf AS (SELECT pe.*, CASE WHEN EXISTS (FROM hs WHERE hs.session = pe.session AND hs.market = pe.market AND hs.t > pe.t AND hs.t <= pe.et AND hs.bid < pe.bid) THEN least(bid_size, 125.0) * 0.375 ELSE 0 END AS bs, CASE WHEN EXISTS (FROM hs WHERE hs.session = pe.session AND hs.market = pe.market AND hs.t > pe.t AND hs.t <= pe.et AND hs.ask > pe.ask) THEN least(ask_size, 125.0) * 0.375 ELSE 0 END AS ks FROM pe),
 pp AS (SELECT *, least(bs, ks) * (ask - bid - 0.01) AS sp, (bs - least(bs, ks)) * (eb - bid - 0.005) AS lp, (ks - least(bs, ks)) * (ask - ea - 0.005) AS kp FROM pf), pq AS (SELECT *, sp + lp + kp AS pnl FROM pp)"""
 
-SLOW = f"""{QUOTES}, sg AS (SELECT quote AS signal, market, session, asset, CASE WHEN quote % 2 = 0 THEN 'YES' ELSE 'NO' END AS side, t - 500000 AS t, seconds_to_expiry AS x FROM qs WHERE quote % 5 = 0), pt AS (SELECT market, t, bid, ask, bid_size, ask_size FROM qs WHERE ask IS NOT NULL),
+SLOW = f"""{QUOTES}, sg AS (SELECT quote AS signal, market, session, asset, CASE WHEN quote % 2 = 0 THEN 'YES' ELSE 'NO' END AS side, t - 500000 AS t, seconds_to_expiry AS x FROM qs WHERE ask - bid >= 0.035), pt AS (SELECT market, t, bid, ask, bid_size, ask_size FROM qs WHERE ask IS NOT NULL),
 gr AS (SELECT sg.*, h, d, t + 2000000 AS en, t + h * 1000000 AS ex, CASE WHEN d = 'continuation' THEN side WHEN side = 'YES' THEN 'NO' ELSE 'YES' END AS ts FROM sg, (VALUES (30), (60), (120), (180)) a(h), (VALUES ('continuation'), ('mean_reversion')) b(d) WHERE x >= h),
 g1 AS (SELECT gr.*, e.t AS et, CASE WHEN ts = 'YES' THEN e.ask ELSE 1 - e.bid END AS ep FROM gr ASOF JOIN pt e ON gr.market = e.market AND e.t >= gr.en WHERE e.t - en <= 5000000),
 g2 AS (SELECT g1.*, l.t AS lt, CASE WHEN ts = 'YES' THEN l.bid ELSE 1 - l.ask END AS lp FROM g1 ASOF JOIN pt l ON g1.market = l.market AND l.t >= g1.ex WHERE l.t - ex <= 5000000 AND l.t > et),

@@ -200,9 +200,8 @@ def union_first_wins(spark, sf_dir):
 
 
 def interval_overlap(spark, sf_dir):
-    o = _days(spark, sf_dir).select("o_custkey", "o_orderkey", "day").withColumn("end", F.col("day") + 30)
-    late = o.filter("o_orderkey % 10 = 0").select("o_custkey", "day", "end")
-    return T.intervals_meet(o.filter("o_orderkey % 10 = 1"), late, "o_custkey", "day", "end").select("o_orderkey")
+    o = _days(spark, sf_dir).select("o_custkey", "o_orderkey", "o_orderstatus", "day").withColumn("end", F.col("day") + 30)
+    return T.intervals_meet(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), "o_custkey", "day", "end", 30).select("o_orderkey")
 
 
 COSTS = [{"scenario": "base", "cost": 0.0}, {"scenario": "stress", "cost": 0.02}, {"scenario": "ultra", "cost": 0.05}]
@@ -301,7 +300,7 @@ SELECT o_custkey, round(greatest(0.0, {_wilson_sql('1.96').format(s='-')}), 6) A
     "conflict_exclusion": (conflict_exclusion, "SELECT l_orderkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) = 1"),
     "semi_anti": (semi_anti, "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'urgent' ELSE 'none' END AS kind FROM customer"),
     "union_first_wins": (union_first_wins, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS o_orderstatus, (o_orderkey % 2)::INTEGER AS origin FROM orders"),
-    "interval_overlap": (interval_overlap, f"WITH {DAYS} SELECT o_orderkey FROM d a WHERE o_orderkey % 10 = 1 AND EXISTS (SELECT 1 FROM d b WHERE b.o_orderkey % 10 = 0 AND a.o_custkey = b.o_custkey AND a.day < b.day + 30 AND a.day + 30 > b.day)"),
+    "interval_overlap": (interval_overlap, f"WITH {DAYS} SELECT o_orderkey FROM d a WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM d b WHERE b.o_orderstatus = 'F' AND a.o_custkey = b.o_custkey AND a.day < b.day + 30 AND a.day + 30 > b.day)"),
     "stress_grid": (stress_grid, "WITH s(scenario, cost) AS (VALUES ('base', 0.0::DOUBLE), ('stress', 0.02::DOUBLE), ('ultra', 0.05::DOUBLE)), r AS (SELECT scenario, l_discount - l_tax - cost AS net FROM lineitem, s), g AS (SELECT scenario, count(*) AS n, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(net) AS m, stddev_samp(net) AS s, sum(net) AS t FROM r GROUP BY 1) SELECT scenario, n, round(w, 6) AS win_rate, round(m, 6) AS mean, round(s, 6) AS deviation, round(m - 1.96 * s / sqrt(n), 6) AS low, round(m + 1.96 * s / sqrt(n), 6) AS high, round(t, 4) AS total FROM g"),
     "matched_null": (matched_null, """WITH p AS (SELECT o_orderpriority AS f, o_orderkey AS k, o_totalprice AS pnl, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
 a AS (SELECT trial, f, floor(('0x' || substr(sha256('1|' || trial || '|' || k), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 * n)::BIGINT AS i FROM p, range(20) t(trial))

@@ -46,7 +46,8 @@ def stream_positions(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The closed trades of a stream with key, id, t, value, signal.
 
     Within a micro-batch a key's events are taken in order of (t, id); an event that isn't later than the last one
-    handled, as when a source repeats itself, is left out, so each counts once. State survives restarts in the checkpoint.
+    handled, as when a source repeats itself or brings it late, is left out, so each counts once and none is taken out of
+    order. Events without a key are left out, as in `batch_positions`. State survives restarts in the checkpoint.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,7 +66,7 @@ def stream_positions(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
         yield _frame(key[0], trades)
 
     kept = "last_t long, last_id long, entry_id long, entry_t long, entry_value double"
-    return events.select("key", "id", "t", "value", "signal").groupBy("key").applyInPandasWithState(run, TRADE, kept, "append", GroupStateTimeout.NoTimeout)
+    return events.select("key", "id", "t", "value", "signal").filter("key is not null").groupBy("key").applyInPandasWithState(run, TRADE, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def batch_positions(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -101,7 +102,7 @@ def stream_throttled(events: DataFrame, interval: int) -> DataFrame:
         state.update((last,))
         yield rows[["key", "id", "t"]][keep]
 
-    return events.select("key", "id", "t").groupBy("key").applyInPandasWithState(run, "key long, id long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.select("key", "id", "t").filter("key is not null").groupBy("key").applyInPandasWithState(run, "key long, id long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_seen(events: DataFrame, identity: list[str], ts: str, delay: str = "1 day") -> DataFrame:

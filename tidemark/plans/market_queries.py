@@ -208,7 +208,7 @@ def specialist_folds(spark, sf_dir):
 
 
 def specialist_consensus(spark, sf_dir):
-    weights = _specialties(spark).select("wallet").distinct().withColumn("weight", F.substring("wallet", 4, 9).cast("double") / 10 + 1)
+    weights = _specialties(spark).select("wallet").distinct().withColumn("weight", F.substring("wallet", 4, 9).cast("double") + 10)
     c = S.consensus_rows(S.signals(_candidates(spark, sf_dir)), weights)
     return c.select("condition", "wallets", "status", "equal_side", "equal_matched", "weighted_side", "weighted_matched", *_r("equal_value", "weighted_value"))
 
@@ -415,7 +415,7 @@ SELECT trial::INTEGER AS trial, round(avg(p), 9) AS expectancy FROM e JOIN c3 US
     "specialist_wallets": (specialist_wallets, f"""WITH {SPECIAL}, {_equity('wallet')}, wf AS (SELECT wallet, count(*) AS f, count(*) FILTER (e > 0) AS p FROM (SELECT wallet, fold, avg(v) AS e FROM sg GROUP BY 1, 2) GROUP BY 1), wd AS (SELECT wallet, max(c) / sum(c) AS s FROM (SELECT wallet, t // 86400 AS d, count(*) AS c FROM sg GROUP BY 1, 2) GROUP BY 1)
 SELECT wallet, {_SMET}, any_value(f) AS folds, any_value(p) AS positive_folds, CASE WHEN avg(v) > 0 THEN 'positive_after_conservative_cost' ELSE 'fails_conservative_cost' END AS robustness, round({_wilson('-')}, 6) AS win_low, round({_wilson('+')}, 6) AS win_high, round(avg(v), 6) AS expectancy, round(avg(v) - {_CI}, 6) AS low, round(avg(v) + {_CI}, 6) AS high, round({_DD}, 6) AS max_drawdown, round(any_value(p) / any_value(f), 6) AS stability, round(any_value(s), 6) AS busiest_day_share FROM eq1 JOIN wf USING (wallet) JOIN wd USING (wallet) GROUP BY 1"""),
     "specialist_folds": (specialist_folds, f'WITH {SPECIAL}, {_equity("fold")} SELECT fold::INTEGER AS fold, {_SMET}, min(t) AS "first", max(t) AS "last", count(DISTINCT condition) AS markets, round(avg(v), 6) AS expectancy, round(avg(v) - {_CI}, 6) AS low, round(avg(v) + {_CI}, 6) AS high, round({_DD}, 6) AS max_drawdown FROM eq1 GROUP BY 1'),
-    "specialist_consensus": (specialist_consensus, f"""WITH {SPECIAL}, vw AS (SELECT condition, outcome, sum(substr(wallet, 4)::DOUBLE / 10 + 1) AS w, max(price) AS p FROM sg GROUP BY 1, 2), vt AS (SELECT *, max(w) OVER (PARTITION BY condition) AS top FROM vw), vb AS (SELECT condition, CASE WHEN count(*) FILTER (w = top) > 1 THEN 'TIE' ELSE max(outcome) FILTER (w = top) END AS ws FROM vt GROUP BY 1),
+    "specialist_consensus": (specialist_consensus, f"""WITH {SPECIAL}, vw AS (SELECT condition, outcome, sum(substr(wallet, 4)::DOUBLE + 10) AS w, max(price) AS p FROM sg GROUP BY 1, 2), vt AS (SELECT *, max(w) OVER (PARTITION BY condition) AS top FROM vw), vb AS (SELECT condition, CASE WHEN count(*) FILTER (w = top) > 1 THEN 'TIE' ELSE max(outcome) FILTER (w = top) END AS ws FROM vt GROUP BY 1),
 vc AS (SELECT condition, count(*) AS wallets, CASE WHEN count(DISTINCT outcome) = 1 THEN min(outcome) ELSE 'DISAGREEMENT' END AS es, any_value(winner) AS winner FROM sg GROUP BY 1 HAVING count(*) >= 2), vd AS (SELECT vc.*, ws, a.p AS ap, b.p AS bp FROM vc JOIN vb USING (condition) LEFT JOIN vw a ON a.condition = vc.condition AND a.outcome = es LEFT JOIN vw b ON b.condition = vc.condition AND b.outcome = ws)
 SELECT condition, wallets, CASE WHEN es = 'DISAGREEMENT' THEN 'disagreement' ELSE 'agreement' END AS status, es AS equal_side, lower(es) = winner AS equal_matched, ws AS weighted_side, lower(ws) = winner AS weighted_matched, round((lower(es) = winner)::INTEGER - CASE WHEN ap IS NOT NULL THEN least(0.99, ap + 0.05) END, 6) AS equal_value, round((lower(ws) = winner)::INTEGER - CASE WHEN bp IS NOT NULL THEN least(0.99, bp + 0.05) END, 6) AS weighted_value FROM vd"""),
     "specialist_stress": (specialist_stress, f"WITH {SPECIAL} SELECT d::DOUBLE AS delay, c::DOUBLE AS cost, count(*) FILTER (raw_window - d >= 60) AS n, round(coalesce(avg(matched::INTEGER - least(0.99, price + c)) FILTER (raw_window - d >= 60), 0), 6) AS expectancy FROM sg, (VALUES (30.0::DOUBLE), (60.0), (90.0)) a(d), (VALUES (0.0::DOUBLE), (0.05), (0.1)) b(c) GROUP BY 1, 2"),

@@ -11,13 +11,15 @@ from ..streaming import positions as P
 from .time_queries import HOUR, E
 
 
-def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replayed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
     # A stream reads folders; of a table of one file, it reads the folder that holds it.
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     whole = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
     rows = stream.parquet(path) if whole else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if more:
+        return rows.select("event_id", "user_id", micros("ts").alias("t"), "value", *more)
     return rows.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), micros("ts").alias("t"), "value", (F.col("event_type") == "purchase").alias("signal"), F.col("ts").cast("timestamp").alias("at"))
 
 

@@ -1,4 +1,4 @@
-"""The three quantile rules, as aggregates."""
+"""The three quantile rules, as aggregates for groups that fit into a task; `operators.ranks` has them for groups of any size."""
 
 from __future__ import annotations
 

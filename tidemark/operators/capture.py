@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import linear, nearest_rank
 from .behaviour import outcome_side, position_size
 from .order import ordinal
 from .paths import admitted, future
+from .ranks import quantiles
 from .trades import exposure, snapshot_class
 
 # Fixed values of a signal's labels and of random candidates: seconds and probability points.
@@ -52,12 +52,17 @@ def latency_by_source(df: DataFrame, source: str, metrics: Sequence[str]) -> Dat
     """source, metric, n, least, mean, p50, p90, p95, p99 (nearest rank), most: metrics as rows, in one aggregation."""
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
     rows = df.select(source, F.explode(entries).alias("r")).select(source, "r.*").filter("x is not null")
-    return rows.groupBy(source, "metric").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.avg("x").alias("mean"), *[nearest_rank("x", p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)], F.max("x").alias("most"))
+    plain = rows.groupBy(source, "metric").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.avg("x").alias("mean"), F.max("x").alias("most"))
+    places = {f"p{p}": ("nearest_rank", p / 100) for p in (50, 90, 95, 99)}
+    found = quantiles(rows, [source, "metric"], "x", places).withColumnsRenamed({source: "_s", "metric": "_m"})
+    return plain.join(found, F.col(source).eqNullSafe(F.col("_s")) & (F.col("metric") == F.col("_m"))).select(source, "metric", "n", "least", "mean", *places, "most")
 
 
 def timing_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, n, least, median, mean, most of a group's times; rows without one don't count."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), linear(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    found = quantiles(df, by, value, {"median": ("linear", 0.5)}).withColumnsRenamed({c: f"_{c}" for c in by})
+    return plain.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").select(*by, "n", "least", "median", "mean", "most")
 
 
 def visibility(trades: DataFrame, groups: DataFrame, wallet: str = "wallet") -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, clip_probability, first_reason, wilson_open
+from ..storage import written
 from .metrics import probability_metrics
+from .order import ordinal
+from .ranks import of_columns
 from .series import drawdowns, equal_count_windows
 
 # A redundant correlation, the least rows of a regime, what a candidate must gain and may lose, assets it must win.
@@ -52,8 +55,11 @@ def prediction_deltas(df: DataFrame, outcome: str, candidate: str, baseline: str
     log = log_loss(y, F.col(candidate)) - log_loss(y, F.col(baseline))
     brier = F.pow(F.col(candidate) - y, 2) - F.pow(F.col(baseline) - y, 2)
     rows = df.select(log.alias("log"), brier.alias("brier"))
-    several = lambda c: F.percentile(c, F.array(*map(F.lit, QUANTILES)))
-    return rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("log") < 0, 1)).alias("better"), F.avg("log").alias("mean_log"), F.percentile("log", F.lit(0.5)).alias("median_log"), F.avg("brier").alias("mean_brier"), several("log").alias("log_quantiles"), several("brier").alias("brier_quantiles"))
+    rows = written(rows, "deltas")  # read for the means and for the ranks of both
+    wanted = {"median": ("linear", 0.5)} | {f"q{i}": ("linear", q) for i, q in enumerate(QUANTILES)}
+    found = of_columns(rows, ["log", "brier"], wanted)
+    several = lambda c: F.array(*[F.lit(found[c][f"q{i}"]).cast("double") for i in range(len(QUANTILES))])
+    return rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("log") < 0, 1)).alias("better"), F.avg("log").alias("mean_log"), F.lit(found["log"]["median"]).cast("double").alias("median_log"), F.avg("brier").alias("mean_brier"), several("log").alias("log_quantiles"), several("brier").alias("brier_quantiles"))
 
 
 def winners(metrics: DataFrame, by: Sequence[str], candidate: str, baseline: str) -> DataFrame:
@@ -91,8 +97,8 @@ def feature_diagnostics(df: DataFrame, features: Sequence[str], outcome: str, pa
     feature's `redundant_with` are those at 0.95 or more either way. Two passes: medians, then all sums.
     """
     known = df.filter(F.col(part).isin(train, validation))
-    medians = known.filter(F.col(part) == train).agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
-    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians[f]) if medians[f] is not None else 0.0)) for f in features}
+    medians = of_columns(known.filter(F.col(part) == train), features, {"median": ("linear", 0.5)})
+    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f]["median"] or 0.0)) for f in features}
     filled = known.select(part, F.col(outcome).cast("double").alias("_y"), *[x[f].alias(f) for f in features], *[F.col(f).isNull().cast("double").alias(f"_m_{f}") for f in features])
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     corr = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))), F.lit(0.0))
@@ -142,14 +148,14 @@ def evidence_metrics(trades: DataFrame, order: str, markets: int, windows: int,
     """One row of a session's evidence; trades has pnl and quantity, expected and seen are of reference and market points.
 
     The drawdown is relative to the peak of an account; decay compares the halves of the trades; latency takes 20 basis
-    points a share off. The trades of one session are ordered in one window.
+    points a share off. Places and the drawdown are counted by ranges of the order.
     """
-    w = Window.orderBy(order)
-    rows = trades.withColumns({"_n": F.row_number().over(w), "_equity": F.lit(start) + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    rows = rows.withColumn("_peak", F.greatest(F.lit(start), F.max("_equity").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    rows = rows.crossJoin(F.broadcast(trades.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 2)).alias("_half"))))  # a single row
+    rows = ordinal(trades.select(order, "pnl", "quantity", F.lit(0).alias("_all")), [order], "_place")
+    deep = drawdowns(rows, "_all", order, "pnl", start).select(F.max("drawdown_fraction").alias("_deep"))
+    half = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 2)).alias("_half"))
+    rows = rows.crossJoin(F.broadcast(half)).crossJoin(F.broadcast(deep))  # single rows
     n, total = F.count("*"), F.coalesce(F.sum("pnl"), F.lit(0.0))
-    early = F.coalesce(F.sum(F.when(F.col("_n") <= F.col("_half"), F.col("pnl"))), F.lit(0.0))
+    early = F.coalesce(F.sum(F.when(F.col("_place") < F.col("_half"), F.col("pnl"))), F.lit(0.0))
     cost = F.coalesce(F.sum(F.col("quantity") * 0.002), F.lit(0.0))
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     return rows.agg(
@@ -161,7 +167,7 @@ def evidence_metrics(trades: DataFrame, order: str, markets: int, windows: int,
         F.round(F.coalesce(F.try_divide(F.count(F.when(F.col("pnl") > 0, 1)), n), F.lit(0.0)), 6).alias("win_rate"),
         F.round(F.coalesce(F.avg(F.when(F.col("pnl") > 0, F.col("pnl"))), F.lit(0.0)), 6).alias("mean_win"),
         F.round(F.coalesce(F.avg(F.when(F.col("pnl") < 0, F.col("pnl"))), F.lit(0.0)), 6).alias("mean_loss"),
-        F.round(F.coalesce(F.max((F.col("_peak") - F.col("_equity")) / F.col("_peak")), F.lit(0.0)), 8).alias("max_drawdown"),
+        F.round(F.coalesce(F.max("_deep"), F.lit(0.0)), 8).alias("max_drawdown"),
         F.round(unit((2 * early - total) / F.greatest(F.abs(early), F.lit(1.0))), 6).alias("edge_decay"),
         F.round(unit(cost / F.greatest(F.abs(total), F.lit(1.0))), 6).alias("latency_sensitivity"),
         F.round(F.lit(100.0 * seen[0] / expected[0] if expected[0] else 0.0), 4).alias("reference_coverage"),

@@ -1,7 +1,8 @@
 """Features of a series within each key: differences, runs, volatility, episodes, drawdowns, recursive means.
 
-All are window expressions, so a key's rows are sorted once and stay in the JVM. `order` should give a total order of a
-key's rows; times are numbers (microseconds).
+All are window expressions, which stay in the JVM. `order` should give a total order of a key's rows; times are numbers
+(microseconds). With `bucket` (see `stretch`) a key's rows are sorted by stretches, so that a key that holds much of the
+data is spread over many tasks; without it, a key is one task's.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from math import ceil, floor, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stretch
 from .order import ordinal
+from .stretch import Bucket
 
 
 def _by(key: str | Sequence[str], order: str | Sequence[str]):
@@ -20,66 +23,71 @@ def _by(key: str | Sequence[str], order: str | Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*orders)
 
 
-def velocity(df: DataFrame, key: str, ts: str, value: str, name: str = "velocity") -> DataFrame:
+def velocity(df: DataFrame, key: str, ts: str, value: str, name: str = "velocity", bucket: Bucket = None) -> DataFrame:
     """Change of value per second since the row before; NULL for the first row or without time passed."""
-    w = _by(key, ts)
-    passed = (F.col(ts) - F.lag(ts).over(w)) / F.lit(1e6)
-    return df.withColumn(name, F.when(passed > 0, (F.col(value) - F.lag(value).over(w)) / passed))
+    out = stretch.prior(df, key, ts, F.struct(ts, value), "_before", bucket)
+    passed = (F.col(ts) - F.col("_before")[ts]) / F.lit(1e6)
+    return out.withColumn(name, F.when(passed > 0, (F.col(value) - F.col("_before")[value]) / passed)).drop("_before")
 
 
-def acceleration(df: DataFrame, key: str, ts: str, value: str, name: str = "acceleration") -> DataFrame:
+def acceleration(df: DataFrame, key: str, ts: str, value: str, name: str = "acceleration", bucket: Bucket = None) -> DataFrame:
     """Change of the velocity over the time since the row before, a nanosecond at least."""
-    w = _by(key, ts)
-    out = velocity(df, key, ts, value, "_v")
-    passed = F.greatest(F.lit(1e-9), (F.col(ts) - F.lag(ts).over(w)) / F.lit(1e6))
-    return out.withColumn(name, (F.col("_v") - F.lag("_v").over(w)) / passed).drop("_v")
+    out = stretch.prior(velocity(df, key, ts, value, "_v", bucket), key, ts, F.struct(ts, "_v"), "_before", bucket)
+    passed = F.greatest(F.lit(1e-9), (F.col(ts) - F.col("_before")[ts]) / F.lit(1e6))
+    return out.withColumn(name, F.when(F.col("_before").isNotNull(), (F.col("_v") - F.col("_before._v")) / passed)).drop("_v", "_before")
 
 
-def difference(df: DataFrame, key: str, order: str, value: str, name: str = "difference") -> DataFrame:
-    return df.withColumn(name, F.col(value) - F.lag(value).over(_by(key, order)))
+def difference(df: DataFrame, key: str, order: str, value: str, name: str = "difference", bucket: Bucket = None) -> DataFrame:
+    return stretch.prior(df, key, order, F.col(value), "_before", bucket).withColumn(name, F.col(value) - F.col("_before")).drop("_before")
 
 
-def run_length(df: DataFrame, key: str, order: str, value: str | Sequence[str], name: str = "run_length") -> DataFrame:
+def changed(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: str | Sequence[str], name: str, bucket: Bucket = None) -> DataFrame:
+    """df with whether a value differs from the row before, NULLs being equal; NULL for the key's first row."""
+    values = F.struct(*stretch.names(value))
+    out = stretch.prior(df, key, order, F.struct(values.alias("v")), "_before", bucket)
+    return out.withColumn(name, F.when(F.col("_before").isNotNull(), ~values.eqNullSafe(F.col("_before.v")))).drop("_before")
+
+
+def run_length(df: DataFrame, key: str, order: str, value: str | Sequence[str], name: str = "run_length", bucket: Bucket = None) -> DataFrame:
     """How many rows in a row, this one included, have had this value."""
-    w = _by(key, order)
-    values = F.struct(*([value] if isinstance(value, str) else value))
-    out = df.withColumn("_run", F.sum(F.when(values.eqNullSafe(F.lag(values).over(w)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    keys = [key] if isinstance(key, str) else list(key)
-    return out.withColumn(name, F.row_number().over(_by([*keys, "_run"], order))).drop("_run")
+    out = numbered(changed(df, key, order, value, "_new", bucket), key, order, "_n", bucket)
+    out = stretch.latest(out, key, order, F.when(F.coalesce("_new", F.lit(True)), F.col("_n")), "_from", bucket)
+    return out.withColumn(name, (F.col("_n") - F.col("_from") + 1).cast("int")).drop("_new", "_n", "_from")
 
 
-def time_since_change(df: DataFrame, key: str, ts: str, value: str, name: str = "since_change") -> DataFrame:
+def time_since_change(df: DataFrame, key: str, ts: str, value: str | Sequence[str], name: str = "since_change", bucket: Bucket = None) -> DataFrame:
     """Seconds since the value last changed, from the first row on."""
-    w = _by(key, ts)
-    changed = F.row_number().over(w) == 1
-    changed |= ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    out = df.withColumn("_at", F.when(changed, F.col(ts)))
-    return out.withColumn(name, (F.col(ts) - F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) / F.lit(1e6)).drop("_at")
+    out = stretch.latest(changed(df, key, ts, value, "_new", bucket), key, ts, F.when(F.coalesce("_new", F.lit(True)), F.col(ts)), "_at", bucket)
+    return out.withColumn(name, (F.col(ts) - F.col("_at")) / F.lit(1e6)).drop("_new", "_at")
 
 
-def change_frequency(df: DataFrame, key: str, ts: str, value: str, span: int, name: str = "change_frequency") -> DataFrame:
+def change_frequency(df: DataFrame, key: str, ts: str, value: str | Sequence[str], span: int, name: str = "change_frequency", bucket: int | None = None) -> DataFrame:
     """Changes between neighbours that both lie in the trailing span (microseconds), per second of it."""
-    w = _by(key, ts)
-    out = df.withColumn("_change", F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w)) & F.lag(ts).over(w).isNotNull()).cast("int"), F.lit(0)))
-    frame = w.rangeBetween(-span, 0)
+    out = changed(df, key, ts, value, "_new", bucket).withColumn("_change", F.coalesce(F.col("_new").cast("int"), F.lit(0)))
     # The first row of the frame changed against a row outside of it.
-    return out.withColumn(name, (F.sum("_change").over(frame) - F.first("_change").over(frame)) / F.lit(span / 1e6)).drop("_change")
+    out = stretch.framed(out, key, ts, span, {name: lambda w: (F.sum("_change").over(w) - F.first("_change").over(w)) / F.lit(span / 1e6)}, bucket)
+    return out.drop("_new", "_change")
 
 
-def realized_volatility(df: DataFrame, key: str, ts: str, value: str, span: int, name: str = "volatility", least: int = 3) -> DataFrame:
+def realized_volatility(df: DataFrame, key: str, ts: str, value: str, span: int, name: str = "volatility", least: int = 3, bucket: int | None = None) -> DataFrame:
     """Population deviation of the log returns between neighbours in the trailing span; NULL with fewer than `least` positive values."""
-    w = _by(key, ts)
-    frame = w.rangeBetween(-span, 0)
-    prices = df.withColumn("_price", F.when(F.col(value) > 0, F.col(value)))
-    out = prices.withColumn("_return", F.when(F.lag("_price").over(w) > 0, F.ln(F.col("_price") / F.lag("_price").over(w))))
+    prices = stretch.prior(df.withColumn("_price", F.when(F.col(value) > 0, F.col(value))), key, ts, F.col("_price"), "_last", bucket)
+    out = prices.withColumn("_return", F.when(F.col("_last") > 0, F.ln(F.col("_price") / F.col("_last"))))
+    frames = {
+        "_first": lambda w: F.first("_return").over(w),
+        "_n": lambda w: F.count("_return").over(w),
+        "_sum": lambda w: F.coalesce(F.sum("_return").over(w), F.lit(0.0)),
+        "_squares": lambda w: F.coalesce(F.sum(F.col("_return") * F.col("_return")).over(w), F.lit(0.0)),
+        "_prices": lambda w: F.count("_price").over(w),
+    }
+    out = stretch.framed(out, key, ts, span, frames, bucket)
     # Sums over the frame less those of its first row, whose return reaches outside.
-    first = F.first("_return").over(frame)
-    n = F.count("_return").over(frame) - F.when(first.isNotNull(), 1).otherwise(0)
-    total = F.coalesce(F.sum("_return").over(frame), F.lit(0.0)) - F.coalesce(first, F.lit(0.0))
-    squares = F.coalesce(F.sum(F.col("_return") * F.col("_return")).over(frame), F.lit(0.0)) - F.coalesce(first * first, F.lit(0.0))
-    variance = F.try_divide(squares, n) - F.pow(F.try_divide(total, n), 2)
-    enough = (F.count("_price").over(frame) >= least) & (n >= 2)
-    return out.withColumn(name, F.when(enough, F.sqrt(F.greatest(F.lit(0.0), variance)))).drop("_price", "_return")
+    first = F.col("_first")
+    n = F.col("_n") - F.when(first.isNotNull(), 1).otherwise(0)
+    mean = F.try_divide(F.col("_sum") - F.coalesce(first, F.lit(0.0)), n)
+    variance = F.try_divide(F.col("_squares") - F.coalesce(first * first, F.lit(0.0)), n) - F.pow(mean, 2)
+    enough = (F.col("_prices") >= least) & (n >= 2)
+    return out.withColumn(name, F.when(enough, F.sqrt(F.greatest(F.lit(0.0), variance)))).drop("_price", "_last", "_return", *frames)
 
 
 def rolling_mean(df: DataFrame, key: str, order: str, value: str, rows: int, name: str = "rolling_mean") -> DataFrame:
@@ -117,74 +125,78 @@ def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float, name: st
     return out.withColumn(name, F.when(F.col("_k") > 0, mean)).drop("_k", "_stretch", "_own", "_place", "_start")
 
 
-def resampled(df: DataFrame, key: str, ts: str, step: int) -> DataFrame:
-    """The first row of each key and step of time."""
+def resampled(df: DataFrame, key: str, ts: str, step: int, tie: str | Sequence[str] | None = None) -> DataFrame:
+    """The first row of each key and step of time; of rows of one time, that of the least `tie`, or of the least of all columns."""
+    order = F.struct(ts, *(stretch.names(tie) if tie else [c for c in df.columns if c != ts]))
     out = df.withColumn("_bucket", F.floor(F.col(ts) / F.lit(step)))
-    out = out.withColumn("_n", F.row_number().over(_by([key, "_bucket"], ts)))
-    return out.filter("_n = 1").withColumn("bucket", F.col("_bucket") * F.lit(step)).drop("_n", "_bucket")
+    out = out.groupBy(key, "_bucket").agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), order).alias("_row"))
+    return out.select(key, "_row.*", (F.col("_bucket") * F.lit(step)).alias("bucket")).select(*df.columns, "bucket")
 
 
-def without_repeats(df: DataFrame, key: str, order: str, value: str | Sequence[str]) -> DataFrame:
+def without_repeats(df: DataFrame, key: str, order: str, value: str | Sequence[str], bucket: Bucket = None) -> DataFrame:
     """The rows whose value differs from that of the row before."""
-    w = _by(key, order)
-    values = F.struct(*([value] if isinstance(value, str) else value))
-    out = df.withColumn("_same", values.eqNullSafe(F.lag(values).over(w)) & (F.row_number().over(w) > 1))
-    return out.filter(~F.col("_same")).drop("_same")
+    return changed(df, key, order, value, "_new", bucket).filter(F.coalesce("_new", F.lit(True))).drop("_new")
 
 
-def episodes(df: DataFrame, key: str, ts: str, holds: Column, gap: int) -> DataFrame:
+def episodes(df: DataFrame, key: str, ts: str, holds: Column, gap: int, bucket: Bucket = None) -> DataFrame:
     """key, episode, start, end, observations, seconds: stretches of rows where the condition holds, no more than `gap` apart."""
-    w = _by(key, ts)
-    out = df.withColumn("_holds", F.coalesce(holds, F.lit(False)))
-    goes_on = F.coalesce(F.lag("_holds").over(w) & (F.col(ts) - F.lag(ts).over(w) <= gap), F.lit(False))
+    out = stretch.prior(df.withColumn("_holds", F.coalesce(holds, F.lit(False))), key, ts, F.struct(ts, "_holds"), "_before", bucket)
+    goes_on = F.coalesce(F.col("_before._holds") & (F.col(ts) - F.col("_before")[ts] <= gap), F.lit(False))
     out = out.withColumn("_opens", (F.col("_holds") & ~goes_on).cast("int"))
-    out = out.withColumn("episode", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_holds")
+    out = stretch.total(out, key, ts, F.col("_opens"), "episode", bucket).filter("_holds")
     return out.groupBy(key, "episode").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("observations"), ((F.max(ts) - F.min(ts)) / F.lit(1e6)).alias("seconds"))
 
 
-def gaps(df: DataFrame, key: str, ts: str, name: str = "gap") -> DataFrame:
+def gaps(df: DataFrame, key: str, ts: str, name: str = "gap", bucket: Bucket = None) -> DataFrame:
     """Seconds since the key's row before."""
-    return df.withColumn(name, (F.col(ts) - F.lag(ts).over(_by(key, ts))) / F.lit(1e6))
+    return stretch.prior(df, key, ts, F.col(ts), "_before", bucket).withColumn(name, (F.col(ts) - F.col("_before")) / F.lit(1e6)).drop("_before")
 
 
-def sequence_gaps(df: DataFrame, key: str, sequence: str) -> DataFrame:
+def sequence_gaps(df: DataFrame, key: str, sequence: str, bucket: Bucket = None) -> DataFrame:
     """key, after, next, missing: places where a sequence number is skipped."""
-    out = df.select(key, F.lag(sequence).over(_by(key, sequence)).alias("after"), F.col(sequence).alias("next"))
+    out = stretch.prior(df, key, sequence, F.col(sequence), "after", bucket).select(key, "after", F.col(sequence).alias("next"))
     return out.filter("next > after + 1").withColumn("missing", F.col("next") - F.col("after") - 1)
 
 
-def numbered(df: DataFrame, key: str, order: str | Sequence[str], name: str = "number") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(_by(key, order)))
+def numbered(df: DataFrame, key: str, order: str | Sequence[str], name: str = "number", bucket: Bucket = None) -> DataFrame:
+    if not bucket:
+        return df.withColumn(name, F.row_number().over(_by(key, order)))
+    return stretch.total(df, key, order, F.lit(1), name, bucket).withColumn(name, F.col(name).cast("int"))
 
 
-def equity(df: DataFrame, key: str, order: str, pnl: str, name: str = "equity") -> DataFrame:
-    return df.withColumn(name, F.sum(pnl).over(_by(key, order).rowsBetween(Window.unboundedPreceding, 0)))
+def equity(df: DataFrame, key: str, order: str, pnl: str, name: str = "equity", bucket: Bucket = None) -> DataFrame:
+    return stretch.total(df, key, order, F.col(pnl), name, bucket)
 
 
-def drawdowns(df: DataFrame, key: str, order: str, pnl: str) -> DataFrame:
-    """key and the three conventions of the greatest drawdown of the running sum of pnl.
+def drawdowns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], pnl: str, start: float = 0.0) -> DataFrame:
+    """key and the three conventions of the greatest drawdown of the running sum of pnl, from `start` on.
 
-    absolute: from the peak, which starts at 0; fraction: of a positive peak; negative: the least of equity less its own peak.
+    absolute: from the peak, which starts at `start`; fraction: of a positive peak (the start is one only if it is
+    positive); negative: the least of equity less its own peak. Rows lie in ranges of (key, order), each folded to its
+    sum and greatest prefix, so that no task holds a whole key.
     """
-    w = _by(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    out = equity(df, key, order, pnl, "_equity").withColumn("_peak", F.max("_equity").over(w))
-    floor0 = F.greatest(F.lit(0.0), F.col("_peak"))
-    return out.groupBy(key).agg(
-        F.max(floor0 - F.col("_equity")).alias("drawdown_absolute"),
-        F.coalesce(F.max(F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("_equity")) / F.nullif(F.col("_peak"), F.lit(0.0)))), F.lit(0.0)).alias("drawdown_fraction"),
-        F.min(F.col("_equity") - F.col("_peak")).alias("drawdown_negative"),
+    keys, orders = stretch.names(key), stretch.names(order)
+    rows = stretch.ranged(df.select(*dict.fromkeys([*keys, *orders, pnl])), keys, orders)
+    out = stretch.total(rows, keys, orders, F.col(pnl), "_equity", "_part").withColumn("_equity", F.col("_equity") + F.lit(start))
+    out = stretch.greatest(out, keys, orders, F.col("_equity"), "_own_peak", "_part")
+    peak = F.greatest(F.lit(start), F.col("_own_peak"))
+    fraction = peak if start > 0 else F.col("_own_peak")
+    return out.groupBy(*keys).agg(
+        F.max(peak - F.col("_equity")).alias("drawdown_absolute"),
+        F.coalesce(F.max(F.when(fraction > 0, (fraction - F.col("_equity")) / F.nullif(fraction, F.lit(0.0)))), F.lit(0.0)).alias("drawdown_fraction"),
+        F.min(F.col("_equity") - F.col("_own_peak")).alias("drawdown_negative"),
     )
 
 
-def dispersion(df: DataFrame, group: str, ts: str, asset: str, value: str, assets: Sequence[str], age: int) -> DataFrame:
+def dispersion(df: DataFrame, group: str, ts: str, asset: str, value: str, assets: Sequence[str], age: int, bucket: Bucket = None) -> DataFrame:
     """For each row, the spread (max - min) of the assets' latest values no older than `age`, and the own value less their mean.
 
-    The order is that of all rows of a group (a session), so group by what bounds a session's size.
+    All assets' latest values are carried in one pass over the group's rows.
     """
-    w = _by(group, [ts, asset]).rowsBetween(Window.unboundedPreceding, 0)
-    latest = [F.last(F.when(F.col(asset) == a, F.struct(ts, value)), ignorenulls=True).over(w) for a in assets]
-    fresh = F.array_compact(F.array(*[F.when(F.col(ts) - x[ts] <= age, x[value]) for x in latest]))
-    out = df.withColumn("_fresh", fresh)
+    values = {f"_latest{i}": F.when(F.col(asset) == a, F.struct(ts, value)) for i, a in enumerate(assets)}
+    out = stretch.latest_of(df, group, [ts, asset], values, bucket)
+    fresh = F.array_compact(F.array(*[F.when(F.col(ts) - F.col(n)[ts] <= age, F.col(n)[value]) for n in values]))
+    out = out.withColumn("_fresh", fresh).drop(*values)
     several = F.size("_fresh") >= 2
     mean = F.aggregate("_fresh", F.lit(0.0), lambda s, x: s + x) / F.size("_fresh")
     return out.withColumn("dispersion", F.when(several, F.array_max("_fresh") - F.array_min("_fresh"))).withColumn("relative", F.when(several, F.col(value) - mean)).drop("_fresh")
@@ -201,17 +213,16 @@ def equal_count_windows(df: DataFrame, at: str, n: int, name: str = "window") ->
     return df.join(ranked, at)
 
 
-def state_changes(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
+def state_changes(df: DataFrame, key: str, order: str, state: str, bucket: Bucket = None) -> DataFrame:
     """Rows where the state differs from the one before, with that one as `previous`."""
-    w = _by(key, order)
-    out = df.withColumn("previous", F.lag(state).over(w))
+    out = stretch.prior(df, key, order, F.col(state), "previous", bucket)
     return out.filter(~F.col(state).eqNullSafe(F.col("previous")))
 
 
-def chain_violations(df: DataFrame, key: str, sequence: str, ts: str, own: str, previous: str) -> DataFrame:
+def chain_violations(df: DataFrame, key: str, sequence: str, ts: str, own: str, previous: str, bucket: Bucket = None) -> DataFrame:
     """key, links, broken: rows that don't name the row before them, skip a number or go back in time."""
-    w = _by(key, sequence)
-    before = F.lag(F.struct(sequence, ts, own)).over(w)
+    df = stretch.prior(df, key, sequence, F.struct(sequence, ts, own), "_before", bucket)
+    before = F.col("_before")
     bad = before.isNotNull() & ((before[own] != F.col(previous)) | (F.col(sequence) != before[sequence] + 1) | (F.col(ts) < before[ts]))
     return df.withColumn("_bad", F.coalesce(bad, F.lit(True)).cast("int")).groupBy(key).agg(F.count("*").alias("links"), F.sum("_bad").alias("broken"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform
 from .order import ordinal
+from .ranks import of_columns
 
 
 def with_scenarios(df: DataFrame, scenarios: Sequence[dict], most: int = 1_000) -> DataFrame:
@@ -84,10 +85,10 @@ def holm(tests: DataFrame, name: str, p: str, alpha: float = 0.05) -> DataFrame:
 
 def preprocessing(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """For each column its median, and the mean and population deviation (1 if nearly 0) after nulls became the median."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians[c] or 0.0)).alias(c) for c in columns]
+    medians = {c: m["median"] or 0.0 for c, m in of_columns(df, columns, {"median": ("linear", 0.5)}).items()}
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in columns]
     row = df.select(*filled).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    return {c: (float(medians[c] or 0.0), float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"]) if (row[f"s_{c}"] or 0.0) >= 1e-12 else 1.0) for c in columns}
+    return {c: (medians[c], float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"]) if (row[f"s_{c}"] or 0.0) >= 1e-12 else 1.0) for c in columns}
 
 
 def standardised(df: DataFrame, figures: dict[str, tuple[float, float, float]]) -> DataFrame:

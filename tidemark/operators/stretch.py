@@ -1,72 +1,120 @@
 """Windows over one key's rows in order, without sorting them all in one task.
 
-With `bucket`, rows are cut into stretches by their first order column (a number). Each stretch is sorted by itself; what
-it needs of those before it (the last row, the last known value, a running sum) comes from one small row a stretch,
-carried over the stretches of the key. Without `bucket` it is one plain window. Null keys are a key of their own.
+With `bucket`, rows are cut into stretches, each sorted by itself; what a stretch needs of those before it (the last row,
+the last known value, a sum, a maximum) comes from one small row a stretch, carried over the stretches of the key.
+bucket is a length, of the first order column (a number), or the name of a column with the stretches' numbers, as
+`ranged` writes them. Without it there is one plain window. Null keys are a key of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
+Bucket = int | str | None
+_WORK = ("_s_key", "_s_at", "_s_to", "_s_value", "_s_own", "_s_carried")
+
 
 def names(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _cut(df: DataFrame, key: str | Sequence[str], order: list[str], bucket: int) -> DataFrame:
-    return df.withColumn("_key", F.struct(*names(key))).withColumn("_at", F.struct("_key", F.floor(F.col(order[0]) / F.lit(bucket)).alias("stretch")))
+def ranged(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], name: str = "_part") -> DataFrame:
+    """df, written by ranges of (key, order), with the range's number: stretches of like size, whatever the keys' sizes."""
+    return written(df.repartitionByRange(*names(key), *names(order)).withColumn(name, F.spark_partition_id()), "ranged")
 
 
-def _carried(out: DataFrame, ends: DataFrame, over: Column) -> DataFrame:
-    """out with `_carried`: an expression over the stretches (`_end`) of the same key that come before."""
-    starts = ends.withColumn("_carried", over).select(F.col("_at").alias("_to"), "_carried")
-    return out.join(starts, F.col("_at") == F.col("_to"), "left")
+def _cut(df: DataFrame, key: str | Sequence[str], by: list[str], bucket: int | str) -> DataFrame:
+    number = F.col(bucket).cast("long") if isinstance(bucket, str) else F.floor(F.col(by[0]) / F.lit(bucket))
+    return df.withColumn("_s_key", F.struct(*[F.col(k) for k in names(key)], F.lit(0))).withColumn("_s_at", F.struct("_s_key", number.alias("stretch")))
 
 
-def _stretches():
-    return Window.partitionBy("_at._key").orderBy("_at.stretch")
+def _plain(key: str | Sequence[str], by: list[str]):
+    return Window.partitionBy(*names(key)).orderBy(*by)
 
 
-def _earlier():
-    return _stretches().rowsBetween(Window.unboundedPreceding, -1)
+def _up_to(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def prior(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: int | None = None) -> DataFrame:
-    """df with the value of the key's row before. A value that may be null should be wrapped in a struct, to tell it from no row."""
+def _folded(df: DataFrame, key, order, value: Column, bucket, own: Callable, end: Callable, over: Callable) -> DataFrame:
+    """df with `_own`, over a stretch's window, and `_carried`, over the ends of the stretches before it."""
     by = names(order)
+    out = _cut(df, key, by, bucket).withColumn("_s_value", value)
+    ends = out.groupBy("_s_at").agg(end(F.struct(*by)).alias("_s_end"))
+    stretches = Window.partitionBy("_s_at._s_key").orderBy("_s_at.stretch")
+    starts = ends.withColumn("_s_carried", over(stretches)).select(F.col("_s_at").alias("_s_to"), "_s_carried")
+    out = out.withColumn("_s_own", own(Window.partitionBy("_s_at").orderBy(*by)))
+    return out.join(starts, F.col("_s_at") == F.col("_s_to"), "left")
+
+
+def _before(stretches):
+    return stretches.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def prior(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
+    """df with the value of the key's row before. A value that may be null should be wrapped in a struct, to tell it from no row."""
     if not bucket:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*names(key)).orderBy(*by)))
-    w = Window.partitionBy("_at").orderBy(*by)
-    out = _cut(df, key, by, bucket).withColumn("_value", F.struct(value.alias("value")))
-    ends = out.groupBy("_at").agg(F.max_by("_value", F.struct(*by)).alias("_end"))
-    out = _carried(out.withColumn("_own", F.lag("_value").over(w)), ends, F.lag("_end").over(_stretches()))
-    return out.withColumn(name, F.coalesce("_own", "_carried")["value"]).drop("_key", "_at", "_to", "_value", "_own", "_carried")
+        return df.withColumn(name, F.lag(value).over(_plain(key, names(order))))
+    out = _folded(df, key, order, F.struct(value.alias("value")), bucket, lambda w: F.lag("_s_value").over(w), lambda by: F.max_by("_s_value", by), lambda s: F.lag("_s_end").over(s))
+    return out.withColumn(name, F.coalesce("_s_own", "_s_carried")["value"]).drop(*_WORK)
 
 
-def latest(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: int | None = None) -> DataFrame:
+def latest(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
     """df with the key's last value that isn't null, this row's included."""
-    by = names(order)
     if not bucket:
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*names(key)).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("_at").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    out = _cut(df, key, by, bucket).withColumn("_value", value)
-    ends = out.groupBy("_at").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*by))).alias("_end"))
-    out = _carried(out.withColumn("_own", F.last("_value", ignorenulls=True).over(w)), ends, F.last("_end", ignorenulls=True).over(_earlier()))
-    return out.withColumn(name, F.coalesce("_own", "_carried")).drop("_key", "_at", "_to", "_value", "_own", "_carried")
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(_up_to(_plain(key, names(order)))))
+    out = _folded(df, key, order, value, bucket, lambda w: F.last("_s_value", ignorenulls=True).over(_up_to(w)), lambda by: F.max_by("_s_value", F.when(F.col("_s_value").isNotNull(), by)), lambda s: F.last("_s_end", ignorenulls=True).over(_before(s)))
+    return out.withColumn(name, F.coalesce("_s_own", "_s_carried")).drop(*_WORK)
 
 
-def total(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: int | None = None) -> DataFrame:
+def latest_of(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], values: dict[str, Column], bucket: Bucket = None) -> DataFrame:
+    """df with the key's last value that isn't null under each name: one pass for all."""
+    if not bucket:
+        w = _up_to(_plain(key, names(order)))
+        return df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in values.items()})
+    one = lambda f: F.struct(*[f(F.col(f"_s_value.{n}"), n).alias(n) for n in values])
+    out = _folded(
+        df, key, order, F.struct(*[v.alias(n) for n, v in values.items()]), bucket,
+        lambda w: one(lambda v, _: F.last(v, ignorenulls=True).over(_up_to(w))),
+        lambda by: one(lambda v, _: F.max_by(v, F.when(v.isNotNull(), by))),
+        lambda s: F.struct(*[F.last(f"_s_end.{n}", ignorenulls=True).over(_before(s)).alias(n) for n in values]),
+    )
+    return out.withColumns({n: F.coalesce(f"_s_own.{n}", f"_s_carried.{n}") for n in values}).drop(*_WORK)
+
+
+def total(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
     """df with the key's running sum up to this row, itself included; nulls add nothing."""
-    by = names(order)
     if not bucket:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*names(key)).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("_at").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    out = _cut(df, key, by, bucket).withColumn("_value", value)
-    ends = out.groupBy("_at").agg(F.sum("_value").alias("_end"))
-    out = _carried(out.withColumn("_own", F.sum("_value").over(w)), ends, F.sum("_end").over(_earlier()))
-    both = F.when(F.col("_own").isNull(), F.col("_carried")).otherwise(F.col("_own") + F.coalesce("_carried", F.lit(0)))
-    return out.withColumn(name, both).drop("_key", "_at", "_to", "_value", "_own", "_carried")
+        return df.withColumn(name, F.sum(value).over(_up_to(_plain(key, names(order)))))
+    out = _folded(df, key, order, value, bucket, lambda w: F.sum("_s_value").over(_up_to(w)), lambda by: F.sum("_s_value"), lambda s: F.sum("_s_end").over(_before(s)))
+    both = F.when(F.col("_s_own").isNull(), F.col("_s_carried")).otherwise(F.col("_s_own") + F.coalesce("_s_carried", F.lit(0)))
+    return out.withColumn(name, both).drop(*_WORK)
+
+
+def greatest(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
+    """df with the key's greatest value up to this row, itself included."""
+    if not bucket:
+        return df.withColumn(name, F.max(value).over(_up_to(_plain(key, names(order)))))
+    out = _folded(df, key, order, value, bucket, lambda w: F.max("_s_value").over(_up_to(w)), lambda by: F.max("_s_value"), lambda s: F.max("_s_end").over(_before(s)))
+    return out.withColumn(name, F.greatest("_s_own", "_s_carried")).drop(*_WORK)
+
+
+def framed(df: DataFrame, key: str | Sequence[str], ts: str, span: int, values: dict[str, Callable], bucket: int | None = None) -> DataFrame:
+    """df with functions of a window over the trailing span of ts (inclusive).
+
+    With `bucket` a row is copied to the stretch after its own where it can be in a frame there; stretches are of the
+    span's length at least, so once is enough.
+    """
+    frame = lambda keys: Window.partitionBy(*keys).orderBy(ts).rangeBetween(-span, 0)
+    if not bucket:
+        return df.withColumns({n: f(frame(names(key))) for n, f in values.items()})
+    length = max(bucket, span + 1)
+    own = F.floor(F.col(ts) / F.lit(length))
+    out = df.withColumn("_s_own", own).withColumn("_s_to", F.explode(F.sequence(F.coalesce(own, F.lit(0)), F.coalesce(F.floor((F.col(ts) + span) / F.lit(length)), F.lit(0)))))
+    out = out.withColumns({n: f(frame([*names(key), "_s_to"])) for n, f in values.items()})
+    return out.filter(F.coalesce("_s_own", F.lit(0)) == F.col("_s_to")).drop("_s_own", "_s_to")

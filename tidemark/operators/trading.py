@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import first_reason, hash_uniform
 from . import series
+from .ranks import of_columns
 
 
 def microstructure(df: DataFrame, key: str, ts: str, yes: str, spread: str, age: int = 30_000_000) -> DataFrame:
@@ -66,7 +67,8 @@ def window_distribution(df: DataFrame, seconds: str, gates: Sequence[int] = (60,
     n = lambda c: F.count(F.when(c, 1))
     edges = (30, 60, 120, 180)
     bins = [n(x < edges[0]).alias("under_30"), *[n((x >= a) & (x < b)).alias(f"from_{a}_to_{b}") for a, b in zip(edges[:-1], edges[1:], strict=True)], n(x >= edges[-1]).alias("from_180")]
-    return df.agg(F.count(seconds).alias("n"), F.min(x).alias("least"), F.percentile(seconds, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("most"), *bins, *[F.avg((x >= g).cast("double")).alias(f"share_{g}") for g in gates])
+    median = of_columns(df, [seconds], {"median": ("linear", 0.5)})[seconds]["median"]
+    return df.agg(F.count(seconds).alias("n"), F.min(x).alias("least"), F.lit(median).cast("double").alias("median"), F.avg(x).alias("mean"), F.max(x).alias("most"), *bins, *[F.avg((x >= g).cast("double")).alias(f"share_{g}") for g in gates])
 
 
 def group_priors(train: DataFrame, group: str, outcome: str) -> DataFrame:
@@ -82,7 +84,8 @@ def with_priors(df: DataFrame, priors: DataFrame, group: str) -> DataFrame:
 
 def regimes(df: DataFrame, train: DataFrame, value: str, name: str = "regime") -> DataFrame:
     """df with low, medium or high by the terciles of the training rows."""
-    low, high = train.agg(F.percentile(value, F.lit(1 / 3)).alias("a"), F.percentile(value, F.lit(2 / 3)).alias("b")).first()
+    found = of_columns(train, [value], {"a": ("linear", 1 / 3), "b": ("linear", 2 / 3)})[value]
+    low, high = found["a"], found["b"]
     if low is None:
         return df.withColumn(name, F.lit(None).cast("string"))
     return df.withColumn(name, F.when(F.col(value) <= low, "low").when(F.col(value) <= high, "medium").when(F.col(value).isNotNull(), "high"))

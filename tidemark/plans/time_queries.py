@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import quantiles as Q
-from ..operators import asof, paths, series
+from ..operators import asof, paths, ranks, series
 
 HOUR = 3_600_000_000
 #: The stretch of time that a hot key's history is sorted in.
@@ -65,24 +65,24 @@ def _past(ago: int, name: str) -> str:
 
 
 def realized_vol_range(spark, sf_dir):
-    return series.realized_volatility(events(spark, sf_dir), "user_id", "t", "value", 24 * HOUR).select("event_id", *_r("volatility"))
+    return series.realized_volatility(events(spark, sf_dir), "user_id", "t", "value", 24 * HOUR, bucket=BUCKET).select("event_id", *_r("volatility"))
 
 
 def velocity_accel(spark, sf_dir):
-    e = series.velocity(events(spark, sf_dir), "user_id", "t", "value")
-    return series.acceleration(e, "user_id", "t", "value").select("event_id", *_r("velocity", "acceleration"))
+    e = series.velocity(events(spark, sf_dir), "user_id", "t", "value", bucket=BUCKET)
+    return series.acceleration(e, "user_id", "t", "value", bucket=BUCKET).select("event_id", *_r("velocity", "acceleration"))
 
 
 def run_length(spark, sf_dir):
-    return series.run_length(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type").select("event_id", "run_length")
+    return series.run_length(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", bucket=BUCKET).select("event_id", "run_length")
 
 
 def time_since_change(spark, sf_dir):
-    return series.time_since_change(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type").select("event_id", *_r("since_change"))
+    return series.time_since_change(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", bucket=BUCKET).select("event_id", *_r("since_change"))
 
 
 def change_freq(spark, sf_dir):
-    return series.change_frequency(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", 48 * HOUR).select("event_id", F.round(F.col("change_frequency") * 48 * 3600).cast("long").alias("changes"))
+    return series.change_frequency(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", 48 * HOUR, bucket=BUCKET).select("event_id", F.round(F.col("change_frequency") * 48 * 3600).cast("long").alias("changes"))
 
 
 def resample_first(spark, sf_dir):
@@ -90,20 +90,20 @@ def resample_first(spark, sf_dir):
 
 
 def consecutive_dedupe(spark, sf_dir):
-    return series.without_repeats(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type").select("event_id")
+    return series.without_repeats(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", BUCKET).select("event_id")
 
 
 def episodes(spark, sf_dir):
-    return series.episodes(events(spark, sf_dir), "user_id", "t", F.col("value") > 10, 24 * HOUR).select("user_id", "start", "end", "observations", *_r("seconds"))
+    return series.episodes(events(spark, sf_dir), "user_id", "t", F.col("value") > 10, 24 * HOUR, BUCKET).select("user_id", "start", "end", "observations", *_r("seconds"))
 
 
 def gap_stats(spark, sf_dir):
-    g = series.gaps(events(spark, sf_dir), "user_id", "t").filter("gap is not null")
+    g = series.gaps(events(spark, sf_dir), "user_id", "t", bucket=BUCKET).filter("gap is not null")
     return g.groupBy("user_id").agg(F.count("*").alias("n"), *[F.round(f("gap"), 6).alias(k) for k, f in (("least", F.min), ("mean", F.avg), ("most", F.max))], F.round(Q.nearest_rank("gap", 0.95), 6).alias("p95"))
 
 
 def sequence_numbers(spark, sf_dir):
-    return series.numbered(events(spark, sf_dir), "user_id", "t").select("event_id", "number")
+    return series.numbered(events(spark, sf_dir), "user_id", "t", bucket=BUCKET).select("event_id", "number")
 
 
 def drawdowns(spark, sf_dir):
@@ -113,7 +113,7 @@ def drawdowns(spark, sf_dir):
 
 def cross_asset_dispersion(spark, sf_dir):
     kinds = ["click", "error", "purchase", "signup", "view"]
-    e = series.dispersion(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", "value", kinds, 48 * HOUR)
+    e = series.dispersion(events(spark, sf_dir, "event_type"), "user_id", "t", "event_type", "value", kinds, 48 * HOUR, BUCKET)
     return e.select("event_id", *_r("dispersion", "relative"))
 
 
@@ -169,12 +169,15 @@ def rolling_mean(spark, sf_dir):
 
 def percentile_rules(spark, sf_dir):
     e = events(spark, sf_dir, "event_type")
-    return e.groupBy("event_type").agg(F.round(Q.linear("value", 0.95), 6).alias("linear"), F.round(Q.nearest_rank("value", 0.95), 6).alias("nearest"), F.round(Q.truncated("value", 0.95), 6).alias("truncated"))
+    q = ranks.quantiles(e, ["event_type"], "value", {"linear": ("linear", 0.95), "nearest": ("nearest_rank", 0.95), "truncated": ("truncated", 0.95)})
+    return q.select("event_type", *_r("linear", "nearest", "truncated"))
 
 
 def latency_distribution(spark, sf_dir):
-    g = series.gaps(events(spark, sf_dir), "user_id", "t", "x").filter("x is not null")
-    return g.agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("least"), F.round(F.avg("x"), 4).alias("mean"), *[F.round(Q.nearest_rank("x", p), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)], F.round(F.max("x"), 6).alias("most"))
+    g = series.gaps(events(spark, sf_dir), "user_id", "t", "x", BUCKET).filter("x is not null")
+    places = {f"p{int(100 * p)}": ("nearest_rank", p) for p in (0.5, 0.9, 0.95, 0.99)}
+    plain = g.agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("least"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.max("x"), 6).alias("most"))
+    return plain.crossJoin(F.broadcast(ranks.quantiles(g, [], "x", places).select(*_r(*places))))  # two single rows
 
 
 def json_extract_props(spark, sf_dir):

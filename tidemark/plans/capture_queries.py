@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import capture as C
+from ..operators import redraws as D
 from .market_queries import QUOTES, quotes
 from .tables import table
 from .time_queries import E, _r, events
@@ -74,6 +75,16 @@ def trial_metrics(spark, sf_dir):
     return C.trial_metrics(p, 10.0).select("trial", "n", "wins", *_r("pnl", "pnl_after", "expectancy", "win_rate", "per_hour"))
 
 
+def _drawn(spark, sf_dir):
+    pool = C.candidate_pool(_priced(spark, sf_dir)).withColumn("bucket", F.floor(F.col("bucket") / 120))
+    entries = pool.filter("t % 97 = 0").select(F.concat_ws("|", "t", "market", "side").alias("entry"), "session", "asset", "side", "bucket")
+    return D.redrawn(entries, pool, "entry", ["session", "asset", "side", "bucket"], ["market", "side"], "t", "exit_at", 4)
+
+
+def random_baseline(spark, sf_dir):
+    return D.baseline_metrics(_drawn(spark, sf_dir), "trial", ["t", "market", "side"], 10.0).select("trial", "n", "wins", *_r("pnl", "pnl_after", "expectancy", "win_rate", "per_hour", "max_drawdown"))
+
+
 def signal_labels(spark, sf_dir):
     q = _priced(spark, sf_dir)
     signals = q.filter("price < 0.205").select(F.col("quote").alias("signal"), "market", F.when(F.col("quote") % 2 == 0, "UP").otherwise("DOWN").alias("direction"), "t", "seconds_to_expiry", "price")
@@ -125,7 +136,36 @@ ph AS (SELECT quote, session, market, asset, side, t, x, min(tt) FILTER (mv >= 0
 po AS (SELECT *, h IS NOT NULL AND (l IS NULL OR h <= l) AS won, CASE WHEN h IS NOT NULL AND (l IS NULL OR h <= l) THEN hm WHEN l IS NOT NULL THEN lm ELSE zm END AS pnl FROM ph)"""
 VISIBLE = "pv AS (SELECT 'w' || (o_custkey % 30) AS wallet, CASE WHEN o_custkey % 30 % 2 = 1 THEN 'above' ELSE 'below' END AS grp, o_orderkey AS k, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey END AS t, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey + o_orderkey % 50 - 5 END AS p, o_orderkey + 60 AS f FROM orders WHERE o_custkey % 30 % 3 = 0), vv AS (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY t NULLS LAST, 'x' || k) AS sequence, CASE WHEN p >= t THEN p - t END AS delay FROM pv)"
 
+
+def _redraw_sql(rounds: int = 14) -> str:
+    """The rounds of `redrawn` one after the other; the last find nothing left to draw."""
+    stratum = "session, asset, side, bucket"
+    steps = [
+        "pool AS (SELECT session, asset, side, floor(floor(x / 60) * 60 / 120)::BIGINT AS bucket, market, t, CASE WHEN won THEN h WHEN l IS NOT NULL THEN l ELSE z END AS z, pnl, won FROM po)",
+        f"pl AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {stratum}, market, t, z) - 1 AS place FROM pool)",
+        f"bo AS (SELECT {stratum}, min(place) AS low, count(*) AS n FROM pl GROUP BY ALL)",
+        f"p0 AS MATERIALIZED (SELECT trial, t || '|' || market || '|' || side AS entry, low, n FROM pool JOIN bo USING ({stratum}), range(1, 5) g(trial) WHERE t % 97 = 0)",
+        "t0 AS MATERIALIZED (SELECT trial, entry, low, n, market, side, t, z, pnl, won FROM p0, pl WHERE false)",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"d{i} AS MATERIALIZED (SELECT trial, entry, low, n, market, side, t, z, pnl, won FROM p{i} JOIN pl ON place = low + floor(('0x' || substr(sha256('1|' || trial || '|' || entry || '|{i}'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 * n)::BIGINT)",
+            f"r{i} AS (SELECT *, false AS had FROM d{i} UNION ALL SELECT *, true FROM t{i})",
+            f"w{i} AS (SELECT *, max(CASE WHEN had THEN z END) OVER e AS until, max(CASE WHEN had THEN t END) OVER e AS since, min(CASE WHEN had THEN t END) OVER (PARTITION BY trial, market, side ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM r{i} WINDOW e AS (PARTITION BY trial, market, side ORDER BY t RANGE UNBOUNDED PRECEDING))",
+            f"c{i} AS (SELECT *, coalesce(until > t, false) OR coalesce(since = t, false) OR coalesce(following < z, false) AS clash FROM w{i} WHERE NOT had)",
+            f"o{i} AS (SELECT *, coalesce(t >= max(z) OVER f AND t > max(t) OVER f, true)::INTEGER AS opens FROM c{i} WINDOW f AS (PARTITION BY trial, market, side, clash ORDER BY t, z, entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+            f"k{i} AS (SELECT *, sum(opens) OVER (PARTITION BY trial, market, side, clash ORDER BY t, z, entry ROWS UNBOUNDED PRECEDING) AS cluster FROM o{i})",
+            f"f{i} AS MATERIALIZED (SELECT *, NOT clash AND entry = min(entry) OVER (PARTITION BY trial, market, side, clash, cluster) AS taken FROM k{i})",
+            f"t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} UNION ALL SELECT trial, entry, low, n, market, side, t, z, pnl, won FROM f{i} WHERE taken)",
+            f"p{i + 1} AS MATERIALIZED (SELECT trial, entry, low, n FROM f{i} WHERE NOT taken)",
+        ]
+    return "WITH " + POOL + ",\n" + ",\n".join(steps) + f""",
+eq AS (SELECT *, sum(pnl - 0.01) OVER (PARTITION BY trial ORDER BY t, market, side) AS e FROM t{rounds}), dd AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY trial ORDER BY t, market, side)) - e AS d FROM eq)
+SELECT trial::INTEGER AS trial, count(*) AS n, count(*) FILTER (won) AS wins, round(sum(pnl), 6) AS pnl, round(sum(pnl - 0.01), 6) AS pnl_after, round(avg(pnl - 0.01), 6) AS expectancy, round(count(*) FILTER (won) / count(*), 6) AS win_rate, round(count(*) / 10.0, 6) AS per_hour, round(max(d), 6) AS max_drawdown FROM dd GROUP BY 1"""
+
+
 CAPTURE = {
+    "random_baseline": (random_baseline, _redraw_sql()),
     "baselines": (baselines, f"WITH {E} SELECT event_id, round(value - first_value(value) OVER (PARTITION BY user_id ORDER BY t), 6) AS from_baseline FROM e"),
     "rollover_baselines": (rollover_baselines, f"WITH {E}, r AS (SELECT *, user_id % 3 AS a, t // 86400000000 AS m FROM e) SELECT event_id, round(value - first_value(value) OVER (PARTITION BY a, m ORDER BY t), 6) AS from_baseline FROM r"),
     "sessions_until": (sessions_until, f"WITH {E} SELECT t // 86400000000 AS session, count(*) AS n FROM e GROUP BY 1 HAVING max(t) <= 1705000000000000"),

@@ -79,6 +79,15 @@ def snapshot_before(points: DataFrame, markets: DataFrame, market: str, at: str,
     return rows.groupBy(market).agg(F.coalesce(early, nearest).alias("r")).select(market, f"r.{at}", f"r.{value}")
 
 
+def snapshots_before(points: DataFrame, markets: DataFrame, market: str, at: str, value: str, end: str, horizons: dict[str, int]) -> DataFrame:
+    """dataset, market, at, value: `snapshot_before` for each named horizon (seconds before the end), in one pass over the points."""
+    targets = F.explode(F.array(*[F.struct(F.lit(n).alias("dataset"), (F.col(end) - s).alias("target")) for n, s in horizons.items()]))
+    rows = points.join(markets.select(market, targets.alias("_h")), market)
+    early = F.max(F.when(F.col(at) <= F.col("_h.target"), F.struct(at, value)))
+    nearest = F.min_by(F.struct(at, value), F.struct(F.abs(F.col(at) - F.col("_h.target")), at))
+    return rows.groupBy(F.col("_h.dataset").alias("dataset"), market).agg(F.coalesce(early, nearest).alias("r")).select("dataset", market, f"r.{at}", f"r.{value}")
+
+
 def minute_close(closes: DataFrame, asked: DataFrame, key: str, minute: str, value: str, at: str, back: int = 10, name: str = "close") -> DataFrame:
     """asked with the close of its minute, or of the latest of the nine minutes before that has one.
 

@@ -8,6 +8,8 @@ from ..functions import exprs as X
 from ..operators import evaluation as V
 from ..operators import governance as G
 from ..operators import lab as L
+from ..operators import refits as FG
+from ..operators import stats as S
 from .table_queries import SCORED, _scored
 from .tables import table
 from .time_queries import _r
@@ -166,6 +168,49 @@ def snapshot_rows(spark, sf_dir):
     return L.snapshot_rows(lines, "market", "left", "k")
 
 
+def _grouped(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.lit(0.2) + F.col("l_linenumber") / 50).alias("price"))
+
+
+GROUPS = {"quantity": ["l_quantity"], "discount": ["l_discount"], "tax": ["l_tax"]}
+
+
+def feature_group_refits(spark, sf_dir):
+    rows = _grouped(spark, sf_dir)
+    out, _ = FG.refit_groups(rows.filter("l_orderkey % 4 > 0"), rows.filter("l_orderkey % 4 = 0"), GROUPS, "y", "price")
+    return out.select("name", "n", *_r("log_loss", "brier", "accuracy", "delta_log_loss", "delta_brier"))
+
+
+def _snapshot_tables(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("market"), F.floor(X.micros("ts") / 60_000_000).alias("at"), F.col("value").alias("probability"), "event_id")
+    points = e.groupBy("market", "at").agg(F.max("probability").alias("probability"))
+    markets = e.groupBy("market").agg(F.max("at").alias("end")).withColumns({"key": F.col("market") % 3, "outcome": (F.col("market") % 2).cast("int")})
+    closes = e.groupBy((F.col("market") % 3).alias("key"), F.floor(F.col("at") / 60).alias("minute")).agg(F.max("probability").alias("value"))
+    return FG.datasets(points, markets, closes, {"t600": 600, "t3000": 3_000, "t9000": 9_000})
+
+
+def snapshot_datasets(spark, sf_dir):
+    return _snapshot_tables(spark, sf_dir).select("dataset", "market", "at", "outcome", *_r("probability", "close", "return_1m", "return_5m", "return_15m", "volatility"))
+
+
+def dataset_comparison(spark, sf_dir):
+    rows = _snapshot_tables(spark, sf_dir).withColumn("p", F.least(F.lit(0.99), F.col("probability") / 400))
+    closes = ["return_1m", "return_5m", "return_15m", "volatility"]
+    out = FG.compare_datasets(rows, {"market": ["p"], "closes": closes, "both": ["p", *closes]}, "outcome", "p", ["at", "market"])
+    return out.select("dataset", "name", "train", "n", *_r("log_loss", "brier", "accuracy"), "beats_raw")
+
+
+def batch_descent(spark, sf_dir):
+    rows = _grouped(spark, sf_dir)
+    w = FG.descent_fit(rows.select((F.col("l_discount") * 10).alias("d"), (F.col("l_tax") * 10).alias("t"), "y"), ["d", "t"], "y", epochs=40)
+    return S.coefficients(spark, ["discount", "tax"], w).select("feature", *_r("weight"))
+
+
+def prefix_scaler(spark, sf_dir):
+    return FG.prefix_scaler(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], ["o_orderdate", "o_orderkey"]).select("column", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"))
+
+
 def snapshot_before(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.floor(X.micros("ts") / 1_000_000).alias("at"), "value")
     ends = e.groupBy("user_id").agg((F.max("at") - F.col("user_id") % 3 * 3_000_000).alias("end"))
@@ -231,7 +276,41 @@ def window_overlaps(spark, sf_dir):
 _BINS = "UNION ALL".join(f" SELECT {s} AS scope, model, y, q FROM ml " for s in ("'overall'", "asset"))
 _LOSS = "-(y * ln({q}) + (1 - y) * ln(1 - {q}))"
 
+def _refit_sql(steps: int = 8) -> str:
+    """Newton's steps of one-feature regressions, each a 2 x 2 system solved in place."""
+    rows = ["z AS (SELECT l_orderkey % 4 > 0 AS tr, (l_returnflag = 'R')::INTEGER AS y, 0.2 + l_linenumber / 50 AS price, f.name, f.x FROM lineitem, LATERAL (VALUES ('quantity', l_quantity), ('discount', l_discount), ('tax', l_tax)) f(name, x))",
+        "fi AS (SELECT name, avg(x) AS m, stddev_pop(x) AS s FROM z WHERE tr GROUP BY 1)", "zz AS MATERIALIZED (SELECT z.tr, z.y, z.price, name, (z.x - m) / s AS x FROM z JOIN fi USING (name))", "w0 AS (SELECT DISTINCT name, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM zz)"]
+    for i in range(steps):
+        rows.append(f"g{i} AS (SELECT name, a, b, sum(q - y) AS ga, sum((q - y) * x) + b AS gb, sum(q * (1 - q)) + 1e-9 AS haa, sum(q * (1 - q) * x) AS hab, sum(q * (1 - q) * x * x) + 1 + 1e-9 AS hbb FROM (SELECT zz.*, a, b, 1 / (1 + exp(-(a + b * x))) AS q FROM zz JOIN w{i} USING (name) WHERE tr) GROUP BY name, a, b)")
+        rows.append(f"w{i + 1} AS MATERIALIZED (SELECT name, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{i})")
+    loss = lambda p: f"avg(-(y * ln(greatest(1e-12, least(1 - 1e-12, {p}))) + (1 - y) * ln(1 - greatest(1e-12, least(1 - 1e-12, {p}))))), avg(({p} - y) * ({p} - y))"
+    rows.append(f"v AS (SELECT zz.*, 1 / (1 + exp(-(a + b * x))) AS q FROM zz JOIN w{steps} USING (name) WHERE NOT tr)")
+    rows.append(f"o(name, n, accuracy, l, b, pl, pb) AS (SELECT name, count(*), avg(((q >= 0.5) = (y = 1))::INTEGER), {loss('q')}, {loss('price')} FROM v GROUP BY name)")
+    return "WITH " + ",\n".join(rows) + " SELECT name, n, round(l, 6) AS log_loss, round(b, 6) AS brier, round(accuracy, 6) AS accuracy, round(l - pl, 6) AS delta_log_loss, round(b - pb, 6) AS delta_brier FROM o"
+
+
+def _descent_sql(epochs: int = 40) -> str:
+    rows = ["c AS MATERIALIZED (SELECT l_discount * 10 AS d, l_tax * 10 AS t, (l_returnflag = 'R')::INTEGER AS y, count(*) AS n FROM lineitem GROUP BY ALL)", "w0 AS (SELECT ln(p / (1 - p)) AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS e, s FROM (SELECT sum(n * y) / sum(n) AS p, sum(n) AS s FROM c))"]
+    for i in range(epochs):
+        rows.append(f"w{i + 1} AS MATERIALIZED (SELECT a - 0.08 * sum(n * (q - y)) / s AS a, b - 0.08 * (sum(n * (q - y) * d) + b) / s AS b, e - 0.08 * (sum(n * (q - y) * t) + e) / s AS e, s FROM (SELECT c.*, w.*, 1 / (1 + exp(-(a + b * d + e * t))) AS q FROM c, w{i} w) GROUP BY a, b, e, s)")
+    return "WITH " + ",\n".join(rows) + f" SELECT unnest(['intercept', 'discount', 'tax']) AS feature, round(unnest([a, b, e]), 6) AS weight FROM w{epochs}"
+
+
+_DATASETS = """WITH e AS (SELECT user_id AS market, epoch_us(ts) // 60000000 AS tt, value FROM events), p AS (SELECT market, tt, max(value) AS probability FROM e GROUP BY 1, 2), m AS (SELECT market, max(tt) AS z, market % 3 AS key, market % 2 AS outcome FROM e GROUP BY 1),
+c AS (SELECT market % 3 AS key, tt // 60 AS minute, max(value) AS v FROM e GROUP BY 1, 2), h AS (SELECT m.*, dataset, z - s AS target FROM m, (VALUES ('t600', 600), ('t3000', 3000), ('t9000', 9000)) g(dataset, s)),
+s AS (SELECT dataset, market, key, outcome, coalesce(max(CASE WHEN tt <= target THEN struct_pack(tt := tt, p := probability) END), arg_min(struct_pack(tt := tt, p := probability), struct_pack(a := abs(tt - target), b := tt))) AS r FROM p JOIN h USING (market) GROUP BY dataset, market, key, outcome),
+k AS (SELECT dataset, market, key, outcome, r.tt AS tt, r.p AS probability, i, (r.tt - 60 * i) // 60 AS minute FROM s, range(16) g(i)),
+l AS (SELECT k.dataset, k.market, k.outcome, k.tt, k.probability, k.i, max_by(c.v, c.minute) AS v FROM k LEFT JOIN c ON c.key = k.key AND c.minute BETWEEN k.minute - 9 AND k.minute GROUP BY ALL),
+f AS (SELECT a.*, CASE WHEN b.v > 0 AND a.v <> 0 THEN ln(a.v / b.v) END AS lr FROM l a LEFT JOIN l b ON a.dataset = b.dataset AND a.market = b.market AND b.i = a.i + 1),
+o AS (SELECT dataset, market, tt, outcome, probability, max(v) FILTER (i = 0) AS close, max(v) FILTER (i = 0) / max(v) FILTER (i = 1) - 1 AS return_1m, max(v) FILTER (i = 0) / max(v) FILTER (i = 5) - 1 AS return_5m, max(v) FILTER (i = 0) / max(v) FILTER (i = 15) - 1 AS return_15m, CASE WHEN count(lr) >= 5 THEN stddev_pop(lr) END AS volatility FROM f GROUP BY ALL)
+SELECT dataset, market, tt AS "at", outcome::INTEGER AS outcome, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("probability", "close", "return_1m", "return_5m", "return_15m", "volatility")) + " FROM o WHERE close IS NOT NULL AND return_1m IS NOT NULL AND return_5m IS NOT NULL AND return_15m IS NOT NULL AND volatility IS NOT NULL"
+
 LAB = {
+    "feature_group_refits": (feature_group_refits, _refit_sql()),
+    "snapshot_datasets": (snapshot_datasets, _DATASETS),
+    "dataset_comparison": (dataset_comparison, ""),
+    "batch_descent": (batch_descent, _descent_sql()),
+    "prefix_scaler": (prefix_scaler, "WITH o AS (SELECT o_totalprice, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), t AS (SELECT * FROM o WHERE i < floor(n * 0.7)) SELECT 'o_totalprice' AS column, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS deviation FROM t UNION ALL SELECT 'o_custkey', round(avg(o_custkey), 4), round(stddev_pop(o_custkey), 4) FROM t"),
     "model_evaluation": (model_evaluation, f"WITH {MODELS} SELECT scope, value, model, n, round(log_loss, 6) AS log_loss, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy FROM mx"),
     "model_winners": (model_winners, f"WITH {MODELS} SELECT a.scope, a.value, a.n, CASE WHEN a.log_loss < b.log_loss AND a.brier < b.brier THEN 'candidate' WHEN b.log_loss <= a.log_loss AND b.brier <= a.brier THEN 'price' ELSE 'mixed' END AS winner FROM mx a JOIN mx b ON a.scope = b.scope AND a.value = b.value AND a.model = 'candidate' AND b.model = 'price'"),
     "advancement_rule": (advancement_rule, f"""WITH {MODELS}, o AS (SELECT * FROM mx WHERE scope = 'overall'), c AS (SELECT * FROM o WHERE model = 'candidate'), p AS (SELECT * FROM o WHERE model = 'price'), r AS (SELECT * FROM o WHERE model = 'prior'), x AS (SELECT c.log_loss < p.log_loss AND c.brier < p.brier AND c.log_loss < r.log_loss AND c.brier < r.brier AS beats_all, greatest((p.log_loss - c.log_loss) / p.log_loss, (p.brier - c.brier) / p.brier) >= 0.01 AND least((p.log_loss - c.log_loss) / p.log_loss, (p.brier - c.brier) / p.brier) >= -0.005 AS rule FROM c, p, r),

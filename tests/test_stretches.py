@@ -110,6 +110,23 @@ def test_order_statistics_of_columns(spark):
     assert ranks.of_columns(df.limit(0), ["a"], {"m": ("linear", 0.5)}) == {"a": {"m": None}}
 
 
+def test_microstructure_by_stretches_and_by_hand(spark):
+    from tidemark.operators import trading
+
+    names = "id long, market string, asset string, t long, yes double, bid double, ask double, b double, a double, s string"
+    rng = random.Random(6)
+    rows = [(i, f"m{i % 3}", "xyz"[i % 3], i * 1_000_000, rng.choice((0.5, 0.5, 0.52)), 0.49, rng.choice((0.51, 0.53)), 100.0, rng.choice((0.0, 80.0)), "s") for i in range(200)]
+    run = lambda data, b: trading.microstructure(spark.createDataFrame(data, names), "market", "t", "yes", "bid", "ask", "b", "a", "s", "asset", list("xyz"), "t", bucket=b)
+    assert sorted(map(tuple, run(rows, None).collect())) == sorted(map(tuple, run(rows, 35_000_000).select(run(rows, None).columns).collect()))
+    hand = [(0, "btc", "x", 0, 0.50, 0.49, 0.51, 100.0, 80.0, "s"), (1, "eth", "y", 1, 0.55, 0.54, 0.56, 90.0, 110.0, "s"), (2, "btc", "x", 2, 0.52, 0.51, 0.53, 120.0, 80.0, "s"), (3, "btc", "x", 4, 0.52, 0.51, 0.54, 120.0, 80.0, "s"), (4, "btc", "x", 9, 0.52, 0.51, 0.54, 120.0, 80.0, "s")]
+    got = {r.id: r for r in run([(*r[:3], r[3] * 1_000_000, *r[4:]) for r in hand], None).collect()}
+    assert got[0].repricing_velocity is None and round(got[1].book_imbalance, 9) == -0.1 and round(got[2].repricing_velocity, 9) == 0.01 and round(got[2].book_imbalance, 9) == 0.2
+    assert round(got[2].cross_asset_dispersion, 9) == 0.03 and got[0].cross_asset_dispersion is None and got[4].cross_asset_dispersion is None
+    # A moved ask is a change though the price stays.
+    assert [got[i].consecutive_quote_stability for i in (0, 2, 3, 4)] == [1, 1, 1, 2] and got[4].time_since_quote_update == 5.0 and round(got[3].spread_compression, 9) == -0.01
+    assert round(got[3].repricing_acceleration, 9) == -0.005 and got[4].yes_change_frequency == 1 / 30
+
+
 def test_first_of_a_step_with_ties(spark):
     rows = [("k", 5, 2, 1.0), ("k", 5, 1, 9.0), ("k", 12, 3, 4.0)]
     df = spark.createDataFrame(rows, "k string, t long, i long, v double")

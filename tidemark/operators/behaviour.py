@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, first_reason, reasons
+from ..functions.exprs import first_reason, reasons
 from .metrics import dominant
 from .trades import timeframe
 
@@ -135,17 +138,39 @@ def clusters() -> Column:
 
 
 def similar_to(vectors: DataFrame, asked: DataFrame, wallet: str, vector: str, k: int) -> DataFrame:
-    """The k wallets most like each asked one, by cosine, ties to the lesser wallet.
+    """asked, wallet, similarity, place: the k wallets most like each asked one, by cosine to nine decimals, ties to the lesser wallet.
 
-    `asked` is a stated set of wallets, whose vectors are checked to be few enough (100,000) to be sent to all tasks.
+    `asked` is a stated set of wallets, whose vectors are checked to be few enough (100,000) to be sent to all tasks. A
+    task compares its wallets with them block by block and hands on the k best of each only.
     """
-    n = asked.count()
-    if n > 100_000:
-        raise ValueError(f"{n} wallets are asked for; 100,000 at most")
-    own = asked.select(F.col(wallet).alias("asked"), F.col(vector).alias("_q"))
-    pairs = vectors.select(wallet, vector).join(F.broadcast(own), F.col(wallet) != F.col("asked")).select("asked", wallet, cosine("_q", vector).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), wallet))
-    return pairs.withColumn("place", place).filter(F.col("place") <= k)
+    rows = asked.select(F.col(wallet).alias("w"), F.col(vector).alias("v")).limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("more than 100,000 wallets are asked for")
+    kind = dict(vectors.dtypes)[wallet]
+    sent = vectors.sparkSession.sparkContext.broadcast(([r["w"] for r in rows], np.array([r["v"] for r in rows], float)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = sent.value
+        best: list[list[tuple]] = [[] for _ in names]
+        for x in frames:
+            if not len(x) or not names:
+                continue
+            v = np.array(x["v"].tolist(), float)
+            for i, (name, one) in enumerate(zip(names, q, strict=True)):
+                # Sums run over the dimensions in order, as in SQL.
+                dot, a, b = (functools.reduce(lambda s, d, m=m, n=n: s + m[..., d] * n[..., d], range(v.shape[1]), 0.0) for m, n in ((v, one), (v, v), (one, one)))
+                norm = np.sqrt(a) * np.sqrt(b)
+                found = np.round(np.divide(dot, norm, out=np.zeros(len(v)), where=norm > 0), 9)
+                others = np.flatnonzero(x["w"].to_numpy() != name)
+                near = others[np.argsort(-found[others], kind="stable")]
+                # All ties of the k-th stay until the names decide.
+                near = near[found[near] >= found[near[min(k, len(near)) - 1]]] if len(near) else near
+                best[i] = sorted([*best[i], *((-float(found[j]), x["w"].iat[j]) for j in near)])[:k]
+        yield pd.DataFrame([(n, w, -s) for n, b in zip(names, best, strict=True) for s, w in b], columns=["asked", "w", "similarity"])
+
+    found = vectors.select(F.col(wallet).alias("w"), F.col(vector).alias("v")).mapInPandas(run, f"asked {kind}, w {kind}, similarity double")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), "w"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).withColumnRenamed("w", wallet)
 
 
 def common_patterns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

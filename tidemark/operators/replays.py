@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .outcomes import LAG, entry_guard, lag_measurement
 from .stretch import latest, prior
 
@@ -69,7 +70,7 @@ def replay(events: DataFrame, bounds: dict[str, float] = LAG, least_left: float
     A qualified snapshot with less than `least_left` seconds left is skipped as late. A snapshot of a market that no event
     before it describes is skipped as not registered. bucket: how many places of a market's events are sorted at once.
     """
-    rows = _snapshots(events)
+    rows = written(_snapshots(events), "snapshots") if bucket else _snapshots(events)
     usable = F.col("known") & F.col("reference").isNotNull()
     met = prior(rows.filter(usable), ["session", "market"], "n", F.struct("reference.source"), "before", bucket)
     changed = F.col("before").isNotNull() & ~F.col("before.source").eqNullSafe(F.col("reference.source"))

@@ -50,9 +50,11 @@ def changed(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str],
 
 def run_length(df: DataFrame, key: str, order: str, value: str | Sequence[str], name: str = "run_length", bucket: Bucket = None) -> DataFrame:
     """How many rows in a row, this one included, have had this value."""
-    out = numbered(changed(df, key, order, value, "_new", bucket), key, order, "_n", bucket)
-    out = stretch.latest(out, key, order, F.when(F.coalesce("_new", F.lit(True)), F.col("_n")), "_from", bucket)
-    return out.withColumn(name, (F.col("_n") - F.col("_from") + 1).cast("int")).drop("_new", "_n", "_from")
+    values = F.struct(*stretch.names(value))
+    out = stretch.carried(df, key, order, {"_before": ("prior", F.struct(values.alias("v"))), "_n": ("total", F.lit(1))}, bucket)
+    new = F.col("_before").isNull() | ~values.eqNullSafe(F.col("_before.v"))
+    out = stretch.latest(out, key, order, F.when(new, F.col("_n")), "_from", bucket)
+    return out.withColumn(name, (F.col("_n") - F.col("_from") + 1).cast("int")).drop("_before", "_n", "_from")
 
 
 def time_since_change(df: DataFrame, key: str, ts: str, value: str | Sequence[str], name: str = "since_change", bucket: Bucket = None) -> DataFrame:
@@ -193,8 +195,8 @@ def dispersion(df: DataFrame, group: str, ts: str, asset: str, value: str, asset
 
     All assets' latest values are carried in one pass over the group's rows.
     """
-    values = {f"_latest{i}": F.when(F.col(asset) == a, F.struct(ts, value)) for i, a in enumerate(assets)}
-    out = stretch.latest_of(df, group, [ts, asset], values, bucket)
+    values = {f"_latest{i}": ("latest", F.when(F.col(asset) == a, F.struct(ts, value))) for i, a in enumerate(assets)}
+    out = stretch.carried(df, group, [ts, asset], values, bucket)
     fresh = F.array_compact(F.array(*[F.when(F.col(ts) - F.col(n)[ts] <= age, F.col(n)[value]) for n in values]))
     out = out.withColumn("_fresh", fresh).drop(*values)
     several = F.size("_fresh") >= 2

@@ -43,12 +43,14 @@ def candidates(trades: DataFrame, outcomes: DataFrame, specialties: DataFrame) -
 def signals(rows: DataFrame) -> DataFrame:
     """The first purchase of each wallet and market among `candidates`, with its modelled window, entry and values, and fold.
 
-    Of purchases at the earliest time the one of the greatest notional counts, ties to the greater outcome. A window,
+    Of purchases at the earliest time the one of the greatest notional counts, ties to the greater outcome, then to the
+    lesser trade. A window,
     less the delay of observation, under 60 s gives no signal. Folds number the markets in the order of their first signal.
     """
     usable = rows.filter("exclusion is null")
-    order = F.struct(-F.col("t"), F.coalesce("notional", F.lit(0.0)), "outcome", "trade")
-    first = usable.groupBy("wallet", "condition").agg(F.max_by(F.struct("t", "price", "outcome", "asset_class", "market", "trade"), order).alias("r")).select("wallet", "condition", "r.*")
+    usable = usable.withColumn("_rank", F.struct(-F.col("t"), F.coalesce("notional", F.lit(0.0)), "outcome"))
+    least = usable.groupBy("wallet", "condition", "_rank").agg(F.min_by(F.struct("t", "price", "outcome", "asset_class", "market", "trade"), "trade").alias("r"))
+    first = least.groupBy("wallet", "condition").agg(F.max_by("r", "_rank").alias("r")).select("wallet", "condition", "r.*")
     raw = F.col("market.expiry") - F.col("t")
     matched = F.lower("outcome") == F.lower("market.winner")
     out = first.withColumns({"raw_window": raw, "modelled_window": raw - DELAY, "modelled_entry": F.when(F.col("price").isNotNull(), F.least(F.lit(DEAREST), F.col("price") + ENTRY_COST)), "matched": matched}).filter(F.col("modelled_window") >= LEAST_WINDOW)

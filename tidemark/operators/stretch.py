@@ -33,75 +33,63 @@ def _cut(df: DataFrame, key: str | Sequence[str], by: list[str], bucket: int | s
     return df.withColumn("_s_key", F.struct(*[F.col(k) for k in names(key)], F.lit(0))).withColumn("_s_at", F.struct("_s_key", number.alias("stretch")))
 
 
-def _plain(key: str | Sequence[str], by: list[str]):
-    return Window.partitionBy(*names(key)).orderBy(*by)
-
-
 def _up_to(window):
     return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _folded(df: DataFrame, key, order, value: Column, bucket, own: Callable, end: Callable, over: Callable) -> DataFrame:
-    """df with `_own`, over a stretch's window, and `_carried`, over the ends of the stretches before it."""
-    by = names(order)
-    out = _cut(df, key, by, bucket).withColumn("_s_value", value)
-    ends = out.groupBy("_s_at").agg(end(F.struct(*by)).alias("_s_end"))
-    stretches = Window.partitionBy("_s_at._s_key").orderBy("_s_at.stretch")
-    starts = ends.withColumn("_s_carried", over(stretches)).select(F.col("_s_at").alias("_s_to"), "_s_carried")
-    out = out.withColumn("_s_own", own(Window.partitionBy("_s_at").orderBy(*by)))
-    return out.join(starts, F.col("_s_at") == F.col("_s_to"), "left")
-
-
 def _before(stretches):
     return stretches.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def prior(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
-    """df with the value of the key's row before. A value that may be null should be wrapped in a struct, to tell it from no row."""
-    if not bucket:
-        return df.withColumn(name, F.lag(value).over(_plain(key, names(order))))
-    out = _folded(df, key, order, F.struct(value.alias("value")), bucket, lambda w: F.lag("_s_value").over(w), lambda by: F.max_by("_s_value", by), lambda s: F.lag("_s_end").over(s))
-    return out.withColumn(name, F.coalesce("_s_own", "_s_carried")["value"]).drop(*_WORK)
+#: For each kind: over a window's rows, the end of a stretch in order `by`, over the ends of the stretches before.
+_KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
+    "prior": (lambda v, w: F.lag(v).over(w), lambda v, by: F.max_by(v, by), lambda e, s: F.lag(e).over(s)),
+    "latest": (lambda v, w: F.last(v, ignorenulls=True).over(_up_to(w)), lambda v, by: F.max_by(v, F.when(v.isNotNull(), by)), lambda e, s: F.last(e, ignorenulls=True).over(_before(s))),
+    "total": (lambda v, w: F.sum(v).over(_up_to(w)), lambda v, by: F.sum(v), lambda e, s: F.sum(e).over(_before(s))),
+    "greatest": (lambda v, w: F.max(v).over(_up_to(w)), lambda v, by: F.max(v), lambda e, s: F.max(e).over(_before(s))),
+}
 
 
-def latest(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
-    """df with the key's last value that isn't null, this row's included."""
+def carried(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], values: dict[str, tuple[str, Column]], bucket: Bucket = None) -> DataFrame:
+    """df with each name's (kind, value), all in one pass over the key's rows.
+
+    prior is the value of the row before (wrap one that may be null in a struct, to tell it from no row); latest the last
+    value that isn't null, total the sum and greatest the maximum, each up to this row and with it.
+    """
+    by = names(order)
     if not bucket:
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(_up_to(_plain(key, names(order)))))
-    out = _folded(df, key, order, value, bucket, lambda w: F.last("_s_value", ignorenulls=True).over(_up_to(w)), lambda by: F.max_by("_s_value", F.when(F.col("_s_value").isNotNull(), by)), lambda s: F.last("_s_end", ignorenulls=True).over(_before(s)))
-    return out.withColumn(name, F.coalesce("_s_own", "_s_carried")).drop(*_WORK)
+        w = Window.partitionBy(*names(key)).orderBy(*by)
+        return df.withColumns({n: _KINDS[kind][0](v, w) for n, (kind, v) in values.items()})
+    # The row before may hold a null, so it is kept in a struct.
+    wrapped = F.struct(*[(F.struct(v.alias("value")) if kind == "prior" else v).alias(n) for n, (kind, v) in values.items()])
+    out = _cut(df, key, by, bucket).withColumn("_s_value", wrapped)
+    each = lambda i, column, over: F.struct(*[_KINDS[kind][i](F.col(f"{column}.{n}"), over).alias(n) for n, (kind, _) in values.items()])
+    ends = out.groupBy("_s_at").agg(each(1, "_s_value", F.struct(*by)).alias("_s_end"))
+    stretches = Window.partitionBy("_s_at._s_key").orderBy("_s_at.stretch")
+    starts = ends.withColumn("_s_carried", each(2, "_s_end", stretches)).select(F.col("_s_at").alias("_s_to"), "_s_carried")
+    out = out.withColumn("_s_own", each(0, "_s_value", Window.partitionBy("_s_at").orderBy(*by)))
+    out = out.join(starts, F.col("_s_at") == F.col("_s_to"), "left")
+    found = {}
+    for n, (kind, _) in values.items():
+        own, earlier = F.col(f"_s_own.{n}"), F.col(f"_s_carried.{n}")
+        found[n] = {"prior": F.coalesce(own, earlier)["value"] if kind == "prior" else None, "latest": F.coalesce(own, earlier), "total": F.when(own.isNull(), earlier).otherwise(own + F.coalesce(earlier, F.lit(0))) if kind == "total" else None, "greatest": F.greatest(own, earlier)}[kind]
+    return out.withColumns(found).drop(*_WORK)
 
 
-def latest_of(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], values: dict[str, Column], bucket: Bucket = None) -> DataFrame:
-    """df with the key's last value that isn't null under each name: one pass for all."""
-    if not bucket:
-        w = _up_to(_plain(key, names(order)))
-        return df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in values.items()})
-    one = lambda f: F.struct(*[f(F.col(f"_s_value.{n}"), n).alias(n) for n in values])
-    out = _folded(
-        df, key, order, F.struct(*[v.alias(n) for n, v in values.items()]), bucket,
-        lambda w: one(lambda v, _: F.last(v, ignorenulls=True).over(_up_to(w))),
-        lambda by: one(lambda v, _: F.max_by(v, F.when(v.isNotNull(), by))),
-        lambda s: F.struct(*[F.last(f"_s_end.{n}", ignorenulls=True).over(_before(s)).alias(n) for n in values]),
-    )
-    return out.withColumns({n: F.coalesce(f"_s_own.{n}", f"_s_carried.{n}") for n in values}).drop(*_WORK)
+def prior(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
+    return carried(df, key, order, {name: ("prior", value)}, bucket)
+
+
+def latest(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
+    return carried(df, key, order, {name: ("latest", value)}, bucket)
 
 
 def total(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
-    """df with the key's running sum up to this row, itself included; nulls add nothing."""
-    if not bucket:
-        return df.withColumn(name, F.sum(value).over(_up_to(_plain(key, names(order)))))
-    out = _folded(df, key, order, value, bucket, lambda w: F.sum("_s_value").over(_up_to(w)), lambda by: F.sum("_s_value"), lambda s: F.sum("_s_end").over(_before(s)))
-    both = F.when(F.col("_s_own").isNull(), F.col("_s_carried")).otherwise(F.col("_s_own") + F.coalesce("_s_carried", F.lit(0)))
-    return out.withColumn(name, both).drop(*_WORK)
+    return carried(df, key, order, {name: ("total", value)}, bucket)
 
 
 def greatest(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], value: Column, name: str, bucket: Bucket = None) -> DataFrame:
-    """df with the key's greatest value up to this row, itself included."""
-    if not bucket:
-        return df.withColumn(name, F.max(value).over(_up_to(_plain(key, names(order)))))
-    out = _folded(df, key, order, value, bucket, lambda w: F.max("_s_value").over(_up_to(w)), lambda by: F.max("_s_value"), lambda s: F.max("_s_end").over(_before(s)))
-    return out.withColumn(name, F.greatest("_s_own", "_s_carried")).drop(*_WORK)
+    return carried(df, key, order, {name: ("greatest", value)}, bucket)
 
 
 def framed(df: DataFrame, key: str | Sequence[str], ts: str, span: int, values: dict[str, Callable], bucket: int | None = None) -> DataFrame:

@@ -181,7 +181,7 @@ def passive_attempts(starts: DataFrame, states: DataFrame, policies: Sequence[di
 
 
 def passive_summary(attempts: DataFrame, hours: float, intervals: DataFrame | None = None) -> DataFrame:
-    """policy, attempts, fill shares, pnl, expectancy, wins, positive assets and sessions, largest shares and the gate.
+    """policy, attempts, fill shares, pnl, expectancy, wins, positive assets and sessions, largest shares, greatest drawdown and the gate.
 
     `intervals` has policy and low, the lower bound of the mean by clusters of markets (see `stats.bootstrap_mean`);
     without it no policy passes the gate. The gate asks for positive expectancy and interval, at most half of the
@@ -213,6 +213,8 @@ def passive_summary(attempts: DataFrame, hours: float, intervals: DataFrame | No
         each = attempts.groupBy("policy", group).agg(F.sum("pnl").alias("p"), F.avg("pnl").alias("e")).groupBy("policy").agg(F.count("*").alias(f"{group}s"), F.count(F.when(F.col("e") > 0, 1)).alias(f"positive_{group}s"), F.max("p").alias("_best"))
         out = out.join(each, "policy").withColumn(f"largest_{group}_share", F.when(F.col("pnl") > 0, F.col("_best") / F.col("pnl"))).drop("_best")
     out = out.join(intervals.select("policy", F.col("low").alias("cluster_low")), "policy", "left") if intervals is not None else out.withColumn("cluster_low", F.lit(None).cast("double"))
+    deep = series.drawdowns(attempts, "policy", ["t", "session", "market"], "pnl").select("policy", F.col("drawdown_absolute").alias("max_drawdown"))
+    out = out.join(deep, "policy")
     gate = (F.col("expectancy") > 0) & (F.col("cluster_low") > 0) & (F.col("one_sided_share") <= 0.50) & (F.col("positive_assets") == F.col("assets")) & (F.col("positive_sessions") == F.col("sessions")) & (F.col("largest_asset_share") <= 0.40) & (F.col("largest_session_share") <= 0.40)
     return out.withColumn("passes", F.coalesce(gate, F.lit(False)))
 

@@ -72,19 +72,22 @@ def pages(lines: DataFrame, column: str = "value") -> DataFrame:
     listed = lambda path: F.from_json(F.get_json_object(text, path), "array<string>")
     rows = F.filter(F.coalesce(listed("$.payload.value"), listed("$.payload"), listed("$")), lambda r: F.ltrim(r).startswith("{"))
     page = F.from_json(text, PAGE)
-    out = lines.filter(F.length(F.trim(text)) > 0).select(page.alias("page"), F.sha2(F.coalesce(F.get_json_object(text, "$.payload"), text), 256).alias("raw_page_hash"), F.posexplode_outer(rows).alias("place", "raw"))
+    out = lines.filter(F.length(F.trim(text)) > 0).select(page.alias("page"), F.sha2(F.coalesce(F.get_json_object(text, "$.payload"), text), 256).alias("raw_page_hash"), F.from_json(F.try_element_at(rows, F.lit(1)), ROW)["proxyWallet"].alias("first_wallet"), F.posexplode_outer(rows).alias("place", "raw"))
     return out.withColumn("row", F.from_json("raw", ROW))
 
 
 def normalised(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed trades from pages: the row's fields as text and decimals, notional value, market class, keys and quality.
 
-    The wallet is the page's, else its first row's, else `unknown_wallet`. Without a notional of its own a trade gets price
-    times size. Rows keep their place in the page, for `deduplicated`.
+    The wallet is the page's, else that of its first row, for all its rows, else `unknown_wallet`; a blank field counts as
+    none. Without a notional of its own a trade gets price times size. Rows keep their place in the page, for
+    `deduplicated`.
     """
     rows = pages(lines, column)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    wallet = F.lower(F.coalesce(F.nullif(text("page.wallet_id"), F.lit("")), F.nullif(text("page.user"), F.lit("")), F.nullif(text("row.proxyWallet"), F.lit("")), F.lit("unknown_wallet")))
+    first = lambda *columns, otherwise: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], F.lit(otherwise))
+    wallet = F.lower(first("page.wallet_id", "page.user", "first_wallet", otherwise="unknown_wallet"))
+    kind = first("row.type", otherwise="TRADE")
     price, size, own = (F.col(f"row.{c}").try_cast("decimal(28,12)") for c in ("price", "size", "usdcSize"))
     notional = F.coalesce(own, (price * size).cast("decimal(28,12)"))
     seconds = F.col("row.timestamp").try_cast("long")
@@ -92,10 +95,10 @@ def normalised(lines: DataFrame, column: str = "value") -> DataFrame:
     out = rows.filter("row is not null").select(
         wallet.alias("wallet_id"),
         text("page.profile_url").alias("profile_url"),
-        F.coalesce("page.url", "page.source_endpoint", F.lit("")).alias("source_endpoint"),
-        F.coalesce("page.source_endpoint_name", F.lit("activity_primary")).alias("source_endpoint_name"),
-        F.coalesce("page.fetched_at", "page.source_fetch_timestamp", "page.retrieved_at", F.lit("")).alias("source_fetch_timestamp"),
-        F.upper(F.coalesce("row.type", F.lit("TRADE"))).alias("activity_type"),
+        first("page.url", "page.source_endpoint", otherwise="").alias("source_endpoint"),
+        first("page.source_endpoint_name", otherwise="activity_primary").alias("source_endpoint_name"),
+        first("page.fetched_at", "page.source_fetch_timestamp", "page.retrieved_at", otherwise="").alias("source_fetch_timestamp"),
+        F.upper(kind).alias("activity_type"),
         text("row.timestamp").alias("activity_timestamp"),
         F.timestamp_seconds(seconds).alias("activity_time"),
         F.lower(text("row.transactionHash")).alias("transaction_hash"),
@@ -111,7 +114,7 @@ def normalised(lines: DataFrame, column: str = "value") -> DataFrame:
         notional.alias("notional"),
         F.when(own.isNotNull(), "endpoint_usdcSize").when(notional.isNotNull(), "computed_price_times_size").otherwise("unavailable").alias("notional_source"),
         market.alias("_market"),
-        entry_or_exit(F.coalesce("row.type", F.lit("TRADE")), F.col("row.side")).alias("entry_or_exit"),
+        entry_or_exit(kind, F.col("row.side")).alias("entry_or_exit"),
         F.sha2("raw", 256).alias("raw_payload_hash"),
         "raw_page_hash",
         "place",

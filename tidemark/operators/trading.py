@@ -8,25 +8,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_reason, hash_uniform
+from ..storage import written
 from . import series
 from .ranks import of_columns
+from .stretch import carried, framed
 
 
-def microstructure(df: DataFrame, key: str, ts: str, yes: str, spread: str, age: int = 30_000_000) -> DataFrame:
-    """df with all quote features of a market's observations, from windows over one shuffle by the market.
+def microstructure(df: DataFrame, key: str, ts: str, yes: str, bid: str, ask: str, bid_depth: str, ask_depth: str, session: str, asset: str, assets: Sequence[str], quote_ts: str | None = None, span: int = 30_000_000, fresh: int = 5_000_000, bucket: int | None = None) -> DataFrame:
+    """df with all quote features of a market's observations, and those across the assets of its session.
 
-    velocity and acceleration of the price, changes per second in the trailing `age`, the run of equal quotes, seconds
-    since the last change, and the change, compression and velocity of the spread.
+    velocity and acceleration of the price; changes of it per second in the trailing `span`; the run of equal quotes and
+    the seconds since one changed, where price, bid, ask and both depths count; age of the quote; imbalance of the
+    depths; change, compression (its negative) and velocity of the spread; the spread of the assets' latest prices no
+    older than `fresh`, and the own price less their mean. With `bucket`, markets and sessions are sorted by stretches.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    out = series.velocity(df, key, ts, yes, "repricing_velocity")
-    passed = F.greatest(F.lit(1e-9), (F.col(ts) - F.lag(ts).over(w)) / F.lit(1e6))
-    out = out.withColumn("repricing_acceleration", (F.col("repricing_velocity") - F.lag("repricing_velocity").over(w)) / passed)
-    out = series.change_frequency(out, key, ts, yes, age, "yes_change_frequency")
-    out = series.time_since_change(out, key, ts, yes, "time_since_quote_update")
-    out = series.run_length(out, key, ts, yes, "consecutive_quote_stability")
-    change = F.col(spread) - F.lag(spread).over(w)
-    return out.withColumn("spread_change", change).withColumn("spread_compression", F.greatest(F.lit(0.0), -change)).withColumn("spread_velocity", change / passed)
+    quote = F.struct(*[F.col(c) for c in (yes, bid, ask, bid_depth, ask_depth)])
+    keep = (lambda x: written(x, "quotes")) if bucket else (lambda x: x)
+    out = df.withColumn("_spread", F.col(ask) - F.col(bid))
+    # One pass finds what the row before was, a second what depends on that; between them the rows are written.
+    out = keep(carried(out, key, ts, {"_before": ("prior", F.struct(F.col(ts), F.col("_spread"), F.col(yes), quote.alias("_quote"))), "_n": ("total", F.lit(1))}, bucket))
+    seconds = (F.col(ts) - F.col("_before")[ts]) / F.lit(1e6)
+    change = F.col("_spread") - F.col("_before._spread")
+    new = F.col("_before").isNull() | ~quote.eqNullSafe(F.col("_before._quote"))
+    moved = F.coalesce((F.col("_before").isNotNull() & ~F.col(yes).eqNullSafe(F.col("_before")[yes])).cast("int"), F.lit(0))
+    depth = F.col(bid_depth) + F.col(ask_depth)
+    out = out.withColumn("repricing_velocity", F.when(seconds > 0, (F.col(yes) - F.col("_before")[yes]) / seconds)).withColumn("_moved", moved)
+    out = carried(out, key, ts, {"_last": ("prior", F.col("repricing_velocity")), "_since": ("latest", F.when(new, F.col(ts))), "_from": ("latest", F.when(new, F.col("_n")))}, bucket)
+    out = out.withColumns({
+        "repricing_acceleration": (F.col("repricing_velocity") - F.col("_last")) / F.greatest(F.lit(1e-9), seconds),
+        "spread_change": change,
+        "spread_compression": -change,
+        "spread_velocity": F.when(seconds > 0, change / seconds),
+        "quote_age": F.greatest(F.lit(0.0), (F.col(ts) - F.col(quote_ts)) / F.lit(1e6)) if quote_ts else F.lit(None).cast("double"),
+        "book_imbalance": F.try_divide(F.col(bid_depth) - F.col(ask_depth), F.nullif(depth.cast("double"), F.lit(0.0))),
+        "time_since_quote_update": (F.col(ts) - F.col("_since")) / F.lit(1e6),
+        "consecutive_quote_stability": (F.col("_n") - F.col("_from") + 1).cast("int"),
+    }).drop("_before", "_spread", "_n", "_last", "_since", "_from")
+    # The first row of a frame moved against a row outside of it.
+    out = keep(framed(out, key, ts, span, {"yes_change_frequency": lambda w: (F.sum("_moved").over(w) - F.first("_moved").over(w)) / F.lit(span / 1e6)}, bucket).drop("_moved"))
+    out = series.dispersion(out, session, ts, asset, yes, assets, fresh, bucket)
+    return out.withColumnsRenamed({"dispersion": "cross_asset_dispersion", "relative": "cross_asset_relative"})
 
 
 def rule_candidates(df: DataFrame, rules: dict[str, Column], market: str, margin: str) -> DataFrame:

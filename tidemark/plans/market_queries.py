@@ -77,8 +77,12 @@ def passive_attempts(spark, sf_dir):
 
 
 def passive_policies(spark, sf_dir):
-    p = Q.passive_summary(_attempts(spark, sf_dir), HOURS)
-    return p.select("policy", "attempts", "any_fill", "two_sided", "one_sided", "assets", "positive_assets", "sessions", "positive_sessions", "passes", *_r("attempts_per_hour", "filled", "capacity_per_hour", "pnl", "expectancy", "win_rate", "one_sided_share", "two_sided_probability", "pnl_per_share", "largest_asset_share", "largest_session_share"))
+    attempts = _attempts(spark, sf_dir)
+    # The interval of the mean by markets.
+    each = attempts.groupBy("policy", "market").agg(F.avg("pnl").alias("m"))
+    low = each.groupBy("policy").agg((F.avg("m") - 1.96 * F.coalesce(F.stddev_samp("m"), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("low"))
+    p = Q.passive_summary(attempts, HOURS, low)
+    return p.select("policy", "attempts", "any_fill", "two_sided", "one_sided", "assets", "positive_assets", "sessions", "positive_sessions", "passes", *_r("cluster_low", "max_drawdown", "attempts_per_hour", "filled", "capacity_per_hour", "pnl", "expectancy", "win_rate", "one_sided_share", "two_sided_probability", "pnl_per_share", "largest_asset_share", "largest_session_share"))
 
 
 def _signals(spark, sf_dir):
@@ -178,7 +182,7 @@ SPECIAL = """tr AS (SELECT '0xw' || (o_custkey % 40) AS wallet, l_partkey % 400
 sm AS (SELECT DISTINCT p_partkey % 400 AS m FROM part),
 sx AS (SELECT tr.*, sm.m IS NULL OR tr.m % 17 = 0 OR tr.m % 13 = 0 AS nomarket FROM tr LEFT JOIN sm USING (m) WHERE w % 2 = 0),
 se AS (SELECT *, CASE WHEN side <> 'BUY' THEN 'non_buy' WHEN m % 11 = 0 OR m % 3 > w % 3 THEN 'outside_frozen_specialty' WHEN nomarket THEN 'missing_or_conflicting_resolution' WHEN m % 19 = 0 THEN 'non_five_minute_market' END AS x FROM sx),
-sf AS (SELECT *, row_number() OVER (PARTITION BY wallet, m ORDER BY t, notional DESC, outcome DESC, trade DESC) AS rn FROM se WHERE x IS NULL),
+sf AS (SELECT *, row_number() OVER (PARTITION BY wallet, m ORDER BY t, notional DESC, outcome DESC, trade) AS rn FROM se WHERE x IS NULL),
 sg0 AS (SELECT wallet, 'c' || m AS condition, m, t, outcome, price, 1700000300 + m * 300 - t AS raw_window, lower(outcome) = CASE WHEN m % 2 = 0 THEN 'up' ELSE 'down' END AS matched, CASE WHEN m % 2 = 0 THEN 'up' ELSE 'down' END AS winner FROM sf WHERE rn = 1),
 sg1 AS (SELECT *, least(0.99, price + 0.05) AS modelled_entry, matched::INTEGER - least(0.99, price + 0.05) AS v FROM sg0 WHERE raw_window - 30 >= 60),
 sk AS (SELECT condition, (row_number() OVER (ORDER BY f, condition) - 1) * 3 // count(*) OVER () + 1 AS fold FROM (SELECT condition, min(t) AS f FROM sg1 GROUP BY 1)),
@@ -309,7 +313,7 @@ def wallet_behaviour(spark, sf_dir):
 
 def similar_wallets(spark, sf_dir):
     b = B.behaviour(_visible(spark, sf_dir), notes="notes").select("wallet", B.feature_vector().alias("v"))
-    return B.similar_to(b, b.filter("wallet % 10 = 0"), "wallet", "v", 1).select("asked", *_r("similarity"))
+    return B.similar_to(b, b.filter("wallet % 10 = 0"), "wallet", "v", 5).select("asked", "wallet", "place", *_r("similarity"))
 
 
 def repeated_patterns(spark, sf_dir):
@@ -389,9 +393,12 @@ MARKETS = {
     "state_episodes": (state_episodes, f'WITH {QUOTES} SELECT kind, session, market, asset, start, "end", states, seconds >= 2 AS persists_2, seconds >= 5 AS persists_5, {_round("capacity", "margin", "seconds")} FROM ep'),
     "structural_candidates": (structural_candidates, f"WITH {QUOTES}, sf AS (SELECT *, valid AND NOT stale AS f FROM st) {_CANDIDATE_SQL}"),
     "passive_attempts": (passive_attempts, f"WITH {PASSIVE} SELECT session, market, asset, t, policy, round(bs, 6) AS bid_shares, round(ks, 6) AS ask_shares, round(least(bs, ks), 6) AS matched, round(bs - least(bs, ks), 6) AS long, round(ks - least(bs, ks), 6) AS short, round(sp, 6) AS spread_pnl, round(lp, 6) AS long_pnl, round(kp, 6) AS short_pnl, round(pnl, 6) AS pnl FROM pq"),
-    "passive_policies": (passive_policies, f"""WITH {PASSIVE}, ga AS (SELECT policy, count(*) AS n, count(*) FILTER (e > 0) AS k, max(p) AS b FROM (SELECT policy, asset, sum(pnl) AS p, avg(pnl) AS e FROM pq GROUP BY 1, 2) GROUP BY 1), gs AS (SELECT policy, count(*) AS n, count(*) FILTER (e > 0) AS k, max(p) AS b FROM (SELECT policy, session, sum(pnl) AS p, avg(pnl) AS e FROM pq GROUP BY 1, 2) GROUP BY 1)
-SELECT policy, count(*) AS attempts, count(*) FILTER (bs > 0 OR ks > 0) AS any_fill, count(*) FILTER (bs > 0 AND ks > 0) AS two_sided, count(*) FILTER ((bs > 0) <> (ks > 0)) AS one_sided, any_value(ga.n) AS assets, any_value(ga.k) AS positive_assets, any_value(gs.n) AS sessions, any_value(gs.k) AS positive_sessions, false AS passes, round(count(*) / {HOURS}, 6) AS attempts_per_hour, round(sum(bs + ks), 6) AS filled, round(sum(least(bs + ks, 250.0)) / {HOURS}, 6) AS capacity_per_hour, round(sum(pnl), 6) AS pnl, round(avg(pnl), 6) AS expectancy, round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate,
- round(coalesce(count(*) FILTER ((bs > 0) <> (ks > 0)) / nullif(count(*) FILTER (bs > 0 OR ks > 0), 0), 0), 6) AS one_sided_share, round(count(*) FILTER (bs > 0 AND ks > 0) / count(*) * 0.375, 6) AS two_sided_probability, round(coalesce(sum(pnl) / nullif(sum(bs + ks), 0), 0), 6) AS pnl_per_share, round(CASE WHEN sum(pnl) > 0 THEN any_value(ga.b) / sum(pnl) END, 6) AS largest_asset_share, round(CASE WHEN sum(pnl) > 0 THEN any_value(gs.b) / sum(pnl) END, 6) AS largest_session_share FROM pq JOIN ga USING (policy) JOIN gs USING (policy) GROUP BY 1"""),
+    "passive_policies": (passive_policies, f"""WITH {PASSIVE}, ga AS (SELECT policy, count(*) AS n, count(*) FILTER (e > 0) AS k, max(p) AS b FROM (SELECT policy, asset, sum(pnl) AS p, avg(pnl) AS e FROM pq GROUP BY 1, 2) GROUP BY 1), gs AS (SELECT policy, count(*) AS n, count(*) FILTER (e > 0) AS k, max(p) AS b FROM (SELECT policy, session, sum(pnl) AS p, avg(pnl) AS e FROM pq GROUP BY 1, 2) GROUP BY 1),
+ci AS (SELECT policy, avg(m) - 1.96 * coalesce(stddev_samp(m), 0) / sqrt(count(*)) AS low FROM (SELECT policy, market, avg(pnl) AS m FROM pq GROUP BY 1, 2) GROUP BY 1),
+de AS (SELECT *, sum(pnl) OVER w AS eq FROM pq WINDOW w AS (PARTITION BY policy ORDER BY t, session, market ROWS UNBOUNDED PRECEDING)), dm AS (SELECT policy, max(greatest(0, pk) - eq) AS deep FROM (SELECT *, max(eq) OVER (PARTITION BY policy ORDER BY t, session, market ROWS UNBOUNDED PRECEDING) AS pk FROM de) GROUP BY 1),
+pz AS (SELECT policy, count(*) AS attempts, count(*) FILTER (bs > 0 OR ks > 0) AS any_fill, count(*) FILTER (bs > 0 AND ks > 0) AS two_sided, count(*) FILTER ((bs > 0) <> (ks > 0)) AS one_sided, any_value(ga.n) AS assets, any_value(ga.k) AS positive_assets, any_value(gs.n) AS sessions, any_value(gs.k) AS positive_sessions, any_value(low) AS low, any_value(deep) AS deep, sum(pnl) AS s0, avg(pnl) AS e0, round(count(*) / {HOURS}, 6) AS attempts_per_hour, round(sum(bs + ks), 6) AS filled, round(sum(least(bs + ks, 250.0)) / {HOURS}, 6) AS capacity_per_hour, round(sum(pnl), 6) AS pnl, round(avg(pnl), 6) AS expectancy, round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate,
+ round(coalesce(count(*) FILTER ((bs > 0) <> (ks > 0)) / nullif(count(*) FILTER (bs > 0 OR ks > 0), 0), 0), 6) AS one_sided_share, round(count(*) FILTER (bs > 0 AND ks > 0) / count(*) * 0.375, 6) AS two_sided_probability, round(coalesce(sum(pnl) / nullif(sum(bs + ks), 0), 0), 6) AS pnl_per_share, round(CASE WHEN sum(pnl) > 0 THEN any_value(ga.b) / sum(pnl) END, 6) AS largest_asset_share, round(CASE WHEN sum(pnl) > 0 THEN any_value(gs.b) / sum(pnl) END, 6) AS largest_session_share FROM pq JOIN ga USING (policy) JOIN gs USING (policy) JOIN ci USING (policy) JOIN dm USING (policy) GROUP BY 1)
+SELECT * EXCLUDE (low, deep, s0, e0), round(low, 6) AS cluster_low, round(deep, 6) AS max_drawdown, coalesce(e0 > 0 AND low > 0 AND one_sided_share <= 0.5 AND positive_assets = assets AND positive_sessions = sessions AND largest_asset_share <= 0.4 AND largest_session_share <= 0.4, false) AS passes FROM pz"""),
     "slower_horizons": (slower_horizons, f"WITH {SLOW} SELECT signal, h AS horizon, d AS direction, ts AS traded_side, et AS entry_at, lt AS exit_at, round(ep, 6) AS entry_price, round(lp, 6) AS exit_price, round(pnl, 6) AS pnl FROM sr"),
     "horizon_summary": (horizon_summary, f"""WITH {SLOW}, o0 AS (SELECT *, sum(pnl) OVER w AS eq FROM sr WINDOW w AS (PARTITION BY h, d ORDER BY t, signal ROWS UNBOUNDED PRECEDING)), o1 AS (SELECT *, max(eq) OVER (PARTITION BY h, d ORDER BY t, signal ROWS UNBOUNDED PRECEDING) AS pk FROM o0),
 ga AS (SELECT h, d, count(*) AS n, count(*) FILTER (e > 0) AS k, max(p) AS b FROM (SELECT h, d, asset, sum(pnl) AS p, avg(pnl) AS e FROM sr GROUP BY ALL) GROUP BY 1, 2), gs AS (SELECT h, d, count(*) AS n, count(*) FILTER (e > 0) AS k, max(p) AS b FROM (SELECT h, d, session, sum(pnl) AS p, avg(pnl) AS e FROM sr GROUP BY ALL) GROUP BY 1, 2)
@@ -424,7 +431,11 @@ SELECT condition, wallets, CASE WHEN es = 'DISAGREEMENT' THEN 'disagreement' ELS
     "trade_summary": (trade_summary, f"WITH {PAGES}, u AS (SELECT 'all' AS dimension, 'all' AS value, notional FROM pn UNION ALL SELECT 'wallet_id', wallet_id, notional FROM pn UNION ALL SELECT 'side', side, notional FROM pn UNION ALL SELECT 'asset_class', asset_class, notional FROM pn UNION ALL SELECT 'market_type', market_type, notional FROM pn UNION ALL SELECT 'entry_or_exit', kind, notional FROM pn) SELECT dimension, value, count(*) AS n, round(sum(notional), 4) AS notional FROM u GROUP BY 1, 2"),
     "limit_violations": (limit_violations, f"WITH {PAGES}, w AS (SELECT wallet_id, count(*) AS n, count(DISTINCT ts) AS p FROM pg GROUP BY 1) SELECT 'rows_exceed_limit' AS violation, wallet_id AS wallet FROM w WHERE n > 300 UNION ALL SELECT 'pages_exceed_limit', wallet_id FROM w WHERE p > 160 UNION ALL SELECT 'wallet_count_exceeds_limit', NULL FROM w HAVING count(*) > 6 UNION ALL SELECT 'total_activity_rows_exceeds_limit', NULL FROM w HAVING sum(n) > 1800"),
     "wallet_behaviour": (wallet_behaviour, f"WITH {VISIBLE} SELECT wallet, {', '.join(_BEHAVIOUR)}, clusters, {_round(*_BEHAVIOUR_RATES)} FROM bh"),
-    "similar_wallets": (similar_wallets, None),
+    "similar_wallets": (similar_wallets, f"""WITH {VISIBLE}, fc AS (SELECT wallet, count(*) FILTER (market_type = 'fast_crypto' AND exposure = 'BTC') AS btc, count(*) FILTER (market_type = 'fast_crypto' AND exposure = 'ETH') AS eth, count(*) FILTER (market_type = 'fast_crypto' AND exposure = 'SOL') AS sol, {", ".join(f"count(*) FILTER (p >= {a} AND p < {b}) AS b{i}" for i, (a, b) in enumerate(((0.0, 0.1), (0.1, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 1.0000001))))} FROM vo GROUP BY 1),
+fv AS (SELECT wallet, [coalesce(fast_share, 0), btc / positions, eth / positions, sol / positions, non_crypto / positions, coalesce(cheap_share, 0), coalesce(favourite_share, 0), coalesce(yes_no_balance, 0), coalesce(concentration, 0), {", ".join(f"b{i} / positions" for i in range(6))}] AS v FROM bh JOIN fc USING (wallet)),
+ff AS (SELECT wallet, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM fv),
+fs AS (SELECT a.wallet AS asked, b.wallet, round(list_sum(list_transform(range(1, 16), lambda i: a.v[i] * b.v[i])) / (a.n * b.n), 9) AS s FROM ff a JOIN ff b ON a.wallet % 10 = 0 AND a.wallet <> b.wallet)
+SELECT asked, wallet, row_number() OVER (PARTITION BY asked ORDER BY s DESC, wallet)::INTEGER AS place, round(s, 6) AS similarity FROM fs QUALIFY place <= 5"""),
     "repeated_patterns": (repeated_patterns, f"WITH {VISIBLE}, c AS (SELECT wallet, exposure || ':' || CASE WHEN k % 2 = 0 THEN '5m' ELSE '15m' END AS pattern, count(*) AS n FROM vo GROUP BY 1, 2) SELECT wallet, pattern, round(n / sum(n) OVER (PARTITION BY wallet), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY n DESC, pattern) = 1"),
     "outcome_joins": (outcome_joins, """WITH m AS (SELECT DISTINCT c_custkey % 90 AS m FROM customer WHERE c_custkey % 90 % 7 > 0), p AS (SELECT o_orderkey AS k, o_custkey % 90 AS c, CASE WHEN o_orderkey % 2 = 0 THEN 'up' ELSE 'down' END AS o FROM orders),
 j AS (SELECT p.*, m.m, m.m % 11 = 0 AS conflict, CASE WHEN m.m % 6 = 0 THEN 'market_not_closed' WHEN m.m % 4 = 0 AND m.m % 8 <> 0 THEN 'resolution_status:proposed' WHEN m.m % 5 = 3 THEN 'invalid_outcome_prices' WHEN m.m % 5 = 4 THEN 'outcome_price_length_mismatch' WHEN m.m % 5 = 0 THEN 'non_terminal_or_ambiguous_outcome_prices' ELSE 'terminal_outcome_prices' END AS r, CASE WHEN m.m % 5 = 1 THEN 'Up' ELSE 'Down' END AS w, CASE WHEN m.m IS NULL OR m.m % 3 = 0 THEN 'unavailable' WHEN k % 3 = 2 THEN 'token_missing' WHEN (k % 3 = 0 AND o = 'up') OR (k % 3 = 1 AND o = 'down') THEN 'matched' ELSE 'conflict' END AS ts FROM p LEFT JOIN m ON p.c = m.m),

@@ -11,13 +11,15 @@ from ..operators import tables as T
 from ..operators import trading as R
 from .table_queries import SCORED, _days, _scored
 from .tables import table
-from .time_queries import HOUR, E, _r, events
+from .time_queries import BUCKET, HOUR, E, _r, events
 
 
 def microstructure(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("yes", F.floor(F.col("value") / 10)).withColumn("spread", F.col("value") / 100)
-    m = R.microstructure(e, "user_id", "t", "yes", "spread", 24 * HOUR)
-    return m.select("event_id", "consecutive_quote_stability", *_r("repricing_velocity", "time_since_quote_update", "spread_change", "spread_compression"))
+    k = F.col("event_id")
+    e = events(spark, sf_dir).withColumns({"yes": F.floor(F.col("value") / 20), "session": F.col("user_id") % 4, "asset": F.concat(F.lit("a"), F.col("user_id") % 3), "bids": k % 2, "asks": k % 3, "quoted": F.col("t") - (k % 50 - 3) * 1_000_000})
+    e = e.withColumns({"bid": F.col("yes") - (F.col("bids") + 1) / 100, "ask": F.col("yes") + (F.col("asks") + 1) / 100})
+    m = R.microstructure(e, "user_id", "t", "yes", "bid", "ask", "bids", "asks", "session", "asset", ["a0", "a1", "a2"], "quoted", 48 * HOUR, 6 * HOUR, BUCKET)
+    return m.select("event_id", "consecutive_quote_stability", F.round(F.col("yes_change_frequency") * 48 * 3600).cast("long").alias("changes"), *_r("repricing_velocity", "time_since_quote_update", "spread_change", "spread_compression", "quote_age", "book_imbalance", "cross_asset_dispersion", "cross_asset_relative"))
 
 
 def rule_candidates(spark, sf_dir):
@@ -107,11 +109,14 @@ o1 AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'non_prospective_or_page_chur
 KIND = "CASE WHEN w >= 60 THEN 'sufficient_decision_window' WHEN w >= 30 THEN 'marginal_decision_window' ELSE 'insufficient_decision_window' END"
 
 TRADING = {
-    "microstructure": (microstructure, f"""WITH {E}, y AS (SELECT *, floor(value / 10) AS yes, value / 100 AS spread FROM e),
-l AS (SELECT *, lag(t) OVER w AS pt, lag(yes) OVER w AS py, lag(spread) OVER w AS ps, row_number() OVER w AS n FROM y WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-c AS (SELECT *, n = 1 OR yes <> py AS c FROM l), g AS (SELECT *, sum(c::INTEGER) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM c)
-SELECT event_id, row_number() OVER (PARTITION BY user_id, g ORDER BY t) AS consecutive_quote_stability, round(CASE WHEN t > pt THEN (yes - py) / ((t - pt) / 1e6) END, 6) AS repricing_velocity,
- round((t - min(t) OVER (PARTITION BY user_id, g)) / 1e6, 6) AS time_since_quote_update, round(spread - ps, 6) AS spread_change, round(greatest(0.0, ps - spread), 6) AS spread_compression FROM g"""),
+    "microstructure": (microstructure, f"""WITH {E}, y AS (SELECT *, floor(value / 20) AS yes, event_id % 2 AS bd, event_id % 3 AS ad, user_id % 4 AS session, 'a' || user_id % 3 AS asset, greatest(0.0, (event_id % 50 - 3)::DOUBLE) AS age FROM e), q AS (SELECT *, yes - (bd + 1) / 100 AS bid, yes + (ad + 1) / 100 AS ask FROM y),
+l AS (SELECT *, ask - bid AS spread, lag(t) OVER w AS pt, lag(yes) OVER w AS py, lag(ask - bid) OVER w AS ps, coalesce((yes, bid, ask, bd, ad) <> lag((yes, bid, ask, bd, ad)) OVER w, true) AS c, coalesce(yes <> lag(yes) OVER w, false) AS cy FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+g AS (SELECT *, sum(c::INTEGER) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g, sum(cy::INTEGER) OVER f - first_value(cy::INTEGER) OVER f AS changes, {", ".join(f"last_value(CASE WHEN asset = 'a{i}' THEN t END IGNORE NULLS) OVER s AS t{i}, last_value(CASE WHEN asset = 'a{i}' THEN yes END IGNORE NULLS) OVER s AS v{i}" for i in range(3))}
+  FROM l WINDOW f AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {48 * HOUR} PRECEDING AND CURRENT ROW), s AS (PARTITION BY session ORDER BY t, asset ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, list_filter([{", ".join(f"CASE WHEN t - t{i} <= {6 * HOUR} THEN v{i} END" for i in range(3))}], lambda x: x IS NOT NULL) AS f FROM g)
+SELECT event_id, row_number() OVER (PARTITION BY user_id, g ORDER BY t) AS consecutive_quote_stability, changes::BIGINT AS changes, round(CASE WHEN t > pt THEN (yes - py) / ((t - pt) / 1e6) END, 6) AS repricing_velocity,
+ round((t - min(t) OVER (PARTITION BY user_id, g)) / 1e6, 6) AS time_since_quote_update, round(spread - ps, 6) + 0.0 AS spread_change, round(ps - spread, 6) + 0.0 AS spread_compression, round(age, 6) AS quote_age, round((bd - ad) / nullif(bd + ad, 0), 6) AS book_imbalance,
+ round(CASE WHEN len(f) >= 2 THEN list_max(f) - list_min(f) END, 6) AS cross_asset_dispersion, round(CASE WHEN len(f) >= 2 THEN yes - list_sum(f) / len(f) END, 6) AS cross_asset_relative FROM d"""),
     "rule_candidates": (rule_candidates, """WITH m AS (SELECT *, l_discount - l_tax AS margin FROM lineitem), r AS (SELECT 'crossed' AS rule, l_partkey, margin FROM m WHERE margin > 0.05 UNION ALL SELECT 'wide', l_partkey, margin FROM m WHERE l_tax >= 0.08 UNION ALL SELECT 'large', l_partkey, margin FROM m WHERE l_quantity >= 45 UNION ALL SELECT 'returned', l_partkey, margin FROM m WHERE l_returnflag = 'R')
 SELECT rule, count(*) AS states, count(DISTINCT l_partkey) AS markets, round(max(margin), 6) AS best_margin, round(avg(margin), 6) AS mean_margin FROM r GROUP BY 1"""),
     "decision_windows": (decision_windows, f"WITH {SEEN} SELECT coalesce(x, {KIND}) AS kind, count(*) AS n, round(sum(w), 2) AS seconds FROM dw GROUP BY 1"),

@@ -358,3 +358,28 @@ def test_leaks_of_odd_rows(spark, odd, odd_rows, empty):
     assert decontamination.contaminated(odd, spark.createDataFrame([], B)).collect() == []
     left = decontamination.decontaminated(odd, bench)
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {None, *range(17)} - {9, 10, 11}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_interval_joins_count_functions_around_a_subsequence(least):
+    rng = np.random.default_rng(least)
+    for _ in range(60):
+        n = int(rng.integers(1, 14))
+        first = rng.integers(0, 60, n)
+        last, k = first + rng.integers(9, 40, n), rng.integers(0, 4, n)
+        want = [any(len({int(k[j]) for j in range(n) if first[j] <= s and s + 9 <= last[j]}) >= least for s in range(first[i], last[i] - 8)) for i in range(n)]
+        assert passages.agreeing(k, first, last, 10, least).tolist() == want
+
+
+def test_equal_passages_have_equal_windows_in_every_function():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 2**63, 46, dtype=np.uint64)
+    texts = [np.concatenate((rng.integers(0, 2**63, a, dtype=np.uint64), shared, rng.integers(0, 2**63, 30, dtype=np.uint64))) for a in (5, 70)]
+    for k in range(passages.HASHES):
+        held = []
+        for text, start in zip(texts, (5, 70), strict=True):
+            c, first, last = passages.compact_windows(text, np.array([0, len(text)]), k, 46)
+            own = [i for i in range(len(c)) if first[i] <= start and start + 45 <= last[i] and start <= c[i] < start + 46]
+            assert len(own) == 1  # the one window that holds the passage and its minimum
+            held.append(int(text[c[own[0]]]))
+        assert held[0] == held[1]

@@ -383,3 +383,21 @@ def test_equal_passages_have_equal_windows_in_every_function():
             assert len(own) == 1  # the one window that holds the passage and its minimum
             held.append(int(text[c[own[0]]]))
         assert held[0] == held[1]
+
+
+def test_interval_join_of_pairs():
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    ones, twos, want = [], [], []
+    for i in range(60):
+        shared = fresh(60 if i % 3 else 20)
+        other = shared.copy()
+        other[rng.choice(len(other), i % 4, replace=False)] = fresh(i % 4)
+        ones.append(np.concatenate((fresh(int(rng.integers(30))), shared, fresh(10))))
+        twos.append(np.concatenate((fresh(5), other, fresh(int(rng.integers(30))))) if i % 5 else fresh(80))
+        want.append(bool(i % 3 and i % 5))
+    got = passages.interval_joined(ones, twos, 46)
+    assert got[np.array(want)].all()
+    # Of 20 equal tokens among 46 or more some functions may agree, of none none.
+    assert not got[::5].any()
+    assert passages.interval_joined([fresh(3)], [fresh(0)], 46).tolist() == [False]

@@ -401,3 +401,9 @@ def test_interval_join_of_pairs():
     # Of 20 equal tokens among 46 or more some functions may agree, of none none.
     assert not got[::5].any()
     assert passages.interval_joined([fresh(3)], [fresh(0)], 46).tolist() == [False]
+
+
+def test_common_tokens_of_pairs():
+    rng = np.random.default_rng(2)
+    ones, twos = ([rng.integers(0, 12, rng.integers(0, 9)).astype(np.uint64) for _ in range(30)] for _ in range(2))
+    assert passages.common(ones, twos).tolist() == [int(np.isin(a, b).sum()) for a, b in zip(ones, twos, strict=True)]

@@ -6,11 +6,12 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tidemark.llm import boosting, language, pii, quality, toxicity
+from tidemark.llm import boosting, language, phrases, pii, quality, toxicity
 
 DATA = "/root/testdata/sf0.01"
 here = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -222,6 +223,42 @@ def test_added_spans_are_personal_data():
         assert found(clean) == []
 
 
+def test_added_spans_on_phrases_of_other_templates():
+    d, rng = pii.detector(), random.Random(41)
+    assert all(0.05 < t < 0.95 for t in d.thresholds)
+    planted, found, added = Counter(), Counter(), Counter()
+    for _ in range(4_000):
+        kind, before, span, after = phrases.phrase(rng, 2)
+        text = before + span + after
+        base = pii.base_spans(text)
+        if any(a < len(before) + len(span) and len(before) < b for _, a, b in base):
+            continue
+        got = [(pii.KINDS[k], a, b) for k, a, b in d.added(text, base)]
+        added.update(k for k, _, _ in got)
+        planted[kind] += 1
+        found[kind] += (kind, len(before), len(before) + len(span)) in got
+    for kind in pii.KINDS:
+        assert found[kind] >= 0.9 * planted[kind] and found[kind] >= 0.88 * added[kind], (kind, planted[kind], found[kind], added[kind])
+    for text, kind in (("a (415)555-2671 b", "phone"), ("nr 0176 1234 5678", "phone"), ("x 06 12 34 56 78 y", "phone"), ("john AT mail DOT org", "email"), ("10[.]0[.]0[.]1", "ip"), ("the fe80::1ff:fe23:4567:890a z", "ip")):
+        assert [pii.KINDS[k] for k, _, _ in d.added(text, [])] == [kind], text
+
+
+def test_long_addresses_go_whole(spark):
+    name, site = "n" * 200, " dot ".join(["sub"] * 9 + ["com"])
+    texts = [f"mail {name} at site dot com now", f"mail bob at {site} now", "mail " + "x" * 50_000 + " [at] site.com now"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text for r in pii.redact(rows).collect()} == {"mail [EMAIL] now"}
+    # Time grows with the text, whatever it repeats.
+    for part in ("a at ", "a [at] ", "a at b dot ", "1.", "a@", "0 0", "::", "a: "):
+        assert pii.candidates(part * 50_000) is not None
+
+
+def test_thresholds_are_the_least_of_a_precision():
+    p, y = np.array([0.9, 0.8, 0.8, 0.6, 0.4]), np.array([1, 1, 0, 1, 0])
+    assert pii.threshold(p, y, 0.7) == 0.6 and pii.threshold(p, y, 0.95) == 0.9 and pii.threshold(p, 0 * y, 0.5) == 2.0
+    assert pii.threshold(p[:0], y[:0], 0.5) == 2.0
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, (3000, 3))

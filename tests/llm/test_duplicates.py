@@ -407,3 +407,36 @@ def test_common_tokens_of_pairs():
     rng = np.random.default_rng(2)
     ones, twos = ([rng.integers(0, 12, rng.integers(0, 9)).astype(np.uint64) for _ in range(30)] for _ in range(2))
     assert passages.common(ones, twos).tolist() == [int(np.isin(a, b).sum()) for a, b in zip(ones, twos, strict=True)]
+
+
+def test_blocks_of_the_benchmark_are_released(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 10 : i * 10 + 30]) for i in range(30)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(99, "nothing of it " * 20)], "doc_id long, text string")
+    made, context = [], type(spark.sparkContext)
+    send = context.broadcast
+
+    class Counted:
+        live = most = 0
+
+    def counted(self, value):
+        one = send(self, value)
+        if isinstance(value, list):
+            made.append(len(value))
+            Counted.live += 1
+            Counted.most = max(Counted.most, Counted.live)
+            destroy = one.destroy
+
+            def gone(*a):
+                Counted.live -= 1
+                destroy(*a)
+
+            one.destroy = gone
+        return one
+
+    whole = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(context, "broadcast", counted)
+    parts = {tuple(r) for r in decontamination.contaminated(docs, bench, block=2).collect()}
+    assert parts == whole and {(r[0], r[1]) for r in whole} >= {(i, i) for i in range(30)} and not any(r[0] == 99 for r in whole)
+    assert len(made) >= 15 > decontamination.PASS and max(made) <= 2 and Counted.most <= decontamination.PASS and Counted.live == 0

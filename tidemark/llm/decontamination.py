@@ -6,8 +6,9 @@ SimHash are compared through four blocks of 16 bits: fingerprints within RADIUS
 one block at least, so looking up each block with that many bits changed finds all of them. What is found is verified
 by the exact weighted Jaccard similarity of the two bags, over all alignments of the item near the window.
 
-The benchmark is indexed in blocks of bounded size, a few of which are sent to the tasks for each pass over the
-documents; a worker keeps the index of a block for its next tasks. Documents are never shuffled.
+Tasks shingle the benchmark. It is searched in blocks of bounded size: a few are sent to the tasks for a pass over the
+documents, whose finds are written before these blocks are released and the next ones made, so the driver never holds
+more than PASS + 1 of them. A worker keeps the index of a block for its next tasks. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import lean, pieces, strings
+from .common import lean, pieces, staged, strings
 
 BITS, BLOCKS, RADIUS = 64, 4, 15
 SIMILARITY = 0.75
@@ -168,18 +169,23 @@ class Index:
 
 def _items(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Blocks of at most `block` items and SHINGLES shingles, of 5 words or more; equal texts are one item, of the smallest id."""
-    rows = benchmark.filter("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).toLocalIterator()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches, "text"):
+            found, at = S.shingle_hashes(*_enough(*S.word_hashes(strings(x.column(1)))))
+            lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(found.view(np.int64)))
+            rows = pa.table([x.column(0), lists.cast(pa.list_(pa.int64()))], names=["item_id", "shingles"])
+            yield from rows.filter(pa.array(np.diff(at) > 0)).combine_chunks().to_batches()
+
+    texts = benchmark.filter("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     held: list[tuple[int, np.ndarray]] = []
     size = 0
-    for r in rows:
-        words, offsets = S.word_hashes([r.text])
-        if len(words) >= S.WIDTH:
-            found = S.shingle_hashes(words, offsets)[0]
-            if held and (len(held) == block or size + len(found) > SHINGLES):
-                yield sorted(held, key=lambda x: x[0])
-                held, size = [], 0
-            held.append((r.item_id, found))
-            size += len(found)
+    for r in texts.select("item_id", "text").mapInArrow(shingled, "item_id long, shingles array<long>").toLocalIterator():
+        if held and (len(held) == block or size + len(r.shingles) > SHINGLES):
+            yield sorted(held, key=lambda x: x[0])
+            held, size = [], 0
+        held.append((r.item_id, np.array(r.shingles, np.int64).view(np.uint64)))
+        size += len(r.shingles)
     if held:
         yield sorted(held, key=lambda x: x[0])
 
@@ -210,31 +216,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     spark = docs.sparkSession
     lean(spark)
-    out = spark.createDataFrame([], FOUND)
-    blocks = [spark.sparkContext.broadcast(items) for items in _items(benchmark, block)]
-    for first in range(0, len(blocks), PASS):
-
-        def run(batches: Iterator[pa.RecordBatch], sent: list = blocks[first : first + PASS]) -> Iterator[pa.RecordBatch]:
-            indexes = [_index(s, radius) for s in sent]
-            for x in pieces(batches, "text", 1 << 20):
-                found, at = S.shingle_hashes(*_enough(*S.word_hashes(strings(x.column(1)))))
-                ids = x.column(0).to_pylist()
-                for own in indexes:
-                    hits = own.matches(found, at, similarity)
-                    yield pa.record_batch(
-                        [
-                            pa.array([ids[t] for t, *_ in hits], pa.int64()),
-                            pa.array([own.ids[i] for _, i, *_ in hits], pa.int64()),
-                            pa.array([s for _, _, s, _ in hits], pa.int64()),
-                            pa.array([len(own.shingles[i]) + S.WIDTH - 1 for _, i, *_ in hits], pa.int64()),
-                            pa.array([v for *_, v in hits], pa.float64()),
-                        ],
-                        names=["doc_id", "item_id", "start_word", "n_words", "similarity"],
-                    )
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
-        out = out.union(part) if first else part
-    return out
+    blocks = _items(benchmark, block)
+    out, ahead = None, next(blocks, None)
+    while ahead is not None:
+        sent = [spark.sparkContext.broadcast(items) for items in (ahead, *islice(blocks, PASS - 1))]
+        ahead = next(blocks, None)
+        part = _searched(docs, sent, similarity, radius)
+        if out is None and ahead is None:
+            return part
+        # What is found is written, so that no later task needs these blocks.
+        part = staged(part, "leaks")
+        for one in sent:
+            one.destroy()
+        out = part if out is None else out.union(part)
+    return spark.createDataFrame([], FOUND) if out is None else out
+
+
+def _searched(docs: DataFrame, sent: list, similarity: float, radius: int) -> DataFrame:
+    """One pass over the documents for the blocks of items that are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [_index(s, radius) for s in sent]
+        for x in pieces(batches, "text", 1 << 20):
+            found, at = S.shingle_hashes(*_enough(*S.word_hashes(strings(x.column(1)))))
+            ids = x.column(0).to_pylist()
+            for own in indexes:
+                hits = own.matches(found, at, similarity)
+                yield pa.record_batch(
+                    [
+                        pa.array([ids[t] for t, *_ in hits], pa.int64()),
+                        pa.array([own.ids[i] for _, i, *_ in hits], pa.int64()),
+                        pa.array([s for _, _, s, _ in hits], pa.int64()),
+                        pa.array([len(own.shingles[i]) + S.WIDTH - 1 for _, i, *_ in hits], pa.int64()),
+                        pa.array([v for *_, v in hits], pa.float64()),
+                    ],
+                    names=["doc_id", "item_id", "start_word", "n_words", "similarity"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
 def _enough(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stretch import carried
+
 
 def _latest(left: DataFrame, right: DataFrame, key: str, ts: str, right_ts: str, payload: str, backward: bool, bucket: int | None, tie: str | None) -> DataFrame:
     """left with `payload`, the struct of the latest right row at or before ts (or the first at or after it)."""
@@ -62,6 +64,24 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_ts: st
     return out.withColumn("_row", F.when(within(F.col("_row")), F.col("_row"))).select(*columns, *[F.col("_row")[f].alias(prefix + f) for f in fields])
 
 
+def last_arrived(left: DataFrame, right: DataFrame, key: str, ts: str, arrival: str, right_ts: str | None = None, tolerance: int | None = None, prefix: str = "right_", bucket: int | None = None) -> DataFrame:
+    """left with the columns of the right row that arrived last among all those at or before ts, named with `prefix`.
+
+    A series that isn't sorted by time is read like that: a late row of an earlier time hides those before it in the series.
+    tolerance: the row found so may be no older than that; no other one takes its place. Of equal arrivals the greatest time
+    wins, then the greatest columns. Right rows without key, time or arrival are left out; left rows without key or time find
+    nothing. bucket: the stretch of time that is sorted at once, for hot keys; the greatest arrival is carried over stretches.
+    """
+    right_ts = right_ts or ts
+    fields = [c for c in right.columns if c != key]
+    side = right.dropna(subset=[key, right_ts, arrival]).select(key, F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(arrival).alias("arrival"), F.col(right_ts).alias("at"), F.struct(*fields).alias("row")).alias("_row"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_left"))
+    mine = left.select(key, F.col(ts).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(side.schema["_row"].dataType).alias("_row"), F.struct("*").alias("_left"))
+    out = carried(side.unionByName(mine), key, ["_at", "_side"], {"_found": ("greatest", F.col("_row"))}, bucket).filter("_side = 1")
+    fresh = F.lit(True) if tolerance is None else F.col("_at") - F.col("_found.at") <= F.lit(tolerance)
+    out = out.select("_left", F.when(fresh, F.col("_found.row")).alias("_row"))
+    return out.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_row")[f].alias(prefix + f) for f in fields])
+
+
 def value_at(series: DataFrame, key: str, ts: str, value: str, ago: int, tolerance: int | None = None, name: str = "past", bucket: int | None = None) -> DataFrame:
     """series with the value that was current `ago` before each row."""
     past = series.select(key, F.col(ts).alias("_then"), F.col(value).alias("_value"))

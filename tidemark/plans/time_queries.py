@@ -48,6 +48,28 @@ j AS (SELECT p.event_id, v.t AS right_t, v.value AS right_value, row_number() OV
 SELECT p.event_id, j.right_t, round(j.right_value, 6) AS right_value FROM p LEFT JOIN j ON p.event_id = j.event_id AND j.n = 1"""
 
 
+#: Views reach the series up to two days after their time, so it isn't sorted by time.
+_ARRIVAL = f"t + (event_id * 7919) % 48 * {HOUR}"
+
+
+def _arrived(tolerance: int | None):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = events(spark, sf_dir, "event_type")
+        left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "t")
+        right = e.filter("event_type = 'view'").select("user_id", "t", "value", F.expr(_ARRIVAL).alias("arrival"))
+        return asof.last_arrived(left, right, "user_id", "t", "arrival", tolerance=tolerance, bucket=BUCKET).select("event_id", "right_t", "right_arrival", *_r("right_value"))
+
+    return query
+
+
+def _arrived_sql(tolerance: int | None) -> str:
+    fresh = f" AND j.t - j.right_t <= {tolerance}" if tolerance else ""
+    return f"""WITH {E}, p AS (SELECT * FROM e WHERE event_type = 'purchase'), v AS (SELECT *, {_ARRIVAL} AS arrival FROM e WHERE event_type = 'view'),
+j AS (SELECT p.event_id, p.t, v.t AS right_t, v.arrival AS right_arrival, v.value AS right_value, row_number() OVER (PARTITION BY p.event_id ORDER BY v.arrival DESC, v.t DESC, v.value DESC) AS n
+      FROM p JOIN v ON p.user_id = v.user_id AND v.t <= p.t)
+SELECT p.event_id, j.right_t, j.right_arrival, round(j.right_value, 6) AS right_value FROM p LEFT JOIN j ON p.event_id = j.event_id AND j.n = 1{fresh}"""
+
+
 def k_return(spark, sf_dir):
     return asof.k_return(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR, 48 * HOUR, bucket=BUCKET).select("event_id", *_r("k_return"))
 
@@ -221,6 +243,8 @@ BATCH = {
     "asof_tolerance": (_asof("backward", 12 * HOUR), _asof_sql("backward", 12 * HOUR)),
     "asof_forward": (_asof("forward", 24 * HOUR), _asof_sql("forward", 24 * HOUR)),
     "asof_nearest": (_asof("nearest", 20 * HOUR), _asof_sql("nearest", 20 * HOUR)),
+    "asof_arrival": (_arrived(None), _arrived_sql(None)),
+    "asof_arrival_fresh": (_arrived(12 * HOUR), _arrived_sql(12 * HOUR)),
     "k_return": (k_return, f"WITH {E}, {_past(6 * HOUR, 'p')} SELECT e.event_id, round(CASE WHEN past > 0 AND (e.t - {6 * HOUR}) - past_t <= {48 * HOUR} THEN value / past - 1 END, 6) AS k_return FROM e LEFT JOIN p USING (event_id)"),
     "level_change": (level_change, f"WITH {E}, {_past(6 * HOUR, 'p')} SELECT e.event_id, round(value - past, 6) AS level_change FROM e LEFT JOIN p USING (event_id)"),
     "momentum": (momentum, f"WITH {E}, {_past(6 * HOUR, 'p')}, {_past(24 * HOUR, 'q')} SELECT e.event_id, round(CASE WHEN p.past > 0 THEN value / p.past - 1 END - CASE WHEN q.past > 0 THEN value / q.past - 1 END, 6) AS momentum FROM e LEFT JOIN p USING (event_id) LEFT JOIN q USING (event_id)"),

@@ -122,8 +122,13 @@ def candidate_pool(quotes: DataFrame, batch: str = "session") -> DataFrame:
 
 
 def trial_metrics(drawn: DataFrame, hours: float, trial: str = "trial") -> DataFrame:
-    """trial, n, wins, win_rate, pnl before and after slippage, expectancy, signals an hour."""
-    return drawn.groupBy(trial).agg(F.count("*").alias("n"), F.count(F.when(F.col("won"), 1)).alias("wins"), F.sum("pnl").alias("pnl"), F.sum("pnl_after").alias("pnl_after"), F.avg("pnl_after").alias("expectancy")).withColumns({"win_rate": F.try_divide("wins", "n"), "per_hour": F.col("n") / hours})
+    """trial, n, wins, win_rate, pnl before and after slippage, expectancy, signals an hour.
+
+    Results are summed as decimals of 12 places, so that sums don't depend on the order of rows and none is minus zero.
+    """
+    total = lambda c: F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
+    out = drawn.groupBy(trial).agg(F.count("*").alias("n"), F.count(F.when(F.col("won"), 1)).alias("wins"), total("pnl").alias("pnl"), total("pnl_after").alias("pnl_after"), F.count("pnl_after").alias("_n"))
+    return out.withColumns({"expectancy": F.try_divide("pnl_after", "_n"), "win_rate": F.try_divide("wins", "n"), "per_hour": F.col("n") / hours}).drop("_n")
 
 
 def wallet_manifest(seeds: DataFrame, candidates: DataFrame, most: int, wallet: str = "wallet") -> DataFrame:

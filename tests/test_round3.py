@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tidemark.operators import capture
+from tidemark.operators import capture, lab
 
 
 def test_trial_metrics_sum_exactly(spark):
@@ -14,3 +14,12 @@ def test_trial_metrics_sum_exactly(spark):
         r = capture.trial_metrics(df, 10.0).first()
         assert (r.n, r.wins, r.pnl, r.pnl_after, r.expectancy) == (30, 20, 0.0, -0.3, -0.01)
         assert math.copysign(1, r.pnl) == 1
+
+
+def test_snapshots_of_one_second_are_the_same_in_any_order(spark):
+    ends = spark.createDataFrame([("m", 100)], "market string, end long")
+    for at, before, want in ((90, 60, 1.0), (30, 60, 2.0)):  # the nearest after the target; the last before it
+        for values in ((1.0, 2.0), (2.0, 1.0)):
+            points = spark.createDataFrame([("m", at, v) for v in values], "market string, at long, value double").coalesce(1)
+            assert [tuple(r) for r in lab.snapshot_before(points, ends, "market", "at", "value", "end", before).collect()] == [("m", at, want)]
+            assert [r.value for r in lab.snapshots_before(points, ends, "market", "at", "value", "end", {"a": before}).collect()] == [want]

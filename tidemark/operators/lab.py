@@ -72,10 +72,13 @@ def snapshot_rows(rows: DataFrame, market: str, left: str, tie: str, targets: Se
 
 
 def snapshot_before(points: DataFrame, markets: DataFrame, market: str, at: str, value: str, end: str, before: int) -> DataFrame:
-    """market, at, value: the last point at or before `before` seconds of the market's end, else the one nearest to that time."""
+    """market, at, value: the last point at or before `before` seconds of the market's end, else the one nearest to that time.
+
+    Of points of one time the last is the one of the greatest value, the nearest that of the least.
+    """
     rows = points.join(markets.select(market, (F.col(end) - before).alias("_target")), market)
     early = F.max(F.when(F.col(at) <= F.col("_target"), F.struct(at, value)))
-    nearest = F.min_by(F.struct(at, value), F.struct(F.abs(F.col(at) - F.col("_target")), at))
+    nearest = F.min_by(F.struct(at, value), F.struct(F.abs(F.col(at) - F.col("_target")), at, value))
     return rows.groupBy(market).agg(F.coalesce(early, nearest).alias("r")).select(market, f"r.{at}", f"r.{value}")
 
 
@@ -84,7 +87,7 @@ def snapshots_before(points: DataFrame, markets: DataFrame, market: str, at: str
     targets = F.explode(F.array(*[F.struct(F.lit(n).alias("dataset"), (F.col(end) - s).alias("target")) for n, s in horizons.items()]))
     rows = points.join(markets.select(market, targets.alias("_h")), market)
     early = F.max(F.when(F.col(at) <= F.col("_h.target"), F.struct(at, value)))
-    nearest = F.min_by(F.struct(at, value), F.struct(F.abs(F.col(at) - F.col("_h.target")), at))
+    nearest = F.min_by(F.struct(at, value), F.struct(F.abs(F.col(at) - F.col("_h.target")), at, value))
     return rows.groupBy(F.col("_h.dataset").alias("dataset"), market).agg(F.coalesce(early, nearest).alias("r")).select("dataset", market, f"r.{at}", f"r.{value}")
 
 

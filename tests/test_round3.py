@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tidemark.operators import capture, lab
+from tidemark.operators import capture, lab, specialist
 
 
 def test_trial_metrics_sum_exactly(spark):
@@ -23,3 +23,12 @@ def test_snapshots_of_one_second_are_the_same_in_any_order(spark):
             points = spark.createDataFrame([("m", at, v) for v in values], "market string, at long, value double").coalesce(1)
             assert [tuple(r) for r in lab.snapshot_before(points, ends, "market", "at", "value", "end", before).collect()] == [("m", at, want)]
             assert [r.value for r in lab.snapshots_before(points, ends, "market", "at", "value", "end", {"a": before}).collect()] == [want]
+
+
+def test_signals_read_the_trades_once(spark, tmp_path):
+    rows = [("W", "C1", "BUY", "Up", "BTC", True, 100, 0.5, 10.0, 1), ("W", "C1", "BUY", "Up", "BTC", True, 90, 0.4, 1.0, 2), ("W", "C1", "SELL", "Up", "BTC", True, 80, 0.5, 1.0, 3), ("W", "C1", "BUY", "Up", "ETH", True, 70, 0.5, 1.0, 4), ("W", "C1", "BUY", "Up", "BTC", False, 60, 0.5, 1.0, 5)]
+    spark.createDataFrame(rows, "wallet string, condition string, side string, outcome string, asset_class string, up_down boolean, t long, price double, notional double, trade int").write.parquet(f"{tmp_path}/trades")
+    known = spark.createDataFrame([("c1", "up", 300, "btc-updown-5m-0", "BTC")], "condition string, winner string, expiry long, slug string, asset_class string")
+    got = specialist.signals(specialist.candidates(spark.read.parquet(f"{tmp_path}/trades"), known, spark.createDataFrame([("w", "BTC")], "wallet string, asset_class string")))
+    assert got.inputFiles() and not any(str(tmp_path) in f for f in got.inputFiles())
+    assert [(r.t, r.trade, r.fold) for r in got.collect()] == [(90, 2, 1)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 
-from tidemark.operators import capture, lab, specialist
+from tidemark.operators import capture, lab, specialist, trades
 
 
 def test_trial_metrics_sum_exactly(spark):
@@ -32,3 +33,16 @@ def test_signals_read_the_trades_once(spark, tmp_path):
     got = specialist.signals(specialist.candidates(spark.read.parquet(f"{tmp_path}/trades"), known, spark.createDataFrame([("w", "BTC")], "wallet string, asset_class string")))
     assert got.inputFiles() and not any(str(tmp_path) in f for f in got.inputFiles())
     assert [(r.t, r.trade, r.fold) for r in got.collect()] == [(90, 2, 1)]
+
+
+def test_a_page_is_read_once_whatever_its_rows(spark):
+    rows = [{"type": "TRADE", "proxyWallet": "0xA"}, {"type": "REDEEM"}, "no object"]
+    lines = spark.createDataFrame([(json.dumps({"wallet_id": w, "payload": r}),) for w, r in (("W1", rows), ("W2", []), ("W3", {"value": rows}))] + [(" ",)], "value string")
+    df = trades.pages(lines)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.split("Generate")[1] and "sha2" not in plan.split("Generate")[0]  # below the Generate, by page
+    got = sorted((r.page.wallet_id, r.place, r.row and r.row.type, r.first_wallet) for r in df.collect() if r.raw)
+    assert got == [("W1", 0, "TRADE", "0xA"), ("W1", 1, "REDEEM", "0xA"), ("W3", 0, "TRADE", "0xA"), ("W3", 1, "REDEEM", "0xA")]
+    assert [(r.page.wallet_id, r.row) for r in df.collect() if not r.raw] == [("W2", None)]
+    found = {(r.violation, r.wallet) for r in trades.limit_violations(lines, limits={"wallets": 2, "rows_each": 1, "pages_each": 1, "rows": 3}).collect()}
+    assert found == {("rows_exceed_limit", "w1"), ("rows_exceed_limit", "w3"), ("wallet_count_exceeds_limit", None), ("total_activity_rows_exceeds_limit", None)}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dedupe_key, plain_decimal, reasons
+from ..storage import written
 from .order import ordinal
 from .tables import keep_first
 
@@ -22,6 +23,8 @@ WEATHER = "rain|weather|temperature|snow|hurricane"
 #: Fields that a trade must have, and those of its provenance (fixed values).
 REQUIRED = ("wallet_id", "activity_timestamp", "transaction_hash", "condition_id", "token_id", "side", "price", "size", "source_fetch_timestamp", "raw_payload_hash")
 PROVENANCE = ("source_endpoint", "source_fetch_timestamp", "raw_payload_hash")
+#: What `ingestion_gates` and the order of duplicates read of a trade.
+GATED = tuple(dict.fromkeys((*REQUIRED, *PROVENANCE, "activity_time", "market_type", "market_title", "market_slug", "dedupe_key", "place")))
 # Bounds of an ingestion (fixed values).
 LIMITS = {"wallets": 6, "rows_each": 300, "pages_each": 3, "rows": 1800}
 
@@ -72,7 +75,10 @@ def pages(lines: DataFrame, column: str = "value") -> DataFrame:
     listed = lambda path: F.from_json(F.get_json_object(text, path), "array<string>")
     rows = F.filter(F.coalesce(listed("$.payload.value"), listed("$.payload"), listed("$")), lambda r: F.ltrim(r).startswith("{"))
     page = F.from_json(text, PAGE)
-    out = lines.filter(F.length(F.trim(text)) > 0).select(page.alias("page"), F.sha2(F.coalesce(F.get_json_object(text, "$.payload"), text), 256).alias("raw_page_hash"), F.from_json(F.try_element_at(rows, F.lit(1)), ROW)["proxyWallet"].alias("first_wallet"), F.posexplode_outer(rows).alias("place", "raw"))
+    # What is a page's is read before its rows are dealt out: after that it would be read again for each row.
+    out = lines.filter(F.length(F.trim(text)) > 0).select(page.alias("page"), F.sha2(F.coalesce(F.get_json_object(text, "$.payload"), text), 256).alias("raw_page_hash"), rows.alias("_rows"))
+    out = out.withColumn("first_wallet", F.from_json(F.try_element_at("_rows", F.lit(1)), ROW)["proxyWallet"])
+    out = out.select("page", "raw_page_hash", "first_wallet", F.posexplode_outer("_rows").alias("place", "raw"))
     return out.withColumn("row", F.from_json("raw", ROW))
 
 
@@ -92,7 +98,7 @@ def normalised(lines: DataFrame, column: str = "value") -> DataFrame:
     notional = F.coalesce(own, (price * size).cast("decimal(28,12)"))
     seconds = F.col("row.timestamp").try_cast("long")
     market = market_class(F.col("row.title"), F.col("row.slug"))
-    out = rows.filter("row is not null").select(
+    out = rows.filter("raw is not null").select(
         wallet.alias("wallet_id"),
         text("page.profile_url").alias("profile_url"),
         first("page.url", "page.source_endpoint", otherwise="").alias("source_endpoint"),
@@ -139,7 +145,8 @@ def deduplicated(trades: DataFrame, order: Sequence[str] = ("source_fetch_timest
 def limit_violations(lines: DataFrame, column: str = "value", limits: dict[str, int] = LIMITS) -> DataFrame:
     """violation, wallet (NULL for those of all): the bounds of an ingestion that its pages break."""
     rows = pages(lines, column).withColumn("wallet", F.lower(F.coalesce("page.wallet_id", "page.user", "row.proxyWallet", F.lit("unknown_wallet"))))
-    each = rows.groupBy("wallet").agg(F.count("row").alias("n"), F.countDistinct("raw_page_hash").alias("pages"))
+    each = rows.groupBy("wallet").agg(F.count("raw").alias("n"), F.countDistinct("raw_page_hash").alias("pages"))
+    each = written(each, "wallets")  # read twice
     own = each.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in ((F.col("n") > limits["rows_each"], "rows_exceed_limit"), (F.col("pages") > limits["pages_each"], "pages_exceed_limit"))]))).alias("violation"), "wallet")
     total = each.agg(F.count("*").alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     whole = total.select(F.explode(reasons((F.col("w") > limits["wallets"], "wallet_count_exceeds_limit"), (F.col("n") > limits["rows"], "total_activity_rows_exceeds_limit"))).alias("violation"), F.lit(None).cast("string").alias("wallet"))

@@ -46,3 +46,11 @@ def test_a_page_is_read_once_whatever_its_rows(spark):
     assert [(r.page.wallet_id, r.row) for r in df.collect() if not r.raw] == [("W2", None)]
     found = {(r.violation, r.wallet) for r in trades.limit_violations(lines, limits={"wallets": 2, "rows_each": 1, "pages_each": 1, "rows": 3}).collect()}
     assert found == {("rows_exceed_limit", "w1"), ("rows_exceed_limit", "w3"), ("wallet_count_exceeds_limit", None), ("total_activity_rows_exceeds_limit", None)}
+
+
+def test_a_quote_meets_its_path_once_for_both_sides(spark):
+    quotes = spark.createDataFrame([(0, "m", "BTC", t * 1_000_000, p, 100.0) for t, p in ((0, 0.50), (1, 0.52), (2, 0.54), (2, 0.40))], "session int, market string, asset string, t long, price double, seconds_to_expiry double")
+    df = capture.candidate_pool(quotes)
+    assert df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].count("YES") == 0  # sides come after the join
+    got = {(r.side, r.t): (r.exit_at, round(r.pnl, 6), r.won) for r in df.collect() if r.t == 0}
+    assert got == {("YES", 0): (2_000_000, 0.04, True), ("NO", 0): (2_000_000, 0.1, True)}

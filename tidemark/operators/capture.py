@@ -106,15 +106,19 @@ def label_rows(signals: DataFrame, quotes: DataFrame, target: float = TARGET, st
 def candidate_pool(quotes: DataFrame, batch: str = "session") -> DataFrame:
     """batch, asset, side, bucket, t, exit_at, pnl, pnl_after, won: every quote as an entry on either side, to its first hit.
 
-    quotes has the batch, market, asset, t, price (of yes) and seconds_to_expiry; buckets are of 60 s to expiry.
+    quotes has the batch, market, asset, t, price (of yes) and seconds_to_expiry; buckets are of 60 s to expiry. A quote
+    meets its path once for both sides.
     """
-    sides = F.explode(F.array(F.lit("YES"), F.lit("NO")))
-    rows = quotes.filter(F.col("seconds_to_expiry") >= LEAST_LEFT).select(batch, "market", "asset", "t", "price", "seconds_to_expiry", sides.alias("side"))
+    keys = (batch, "market", "asset", "t", "seconds_to_expiry")
+    rows = quotes.filter(F.col("seconds_to_expiry") >= LEAST_LEFT).select(*keys, "price")
     rows = rows.withColumn("_last", F.col("t") + F.least(F.lit(LONGEST), F.floor(F.col("seconds_to_expiry")) - 1) * 1_000_000)
     met = future(rows, quotes.select("market", F.col("t").alias("at"), F.col("price").alias("q")), "market", "t", LONGEST * 1_000_000, "at", "p_").filter(F.col("p_at") <= F.col("_last"))
-    move = F.when(F.col("side") == "YES", F.col("p_q") - F.col("price")).otherwise(F.col("price") - F.col("p_q"))
-    step = F.struct(F.col("p_at").alias("at"), move.alias("move"))
-    out = met.groupBy(batch, "market", "asset", "side", "t", "seconds_to_expiry").agg(F.min(F.when(move >= TARGET - 1e-12, step)).alias("hit"), F.min(F.when(move <= -STOP + 1e-12, step)).alias("lost"), F.max(step).alias("last"))
+    found = []
+    for side, move in (("YES", F.col("p_q") - F.col("price")), ("NO", F.col("price") - F.col("p_q"))):
+        step = F.struct(F.col("p_at").alias("at"), move.alias("move"))
+        hit, lost = F.min(F.when(move >= TARGET - 1e-12, step)), F.min(F.when(move <= -STOP + 1e-12, step))
+        found.append(F.struct(F.lit(side).alias("side"), hit.alias("hit"), lost.alias("lost"), F.max(step).alias("last")))
+    out = met.groupBy(*keys).agg(F.array(*found).alias("_sides")).select(*keys, F.explode("_sides").alias("_side")).select(*keys, "_side.*")
     won = F.col("hit").isNotNull() & (F.col("lost").isNull() | (F.col("hit.at") <= F.col("lost.at")))
     leave = F.when(won, F.col("hit")).when(F.col("lost").isNotNull(), F.col("lost")).otherwise(F.col("last"))
     bucket = (F.floor(F.col("seconds_to_expiry") / BUCKET) * BUCKET).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from tidemark.operators import capture, lab, specialist, trades
+from tidemark.operators import capture, lab, scores, specialist, trades
 
 
 def test_trial_metrics_sum_exactly(spark):
@@ -54,3 +54,10 @@ def test_a_quote_meets_its_path_once_for_both_sides(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].count("YES") == 0  # sides come after the join
     got = {(r.side, r.t): (r.exit_at, round(r.pnl, 6), r.won) for r in df.collect() if r.t == 0}
     assert got == {("YES", 0): (2_000_000, 0.04, True), ("NO", 0): (2_000_000, 0.1, True)}
+
+
+def test_a_score_at_a_bands_edge_is_in_the_band(spark):
+    row = {"wallet": "w", "positions": 12, "partial_exit": 0, "fast": 8, "oversold_bounded_history": 2, "near_flat": 0, "fast_share": 8 / 12, "open_share": 7 / 12, "sell_only_share": 2 / 12, "sells_each": 1.0, "events_each": 0.9, "asset_concentration": 0.5, "outcome_concentration": 0.6, "dominant_asset": "btc"}
+    s = scores.wallet_scores(spark.createDataFrame([tuple(row.values())], list(row))).first()
+    assert (s.fast_crypto, s.bounded_history) == (20 * (8 / 12) + 2, 20 * (2 / 12) + 5)
+    assert (s.score, s.score_band) == (25.0, "low_priority")  # 24.999999999999996 if the penalties are summed first

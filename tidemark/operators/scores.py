@@ -68,10 +68,14 @@ def score_band(score: Column) -> Column:
     return first_reason(*[(score >= least, name) for least, name in BANDS], otherwise=LOWEST_BAND)
 
 
+def _total() -> Column:
+    # One part after the other: a sum of penalties taken off at once can end just under a band's least score.
+    return reduce(lambda out, c: out - F.col(c), PENALTIES, reduce(lambda out, c: out + F.col(c), COMPONENTS[1:], F.col(COMPONENTS[0])))
+
+
 def wallet_scores(metrics: DataFrame) -> DataFrame:
     """metrics with the components, the penalties, score, score_band and missing (how many required metrics are NULL)."""
-    total = sum((F.col(c) for c in COMPONENTS[1:]), F.col(COMPONENTS[0])) - sum((F.col(c) for c in PENALTIES[1:]), F.col(PENALTIES[0]))
-    out = metrics.withColumns(components()).withColumn("score", clip(total, 0.0, 100.0))
+    out = metrics.withColumns(components()).withColumn("score", clip(_total(), 0.0, 100.0))
     missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in REQUIRED])
     return out.withColumn("score_band", score_band(F.col("score"))).withColumn("missing", missing)
 
@@ -84,12 +88,11 @@ def ranked_scores(scores: DataFrame, wallet: str = "wallet") -> DataFrame:
 def score_violations(scores: DataFrame, wallet: str = "wallet") -> DataFrame:
     """check, violations: scores or parts out of bounds, scores that aren't the sum, wrong bands, repeated or missing wallets."""
     bounds = dict(zip((*COMPONENTS, *PENALTIES), (25, 25, 15, 15, 10, 20, 15, 20, 10, 5), strict=True))
-    total = sum((F.col(c) for c in COMPONENTS[1:]), F.col(COMPONENTS[0])) - sum((F.col(c) for c in PENALTIES[1:]), F.col(PENALTIES[0]))
     bad = lambda c: F.count(F.when(~F.coalesce(c, F.lit(False)), 1)).cast("long")
     checks = {
         "score_bounds": bad(F.col("score").between(0, 100)),
         "part_bounds": bad(reduce(lambda a, b: a & b, [F.col(c).between(0, high) for c, high in bounds.items()])),
-        "formula": bad(F.abs(F.col("score") - clip(total, 0.0, 100.0)) < 1e-9),
+        "formula": bad(F.abs(F.col("score") - clip(_total(), 0.0, 100.0)) < 1e-9),
         "band": bad(F.col("score_band") == score_band(F.col("score"))),
         "wallet_present": bad(F.col(wallet).isNotNull()),
         "wallet_unique": (F.count(wallet) - F.countDistinct(wallet)).cast("long"),

@@ -4,8 +4,19 @@ from __future__ import annotations
 
 import json
 import math
+import os
 
-from tidemark.operators import capture, lab, scores, specialist, trades
+import pandas as pd
+import pytest
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import capture, lab, replays, scores, series, specialist, stats, stretch, trades
+from tidemark.operators.outcomes import LAG
+from tidemark.plans import queries
+from tidemark.streaming import replay
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_trial_metrics_sum_exactly(spark):
@@ -61,3 +72,11 @@ def test_a_score_at_a_bands_edge_is_in_the_band(spark):
     s = scores.wallet_scores(spark.createDataFrame([tuple(row.values())], list(row))).first()
     assert (s.fast_crypto, s.bounded_history) == (20 * (8 / 12) + 2, 20 * (2 / 12) + 5)
     assert (s.score, s.score_band) == (25.0, "low_priority")  # 24.999999999999996 if the penalties are summed first
+
+
+def test_draws_are_dealt_out_and_not_sorted(spark):
+    rows = spark.createDataFrame([(k % 2, k, float(k % 2)) for k in range(100)] + [(2, 100, None)], "f int, k long, v double").coalesce(1)
+    null = stats.matched_null(rows, "f", "k", "v", 4)
+    plan = null._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
+    assert [(r.trial, r["mean"]) for r in null.orderBy("trial").collect()] == [(t, 0.5) for t in range(4)]

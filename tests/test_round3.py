@@ -80,3 +80,60 @@ def test_draws_are_dealt_out_and_not_sorted(spark):
     plan = null._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
     assert [(r.trial, r["mean"]) for r in null.orderBy("trial").collect()] == [(t, 0.5) for t in range(4)]
+
+
+class Map(dict):
+    """A map state that counts how often it is asked."""
+
+    calls = 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class Handle:
+    def __init__(self):
+        self.maps = {}
+
+    def getValueState(self, name, schema):
+        return Value()
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, Map())
+
+
+def test_a_batch_reads_and_writes_a_market_once(spark):
+    first = {"n": 1, "t": 0, "kind": replays.REFERENCE, "market": None, "question": None, "source": "live", "price": 100.0, "yes": None, "bid": None, "ask": None, "liquidity": None, "seconds_left": None, "reason": None}
+    rows = [first, first | {"n": 2, "kind": replays.LIFECYCLE, "market": "m", "question": "q", "source": None, "price": None}]
+    rows += [first | {"n": 3 + i, "kind": replays.SNAPSHOT, "market": "m", "source": None, "price": None, "yes": 0.5, "bid": 0.49, "ask": 0.51, "liquidity": 900.0, "seconds_left": 200.0} for i in range(100)]
+    handle, machine = Handle(), replay.Replayer(LAG, 60.0, 10)
+    machine.init(handle)
+    found = pd.concat(list(machine.handleInputRows(("s", "a"), iter([pd.DataFrame(rows)]), None)))
+    assert (len(found), set(found.reason)) == (100, {"external_move_below_threshold"})
+    assert handle.maps["markets"][("m",)] == ("q", 0, 100.0, "live", 0.5, False) and handle.maps["references"][(0,)] == (100.0, "live")
+    assert handle.maps["markets"].calls <= 3 and handle.maps["references"].calls <= 3

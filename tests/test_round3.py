@@ -137,3 +137,13 @@ def test_a_batch_reads_and_writes_a_market_once(spark):
     assert (len(found), set(found.reason)) == (100, {"external_move_below_threshold"})
     assert handle.maps["markets"][("m",)] == ("q", 0, 100.0, "live", 0.5, False) and handle.maps["references"][(0,)] == (100.0, "live")
     assert handle.maps["markets"].calls <= 3 and handle.maps["references"].calls <= 3
+
+
+def test_sums_and_their_peaks_in_one_sort(spark):
+    rows = [(k, i, i // 3, v) for k, values in (("a", [None, 1.0, -3.0, 5.0, None, -1.0, 2.0]), (None, [-2.0, 1.0, 4.0, -1.0])) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, i int, part int, v double")
+    both = stretch.greatest(stretch.total(df, "k", "i", F.col("v"), "e", "part").withColumn("e", F.col("e") + 1.0), "k", "i", F.col("e"), "p", "part")
+    got = stretch.peaked(df, "k", "i", F.col("v"), "e", "p", "part", 1.0)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, both.select("k", "e", "p").collect()))
+    # One join of starts to rows, so the rows are read for it twice, not four times.
+    assert series.drawdowns(df.select("k", "i", "v"), "k", "i", "v")._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1

@@ -147,3 +147,10 @@ def test_sums_and_their_peaks_in_one_sort(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, both.select("k", "e", "p").collect()))
     # One join of starts to rows, so the rows are read for it twice, not four times.
     assert series.drawdowns(df.select("k", "i", "v"), "k", "i", "v")._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["wallet_metrics_checks", "copyability", "wallet_score"])
+def test_positions_are_made_once(spark, name):
+    files = queries.QUERIES[name](spark, DATA).inputFiles()
+    assert files and not any("lineitem" in f for f in files)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scores as K
 from ..operators import wallets as W
+from ..storage import written
 from .tables import table
 from .time_queries import _r
 
@@ -69,8 +70,14 @@ def _positions(spark, sf_dir) -> DataFrame:
     return W.lifecycles(trades(spark, sf_dir), KEYS, CARRIED, ("t",), "tx", "flags")
 
 
+def _measured(spark, sf_dir) -> DataFrame:
+    """What metrics read of positions; written, as they read it several times."""
+    p = _positions(spark, sf_dir)
+    return written(p.select("wallet", "outcome", *CARRIED, "status", "bought", "sold", "remaining", "oversold", "buys", "sells"), "positions")
+
+
 def _scores(spark, sf_dir) -> DataFrame:
-    return K.wallet_scores(W.wallet_metrics(_positions(spark, sf_dir)))
+    return K.wallet_scores(W.wallet_metrics(_measured(spark, sf_dir)))
 
 
 def lifecycle_positions(spark, sf_dir):
@@ -87,11 +94,11 @@ RATES = ("mean_size", "median_size", "sells_each", "events_each", "open_share",
 
 
 def wallet_metrics(spark, sf_dir):
-    return W.wallet_metrics(_positions(spark, sf_dir)).select("wallet", *METRICS, *_r(*RATES))
+    return W.wallet_metrics(_measured(spark, sf_dir)).select("wallet", *METRICS, *_r(*RATES))
 
 
 def wallet_metrics_checks(spark, sf_dir):
-    p = _positions(spark, sf_dir)
+    p = _measured(spark, sf_dir)
     return W.metrics_violations(W.wallet_metrics(p), p)
 
 
@@ -116,7 +123,7 @@ def wallet_watchlist(spark, sf_dir):
 
 
 def copyability(spark, sf_dir):
-    s = _scores(spark, sf_dir)
+    s = written(_scores(spark, sf_dir), "scores")
     return K.copyability(s, K.watchlist(s)).select("wallet", *_r("score"), "score_band", "included", "reason_codes", "confidence", "recommendation", "missing_evidence")
 
 

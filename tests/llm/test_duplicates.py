@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -403,6 +404,16 @@ def test_interval_join_of_pairs():
     assert passages.interval_joined([fresh(3)], [fresh(0)], 46).tolist() == [False]
 
 
+def test_interval_join_of_repeats_takes_no_more_memory_than_its_windows():
+    tracemalloc.start()
+    one, two = np.tile(np.arange(1, 7, dtype=np.uint64), 700), np.tile(np.arange(1, 10, dtype=np.uint64), 500)
+    try:
+        assert passages.interval_joined([one, one[:90]], [one, two], 46)[0]
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_common_tokens_of_pairs():
     rng = np.random.default_rng(2)
     ones, twos = ([rng.integers(0, 12, rng.integers(0, 9)).astype(np.uint64) for _ in range(30)] for _ in range(2))

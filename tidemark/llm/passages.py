@@ -73,23 +73,34 @@ def window_minima(tokens: np.ndarray, offsets: np.ndarray, salt: int, width: int
 def compact_windows(tokens: np.ndarray, offsets: np.ndarray, salt: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The minimum, first and last place (ascending minima) of all compact windows of `width` tokens or more, over all texts.
 
-    The minima of such windows are the minima of the runs of `width` tokens; a stack over them builds the Cartesian tree.
+    The minima of such windows are the minima of the runs of `width` tokens. A window reaches to the next smaller minimum on
+    both sides, its parent or an ancestor in the Cartesian tree, which all minima look for at once by doubled steps.
     """
     minima, x, text = window_minima(tokens, offsets, salt, width)
-    first, last = offsets[text[minima]].copy(), (offsets[text[minima] + 1] - 1).copy()
-    stack: list[int] = []
-    values, owner = x[minima].tolist(), text[minima].tolist()
-    for i, v in enumerate(values):
-        while stack and (owner[stack[-1]] != owner[i] or values[stack[-1]] > v):
-            j = stack.pop()
-            if owner[j] == owner[i]:
-                last[j] = minima[i] - 1
-        if stack:
-            first[i] = minima[stack[-1]] + 1
-        stack.append(i)
+    values, owner = x[minima], text[minima]
+    left, right = (_next_smaller(v, o) for v, o in ((values, owner), (values[::-1], owner[::-1])))
+    right = len(minima) - 1 - right[::-1]
+    at = np.concatenate((minima, [0]))
+    first = np.where(left < 0, offsets[owner], at[left] + 1)
+    last = np.where(right >= len(minima), offsets[owner + 1], at[np.minimum(right, len(minima))]) - 1
     return minima, first, last
 
 
+def _next_smaller(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with a smaller value and the same owner, or -1; values are distinct."""
+    n = len(values)
+    # A text's first place has none before it.
+    to = np.arange(-1, n - 1)
+    to[np.flatnonzero(np.diff(owner)) + 1] = -1
+    low = np.concatenate((values, np.zeros(1, values.dtype)))
+    todo = np.flatnonzero((to >= 0) & (low[to] > values))
+    # All between a place and where it points is greater, so it may go on to where that one points.
+    while len(todo):
+        to[todo] = to[to[todo]]
+        todo = todo[(to[todo] >= 0) & (low[to[todo]] > values[todo])]
+    return to
+
+
 def agreeing(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, least: int = AGREE) -> np.ndarray:
     """Whether each window (first to last token) holds a subsequence of `length` tokens that windows of `least` functions hold.
 
@@ -142,37 +153,19 @@ def interval_joined(ones: list[np.ndarray], twos: list[np.ndarray], least: int)
             start = offsets[owner[c]]
             rows.append(np.stack((owner[c], np.full(len(c), k), tokens[c].view(np.int64), first - start, last - start)))
         tables.append(np.concatenate(rows, 1))
-    # A window's minimum is one token of its sequence; a token that is a minimum again meets all equal ones.
+    # The keys that both sides have; a token that is a minimum again has one key, so repeats don't multiply.
     kinds = np.unique(np.concatenate([t[2] for t in tables]), return_inverse=True)[1]
-    keys = []
-    for t, kind in zip(tables, np.split(kinds, [tables[0].shape[1]]), strict=True):
-        keys.append((t[0] * HASHES + t[1]) * (int(kinds.max(initial=0)) + 1) + kind)
-    order = np.argsort(keys[1], kind="stable")
-    low, high = (np.searchsorted(keys[1][order], keys[0], side) for side in ("left", "right"))
-    n = high - low
-    mine = np.repeat(np.arange(len(n)), n)
-    theirs = order[np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + low[mine]]
-    pair, k = tables[0][0][mine], tables[0][1][mine]
+    keys = [(t[0] * HASHES + t[1]) * (int(kinds.max(initial=0)) + 1) + kind for t, kind in zip(tables, np.split(kinds, [tables[0].shape[1]]), strict=True)]
+    shared = np.intersect1d(*keys)
+    # Places of different pairs are kept apart, so all pairs are swept at once.
+    apart = max(len(p) for p in (*ones, *twos)) + 2
+    held = []
+    for t, key in zip(tables, keys, strict=True):
+        met = np.isin(key, shared)
+        pair, k, _, first, last = t[:, met]
+        held.append(np.stack((key[met], pair))[:, agreeing(k, first + pair * apart, last + pair * apart, least)])
     out = np.zeros(len(ones), bool)
-    by = np.argsort(pair, kind="stable")
-    cuts = np.searchsorted(pair[by], np.arange(len(ones) + 1))
-    some = np.flatnonzero(np.diff(cuts) >= AGREE)
-    if not len(some):
-        return out
-    # Windows that all hold one subsequence, in both, are enough of them or not by their number of functions.
-    a, b = tables[0][:, mine[by]], tables[1][:, theirs[by]]
-    starts = cuts[:-1][np.diff(cuts) > 0]
-    whole = np.zeros(len(ones), bool)
-    whole[np.diff(cuts) > 0] = np.logical_and(*[np.maximum.reduceat(x[3], starts) + least - 1 <= np.minimum.reduceat(x[4], starts) for x in (a, b)])
-    functions = np.zeros((len(ones), HASHES), bool)
-    functions[pair, k] = True
-    enough = functions.sum(1) >= AGREE
-    out[some] = whole[some] & enough[some]
-    for i in some[enough[some] & ~whole[some]]:
-        at = by[cuts[i] : cuts[i + 1]]
-        a, b = tables[0][:, mine[at]], tables[1][:, theirs[at]]
-        both = agreeing(k[at], a[3], a[4], least)
-        out[i] = both.any() and (both & agreeing(k[at], b[3], b[4], least)).any()
+    out[held[0][1][np.isin(held[0][0], held[1][0])]] = True
     return out
 
 

@@ -154,3 +154,18 @@ def test_sums_and_their_peaks_in_one_sort(spark):
 def test_positions_are_made_once(spark, name):
     files = queries.QUERIES[name](spark, DATA).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+@pytest.mark.parametrize("kinds", ["FO", "OF"])
+def test_of_equal_lines_the_first_in_the_table_is_kept(spark, tmp_path, kinds):
+    import duckdb
+
+    lines = [{"l_orderkey": k, "l_partkey": 7, "l_suppkey": 3, "l_linenumber": 2, "l_quantity": 5.0, "l_tax": 0.02, "l_returnflag": "R", "l_linestatus": s} for k in range(20) for s in kinds]
+    pd.DataFrame(lines).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.execute(queries.ORACLES["trade_pages"]).df()
+    got = queries.QUERIES["trade_pages"](spark, str(tmp_path)).toPandas()
+    assert set(got["activity_type"]) == {"TRADE" if kinds == "FO" else "REDEEM"}
+    assert sorted(map(repr, got[want.columns].values.tolist())) == sorted(map(repr, want.values.tolist()))

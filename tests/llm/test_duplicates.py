@@ -212,6 +212,29 @@ def test_near_passages_behind_a_very_frequent_line(spark, edits):
     assert not got & set(range(400))
 
 
+@pytest.mark.parametrize("kind", ["halves", "line"])
+def test_near_passages_whose_pivots_have_a_part(spark, kind):
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    line, rows, want = fresh(45), [], set()
+    if kind == "line":
+        rows = [(i, " ".join(fresh(30) + line + fresh(30))) for i in range(400)]
+    for i in range(1000, 7000, 20):
+        if kind == "halves":
+            # Smaller ids have the words before or after the change, too few for a passage.
+            shared, k = fresh(60), 30
+            rows += [(i + j, " ".join(fresh(30) + (shared[:k] if j % 2 else shared[k + 1 :]) + fresh(30))) for j in range(16)]
+        else:
+            # The change is in the first word behind a frequent line, with too few words after it for a window.
+            shared, k = line + fresh(12), 45
+        other = [*shared[:k], "edit", *shared[k + 1 :]]
+        rows += [(i + 18, " ".join(fresh(30) + shared + fresh(30))), (i + 19, " ".join(fresh(40) + other + fresh(10)))]
+        want |= {i + 18, i + 19}
+    got = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(kind, len(got & want), len(want), len(got - want))
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [50, 51, 52, 56])
 def test_short_passages_are_all_found(spark, n):
     rng = random.Random(n)

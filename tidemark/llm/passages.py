@@ -13,9 +13,10 @@ that a passage could reach is verified on its shingles.
 
 Each signature meets one pivot document, the smallest id that has it, so a passage that many documents share costs a row
 each and no pairs. Where the pivot has only a part of a passage, as of one that begins with a frequent line, windows stay
-that no passage found with it covers. Around these, all runs of a passage's length are keys in turn, and all of half of it:
-documents with an equal run of a passage's length have that passage whatever their pivot, so no exact one is lost; the
-shorter runs, with other pivots, find those with changes. Documents with equal word sequences are one during the search.
+that no passage found with it covers. Around these, all runs of a passage's length are keys in turn: documents with an equal
+one have that passage whatever their pivot, so no exact one is lost. A passage with changes goes on past a line that is too
+short for one, or past its changes, to tokens that are equal again: so the windows on either side of a gap are keys with each
+token within a passage's length. Documents with equal word sequences are one during the search.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ HASHES, AGREE = 8, 2
 TOKENS = 1 << 17
 #: Tokens that are verified on either side of a window, and the widest gap between windows of one passage.
 REACH, GAP = 60, 40
-#: Runs of equal tokens in a passage that isn't alike as a whole, and pivots of a shorter run, by its key.
+#: Runs of equal tokens in a passage that isn't alike as a whole, and pivots of a run or of a window and a token, by its key.
 RUNS, PIVOTS = 12, 4
+#: Places of windows so far apart may have a change between them: it takes 4 tokens at least, and a window AFTER.
+APART = AFTER + 5
 #: Ids that may be broadcast to thin the texts before they are shuffled; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -422,30 +425,56 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(docs: DataFrame, left: DataFrame, least: int) -> DataFrame:
-    """key, doc_id, place, done: the runs of `least` tokens, and of half of it, that hold a window; done if all of these are."""
+    """key, doc_id, place, done: the runs of `least` tokens that hold a window, done if all of these are, and the windows with
+    one token near them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in pieces(batches, "text", 1 << 20):
             tokens, at = S.shingle_hashes(*S.word_hashes(strings(x.column(1))))
+            cuts = x.column(2).offsets.to_numpy() - x.column(2).offsets[0].as_py()
+            windows = [c.to_numpy(zero_copy_only=False) for c in x.column(2).flatten().flatten()]
             keys, ids, places, dones = [], [], [], []
-            for i, (doc, windows) in enumerate(zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True)):
+            for i, doc in enumerate(x.column(0).to_pylist()):
                 own = tokens[at[i] : at[i + 1]]
-                for length in (least, least // 2 + 1):
-                    found = run_keys(own, length)
-                    # 2 where a window that isn't done is in the run, 1 where only others are.
-                    mark = np.zeros(len(found), np.int8)
-                    for w in sorted(windows, key=lambda w: not w["done"]):
-                        mark[max(0, w["place"] - length + 1) : w["place"] + 1] = 1 if w["done"] else 2
-                    start = np.flatnonzero(mark)
-                    keys.append(found[start].view(np.int64))
-                    ids.append(np.full(len(start), doc, np.int64))
-                    places.append(start)
-                    dones.append(mark[start] == 1)
+                place, done = (c[cuts[i] : cuts[i + 1]] for c in windows)
+                order = np.argsort(place)
+                place, done = place[order], done[order]
+                found = run_keys(own, least)
+                some, more = (_held(q, least, len(found)) for q in (place, place[~done]))
+                start = np.flatnonzero(some)
+                key, near = near_keys(own, place, least)
+                keys += [found[start].view(np.int64), key.view(np.int64)]
+                ids.append(np.full(len(start) + len(key), doc, np.int64))
+                places += [start, place[near]]
+                dones += [~more[start], done[near]]
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, ids, places, dones)], names=["key", "doc_id", "place", "done"])
 
     return _texts(docs, left).select("doc_id", "text", "windows").mapInArrow(run, "key long, doc_id long, place long, done boolean")
 
 
+def _held(places: np.ndarray, length: int, n: int) -> np.ndarray:
+    """For n runs of a length, by their first places, whether they hold one of the places."""
+    change = np.bincount(np.maximum(places - length + 1, 0), minlength=n + 1)[: n + 1] - np.bincount(np.minimum(places + 1, n), minlength=n + 1)
+    return np.cumsum(change)[:n] > 0
+
+
+def near_keys(tokens: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a window at one of the places (ascending) and one token within a passage's length, and which place each has.
+
+    Only windows before and after a gap in the places are taken, with the tokens on that side.
+    """
+    window = run_keys(tokens, AFTER + 1)
+    gap = np.diff(places) >= APART
+    out = []
+    for edge, steps in ((np.append(gap, True), np.arange(AFTER + 1, length)), (np.append(True, gap), -np.arange(1, length))):
+        which = np.repeat(np.flatnonzero(edge), len(steps))
+        at = places[which] + np.tile(steps, int(edge.sum()))
+        inside = (at >= 0) & (at < len(tokens))
+        which, at = which[inside], at[inside]
+        out.append((S.mixed(window[places[which]] * _PLACES[1] + tokens[at] * _PLACES[2] + np.uint64(steps[0] > 0)), which))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _cut(texts: DataFrame) -> DataFrame:
     """doc_id, s, e and the tokens of each wanted stretch of each text (doc_id, text, spans), clipped to the text."""
 

@@ -427,6 +427,30 @@ def test_interval_join_of_pairs():
     assert passages.interval_joined([fresh(3)], [fresh(0)], 46).tolist() == [False]
 
 
+def test_pairs_that_are_too_thin_are_told_before_the_interval_join():
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    line, far = fresh(41), fresh(3)
+    # A line and three tokens that are far from it in one of the two: many equal tokens, but no stretch.
+    thin = [np.concatenate((fresh(9), line, fresh(30), far)) for _ in range(2)]
+    full = [np.concatenate((fresh(9), line, fresh(2), far, fresh(5))) for _ in range(2)]
+    assert passages.dense([thin[0], full[0]], [thin[1], full[1]], 46, 0.75).tolist() == [False, True]
+    assert (passages.common([thin[0]], [thin[1]]) == 44).all()
+    # It loses none that is found.
+    ones, twos = [], []
+    for i in range(600):
+        shared, kinds = fresh(int(rng.integers(30, 90))), fresh(12)
+        if i % 4 == 0:
+            shared = rng.choice(kinds, 80)
+        other = shared.copy()
+        other[rng.choice(len(other), i % 7, replace=False)] = fresh(i % 7) if i % 3 else kinds[0]
+        ones.append(np.concatenate((fresh(int(rng.integers(30))), shared, fresh(10))))
+        twos.append(np.concatenate((fresh(5), other, kinds, fresh(int(rng.integers(30))))))
+    found = np.array([bool(passages.alike(a, b, 46, 0.75)) for a, b in zip(ones, twos, strict=True)])
+    got = passages.dense(ones, twos, 46, 0.75)
+    assert 100 < found.sum() < 600 and not (found & ~got).any()
+
+
 def test_interval_join_of_repeats_takes_no_more_memory_than_its_windows():
     tracemalloc.start()
     one, two = np.tile(np.arange(1, 7, dtype=np.uint64), 700), np.tile(np.arange(1, 10, dtype=np.uint64), 500)

@@ -141,6 +141,32 @@ def common(ones: list[np.ndarray], twos: list[np.ndarray]) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(ones)), [len(p) for p in ones]), np.isin(*keys), len(ones)).astype(int)
 
 
+def dense(ones: list[np.ndarray], twos: list[np.ndarray], least: int, similarity: float) -> np.ndarray:
+    """For each pair of token sequences, whether each has a stretch that could be alike to one of the other.
+
+    It has `least` tokens, the first and last of them in the other, and so many that are in the other that those that
+    aren't, and are there once, leave the similarity possible. A bound: without such stretches no passage is found.
+    """
+    pairs = [np.repeat(np.arange(len(parts)), [len(p) for p in parts]) for parts in (ones, twos)]
+    keys = [np.concatenate(parts) + pair.astype(np.uint64) * _PLACES[1] for parts, pair in zip((ones, twos), pairs, strict=True)]
+    kinds = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    kinds = np.split(kinds, [len(keys[0])])
+    times = [np.bincount(k, minlength=max(int(x.max(initial=-1)) for x in kinds) + 1) for k in kinds]
+    out = np.ones(len(ones), bool)
+    for pair, kind, own, other in zip(pairs, kinds, times, times[::-1], strict=True):
+        some = np.zeros(len(ones), bool)
+        if len(pair) >= least:
+            hit = other[kind] > 0
+            sums = np.concatenate((np.zeros(1), np.cumsum(np.where(hit, 1 - similarity, np.where(own[kind] == 1, -similarity, 0)))))
+            # The least sum before a token that is in the other; those of earlier pairs are too great to count.
+            apart = pair * (len(pair) + 1.0)
+            low = np.minimum.accumulate(np.where(hit, sums[:-1], np.inf) - apart)
+            enough = hit[least - 1 :] & (sums[least:] - apart[least - 1 :] - low[: len(low) - least + 1] >= -1e-6)
+            some[pair[least - 1 :][enough]] = True
+        out &= some
+    return out
+
+
 def interval_joined(ones: list[np.ndarray], twos: list[np.ndarray], least: int) -> np.ndarray:
     """For each pair of token sequences, whether some windows of AGREE functions hold one subsequence of `least` tokens in both.
 
@@ -511,6 +537,8 @@ def _judged(pairs: DataFrame, least: int, similarity: float) -> DataFrame:
             for rows in np.split(np.arange(len(ones)), np.flatnonzero(np.diff(part)) + 1):
                 # Too few common tokens for a passage: neither windows nor shingles need a look.
                 rows = rows[common([ones[i] for i in rows], [twos[i] for i in rows]) >= least * similarity]
+                if len(rows):
+                    rows = rows[dense([ones[i] for i in rows], [twos[i] for i in rows], least, similarity)]
                 if len(rows):
                     near[rows] = interval_joined([ones[i] for i in rows], [twos[i] for i in rows], least)
             for doc, s, pivot, ps, one, two, agrees in zip(*(x.column(i).to_pylist() for i in range(4)), ones, twos, near.tolist(), strict=True):

@@ -169,3 +169,11 @@ def test_of_equal_lines_the_first_in_the_table_is_kept(spark, tmp_path, kinds):
     got = queries.QUERIES["trade_pages"](spark, str(tmp_path)).toPandas()
     assert set(got["activity_type"]) == {"TRADE" if kinds == "FO" else "REDEEM"}
     assert sorted(map(repr, got[want.columns].values.tolist())) == sorted(map(repr, want.values.tolist()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pages_shuffle_no_texts_that_can_be_made_later(spark):
+    plan = queries.QUERIES["trade_pages"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    lists = [x for x in plan.splitlines() if "collect_list" in x]
+    assert len(lists) == 1 and "l_partkey" in lists[0] and "Rain in Rome" not in lists[0]  # lines by order: their own columns
+    assert "sha2" not in plan  # trades by key: no hashes, as they aren't asked for

@@ -177,3 +177,25 @@ def test_pages_shuffle_no_texts_that_can_be_made_later(spark):
     lists = [x for x in plan.splitlines() if "collect_list" in x]
     assert len(lists) == 1 and "l_partkey" in lists[0] and "Rain in Rome" not in lists[0]  # lines by order: their own columns
     assert "sha2" not in plan  # trades by key: no hashes, as they aren't asked for
+
+
+def test_of_quotes_of_one_time_the_last_counts_on_both_sides(spark):
+    rows = [(0, 0.50), (1, 0.54), (1, 0.58), (1, 0.51), (2, 0.51), (2, 0.51)]
+    quotes = spark.createDataFrame([(i, 0, "m", "BTC", t * 1_000_000, p, 100.0) for i, (t, p) in enumerate(rows)], "quote int, session int, market string, asset string, t long, price double, seconds_to_expiry double")
+    got = sorted((r.t, r.side, round(r.pnl, 6), r.won) for r in capture.candidate_pool(quotes, order="quote").collect())
+    assert [x for x in got if x[0] == 0] == [(0, "NO", -0.08, False), (0, "YES", 0.08, True)]
+    moves = [x[2] for x in got if x[0] == 1_000_000 and x[1] == "YES"]
+    assert sorted(moves) == [-0.07, -0.03, 0.0]  # three quotes of one time are three entries
+
+
+def test_trial_metrics_take_the_quotes_that_the_sql_takes(spark, tmp_path):
+    import duckdb
+
+    events = [{"event_id": i, "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i // 4), "user_id": i % 3, "event_type": "view", "value": float(i * 37 % 90), "props": "{}"} for i in range(600)]
+    pd.DataFrame(events).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(queries.ORACLES["trial_metrics"]).df()
+    got = queries.QUERIES["trial_metrics"](spark, str(tmp_path)).toPandas()
+    assert len(want) and sorted(map(repr, got[want.columns].values.tolist())) == sorted(map(repr, want.values.tolist()))

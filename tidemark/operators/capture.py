@@ -103,21 +103,25 @@ def label_rows(signals: DataFrame, quotes: DataFrame, target: float = TARGET, st
     return admitted(out, "_position", "t", "exit_at", "signal").drop("_position")
 
 
-def candidate_pool(quotes: DataFrame, batch: str = "session") -> DataFrame:
+def candidate_pool(quotes: DataFrame, batch: str = "session", order: str | None = None) -> DataFrame:
     """batch, asset, side, bucket, t, exit_at, pnl, pnl_after, won: every quote as an entry on either side, to its first hit.
 
     quotes has the batch, market, asset, t, price (of yes) and seconds_to_expiry; buckets are of 60 s to expiry. A quote
-    meets its path once for both sides.
+    meets its path once for both sides. `order` is a column of numbers that tells a market's quotes of one time apart: each
+    is an entry of its own, and where several of one time hit, or end the path, the last of them counts, on both sides the
+    same. Without it a market's quotes must differ in time.
     """
-    keys = (batch, "market", "asset", "t", "seconds_to_expiry")
+    place = F.col(order) if order else F.lit(0)
+    quotes = quotes.withColumn("_order", place.cast("long"))
+    keys = (batch, "market", "asset", "t", "seconds_to_expiry", "_order")
     rows = quotes.filter(F.col("seconds_to_expiry") >= LEAST_LEFT).select(*keys, "price")
     rows = rows.withColumn("_last", F.col("t") + F.least(F.lit(LONGEST), F.floor(F.col("seconds_to_expiry")) - 1) * 1_000_000)
-    met = future(rows, quotes.select("market", F.col("t").alias("at"), F.col("price").alias("q")), "market", "t", LONGEST * 1_000_000, "at", "p_").filter(F.col("p_at") <= F.col("_last"))
+    met = future(rows, quotes.select("market", F.col("t").alias("at"), F.col("price").alias("q"), F.col("_order").alias("order")), "market", "t", LONGEST * 1_000_000, "at", "p_").filter(F.col("p_at") <= F.col("_last"))
     found = []
     for side, move in (("YES", F.col("p_q") - F.col("price")), ("NO", F.col("price") - F.col("p_q"))):
-        step = F.struct(F.col("p_at").alias("at"), move.alias("move"))
-        hit, lost = F.min(F.when(move >= TARGET - 1e-12, step)), F.min(F.when(move <= -STOP + 1e-12, step))
-        found.append(F.struct(F.lit(side).alias("side"), hit.alias("hit"), lost.alias("lost"), F.max(step).alias("last")))
+        first, last = (F.struct(F.col("p_at").alias("at"), o.alias("order"), move.alias("move")) for o in (-F.col("p_order"), F.col("p_order")))
+        hit, lost = F.min(F.when(move >= TARGET - 1e-12, first)), F.min(F.when(move <= -STOP + 1e-12, first))
+        found.append(F.struct(F.lit(side).alias("side"), hit.alias("hit"), lost.alias("lost"), F.max(last).alias("last")))
     out = met.groupBy(*keys).agg(F.array(*found).alias("_sides")).select(*keys, F.explode("_sides").alias("_side")).select(*keys, "_side.*")
     won = F.col("hit").isNotNull() & (F.col("lost").isNull() | (F.col("hit.at") <= F.col("lost.at")))
     leave = F.when(won, F.col("hit")).when(F.col("lost").isNotNull(), F.col("lost")).otherwise(F.col("last"))

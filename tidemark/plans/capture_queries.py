@@ -66,17 +66,17 @@ def _priced(spark, sf_dir):
 
 
 def candidate_pool(spark, sf_dir):
-    p = C.candidate_pool(_priced(spark, sf_dir))
+    p = C.candidate_pool(_priced(spark, sf_dir), order="quote")
     return p.groupBy("session", "asset", "side", "bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("won"), 1)).alias("wins"), F.round(F.sum("pnl_after"), 6).alias("pnl_after"))
 
 
 def trial_metrics(spark, sf_dir):
-    p = C.candidate_pool(_priced(spark, sf_dir)).withColumn("trial", F.pmod(F.floor(F.col("t") / 1000), F.lit(5)))
+    p = C.candidate_pool(_priced(spark, sf_dir), order="quote").withColumn("trial", F.pmod(F.floor(F.col("t") / 1000), F.lit(5)))
     return C.trial_metrics(p, 10.0).select("trial", "n", "wins", *_r("pnl", "pnl_after", "expectancy", "win_rate", "per_hour"))
 
 
 def _drawn(spark, sf_dir):
-    pool = C.candidate_pool(_priced(spark, sf_dir)).withColumn("bucket", F.floor(F.col("bucket") / 120))
+    pool = C.candidate_pool(_priced(spark, sf_dir), order="quote").withColumn("bucket", F.floor(F.col("bucket") / 120))
     entries = pool.filter("t % 97 = 0").select(F.concat_ws("|", "t", "market", "side").alias("entry"), "session", "asset", "side", "bucket")
     return D.redrawn(entries, pool, "entry", ["session", "asset", "side", "bucket"], ["market", "side"], "t", "exit_at", 4)
 

@@ -173,10 +173,12 @@ def test_of_equal_lines_the_first_in_the_table_is_kept(spark, tmp_path, kinds):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pages_shuffle_no_texts_that_can_be_made_later(spark):
-    plan = queries.QUERIES["trade_pages"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
-    lists = [x for x in plan.splitlines() if "collect_list" in x]
+    run = queries.QUERIES["trade_pages"](spark, DATA)._jdf.queryExecution()
+    plan = run.optimizedPlan().toString()
+    lists = [x for x in run.executedPlan().toString().splitlines() if "partial_collect_list" in x]
     assert len(lists) == 1 and "l_partkey" in lists[0] and "Rain in Rome" not in lists[0]  # lines by order: their own columns
     assert "sha2" not in plan  # trades by key: no hashes, as they aren't asked for
+    assert sum("StructsToJson" in x for x in plan.splitlines()) == 1  # a page's text is made once, not for a filter too
 
 
 def test_of_quotes_of_one_time_the_last_counts_on_both_sides(spark):
@@ -199,3 +201,9 @@ def test_trial_metrics_take_the_quotes_that_the_sql_takes(spark, tmp_path):
     want = con.execute(queries.ORACLES["trial_metrics"]).df()
     got = queries.QUERIES["trial_metrics"](spark, str(tmp_path)).toPandas()
     assert len(want) and sorted(map(repr, got[want.columns].values.tolist())) == sorted(map(repr, want.values.tolist()))
+
+
+def test_blank_lines_give_no_trades(spark):
+    lines = spark.createDataFrame([(" ",), ("",), (None,), (json.dumps({"wallet_id": "W1", "payload": [{"type": "TRADE"}]}),), (json.dumps({"wallet_id": "W2", "payload": []}),)], "value string")
+    assert [r.wallet_id for r in trades.normalised(lines).collect()] == ["w1"]
+    assert sorted(r.page.wallet_id for r in trades.pages(lines).collect()) == ["W1", "W2"]

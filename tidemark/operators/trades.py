@@ -71,12 +71,17 @@ def pages(lines: DataFrame, column: str = "value") -> DataFrame:
 
     A page without rows gives one with a null row, so that pages can be counted. Rows that are no objects are left out.
     """
+    return _dealt(lines.filter(F.length(F.trim(column)) > 0), column)
+
+
+def _dealt(lines: DataFrame, column: str) -> DataFrame:
+    """As `pages`, with a blank line as a page without rows."""
     text = F.col(column)
     listed = lambda path: F.from_json(F.get_json_object(text, path), "array<string>")
     rows = F.filter(F.coalesce(listed("$.payload.value"), listed("$.payload"), listed("$")), lambda r: F.ltrim(r).startswith("{"))
     page = F.from_json(text, PAGE)
     # What is a page's is read before its rows are dealt out: after that it would be read again for each row.
-    out = lines.filter(F.length(F.trim(text)) > 0).select(page.alias("page"), F.sha2(F.coalesce(F.get_json_object(text, "$.payload"), text), 256).alias("raw_page_hash"), rows.alias("_rows"))
+    out = lines.select(page.alias("page"), F.sha2(F.coalesce(F.get_json_object(text, "$.payload"), text), 256).alias("raw_page_hash"), rows.alias("_rows"))
     out = out.withColumn("first_wallet", F.from_json(F.try_element_at("_rows", F.lit(1)), ROW)["proxyWallet"])
     out = out.select("page", "raw_page_hash", "first_wallet", F.posexplode_outer("_rows").alias("place", "raw"))
     return out.withColumn("row", F.from_json("raw", ROW))
@@ -89,7 +94,8 @@ def normalised(lines: DataFrame, column: str = "value") -> DataFrame:
     none. Without a notional of its own a trade gets price times size. Rows keep their place in the page, for
     `deduplicated`.
     """
-    rows = pages(lines, column)
+    # Pages without rows are left out here, and blank lines with them: a filter on lines would make their text once more.
+    rows = _dealt(lines, column)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     first = lambda *columns, otherwise: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], F.lit(otherwise))
     wallet = F.lower(first("page.wallet_id", "page.user", "first_wallet", otherwise="unknown_wallet"))
